@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
 from .components import connected_components
-from .staging import stage
+from .staging import stage, stage_side
 
 SHINGLE = 3
 RADIUS = 3
@@ -226,14 +226,13 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, part: int = PART)
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
-    """One row a document: ``doc_id, text_key, fp, component_id, keeper, copies``.
+    """One row a document: ``doc_id, text_key, fp, component_id, keeper``.
 
     ``component_id`` is the smallest id among all documents reachable by links of
     ``radius`` or fewer bits. Wordless texts (null, empty) share fingerprint zero
     and link like others. Null ids are kept as rows but never name a component (a
     component of null ids only has a null id). Repeated rows give repeated rows.
-    ``keeper`` marks the rows whose id and text are the least of the component;
-    ``copies`` says how many rows carry that same id and text.
+    ``keeper`` marks the rows whose id and text are the least of the component.
     """
     slim = stage(
         docs.select(
@@ -269,15 +268,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Columns are those of ``docs``. Of repeated rows of the keeper one stays.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
-    winners = stage(
-        found.where("keeper").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("doc_id").alias("__w_id"), F.col("text_key").alias("__w_key"), F.col("n").alias("__w_n")),
-        "simhash-winners",
+    found = stage(near_duplicates(docs, id_col, text_col, **how), "simhash-found")
+    ids = [F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")]
+    losers = stage_side(found.where("NOT keeper").select(*ids).distinct(), "simhash-losers")
+    again = stage_side(
+        found.where("keeper").groupBy("doc_id", "text_key").count().where("count > 1").select(*ids), "simhash-repeated"
     )
     key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("__w_id")) & (key == F.col("__w_key"))
-    once = docs.join(winners.where("__w_n = 1"), on, "left_semi")
-    names = docs.columns
-    more = docs.withColumn("__w_md5", key).join(winners.where("__w_n > 1"), on, "left_semi")
-    return once.unionByName(more.dropDuplicates([id_col, "__w_md5"]).select(*names))
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key"))
+    left = docs.join(losers, on, "left_anti")
+    if again.isEmpty():
+        return left
+    repeated = left.withColumn("__md5", key).join(again, on, "left_semi")
+    return left.join(again, on, "left_anti").unionByName(repeated.dropDuplicates([id_col, "__md5"]).drop("__md5"))

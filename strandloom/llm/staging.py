@@ -32,6 +32,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of narrow keys that may be broadcast; a staged side is counted first.
+BROADCAST_ROWS = 500_000
+
+
+def stage_side(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged join side of narrow rows, broadcast only if it has ``rows`` or fewer."""
+    side = stage(df, label)
+    return side.hint("broadcast") if side.limit(rows + 1).count() <= rows else side
+
+
 def release_all(spark: SparkSession) -> None:
     """Delete every table this application staged (call when results are written)."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
