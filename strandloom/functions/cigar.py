@@ -74,7 +74,8 @@ def edit_distance(unrolled: Column, expanded: Column) -> Column:
 
 def _end(unrolled: Column, n: Column) -> Column:
     """The shortest start of ``unrolled`` with ``n`` read-consuming operators."""
-    return F.regexp_extract(unrolled, F.concat(F.lit("^(?:[DNHP]*[MIS=X]){"), n.cast("string"), F.lit("}")), 0)
+    pattern = F.concat(F.lit("^(?:[DNHP]*[MIS=X]){"), n.cast("string"), F.lit("}"))
+    return F.call_function("regexp_extract", unrolled, pattern, F.lit(0))
 
 
 def clip_both_ends(records: DataFrame, n: Column, hard: bool = False) -> DataFrame:

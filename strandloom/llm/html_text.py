@@ -19,7 +19,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .staging import stage
+from .staging import stage, stage_side
 from .url_filter import host_of, path_of
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)[^<>]*\Z", re.S)
@@ -171,12 +171,24 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def _paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _differenced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The shared lines of each page, given out where they change its text."""
+    for batch in batches:
+        rows, flags = [], []
+        for row, kinds, hashes, other in zip(batch["row"], batch["kinds"], batch["hashes"], batch["other"], strict=True):
+            shared = common_lines(np.asarray(hashes, np.int64), np.asarray(other, np.int64))
+            if shared.any() and MAIN not in kinds:
+                rows.append(row)
+                flags.append(shared.tolist())
+        yield pd.DataFrame({"row": rows, "shared": flags}).astype({"row": "int64"})
+
+
+def _written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for lines, kinds, hashes, other in zip(batch["lines"], batch["kinds"], batch["hashes"], batch["other"], strict=True):
-            shared = common_lines(np.asarray(hashes, np.int64), np.asarray([] if other is None else other, np.int64))
-            out.append(main_text(list(zip(lines, kinds, strict=True)), shared))
+        for lines, kinds, shared in zip(batch["lines"], batch["kinds"], batch["shared"], strict=True):
+            hit = np.zeros(len(lines), bool) if shared is None else np.asarray(shared, bool)
+            out.append(main_text(list(zip(lines, kinds, strict=True)), hit))
         yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": out})
 
 
@@ -248,8 +260,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
     parsed = stage(rows.mapInPandas(_parsed, _PARSED), "html-parsed")
     near = stage(_neighbours(parsed.select("row", "host", "path")), "html-near")
+    # Only hashes travel; the lines stay where they were written.
+    slim = parsed.select("row", "kinds", "hashes")
     others = parsed.select(F.col("row").alias("near"), F.col("hashes").alias("other"))
-    pairs = near.where("near IS NOT NULL").join(others, "near").select("row", "other")
-    both = parsed.join(pairs, "row", "left").select("page_id", "url", "lines", "kinds", "hashes", "other")
+    pairs = slim.join(near.where("near IS NOT NULL"), "row").join(others, "near").select("row", "kinds", "hashes", "other")
+    shared = stage_side(pairs.mapInPandas(_differenced, "row long, shared array<boolean>"), "html-shared")
+    both = parsed.select("row", "page_id", "url", "lines", "kinds").join(shared, "row", "left").drop("row")
     kind = pages.select(id_col).schema[0].dataType
-    return both.mapInPandas(_paired, "page_id string, url string, text string").withColumn("page_id", F.col("page_id").cast(kind))
+    return both.mapInPandas(_written, "page_id string, url string, text string").withColumn("page_id", F.col("page_id").cast(kind))

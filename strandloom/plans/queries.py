@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import cigar, dna, headers, keys, merging
+from ..functions import cigar, dna, headers, keys
 from ..operators import alignments as al, barcodes as bc, counts, screening
 from ..sources import text
 from . import views
@@ -199,13 +199,7 @@ FROM t a LEFT JOIN t b ON a.key = b.key AND b.rk = 2 WHERE a.rk = 1"""
 
 def _prior(s, d):
     lengths = _sets(s, d)[2].where("ordinal = 1").select("label", "length")
-    return counts.barcode_lengths_from_counts(_pair_counts(s, d).withColumn("label_ordinal", F.dense_rank().over(F_window("key", "label"))), lengths)
-
-
-def F_window(key, by):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(by)
+    return counts.barcode_lengths_from_counts(_pair_counts(s, d).withColumn("label_ordinal", F.dense_rank().over(Window.partitionBy("key").orderBy("label"))), lengths)
 
 
 @query("a13_length_from_counts", _LENGTHS)
@@ -242,8 +236,7 @@ screened AS (SELECT m.k, {_FLAT.format('m.key')} AS key, m.key AS full_key, filt
 def _screened(s, d, oligo=None):
     i5, i7, sets = _sets(s, d)
     every = bc.lengths_descending(sets)[0]  # the views' barcodes are of one length
-    prior = view(s, d, views.I5_LINES).select(F.lit(every).alias("length")).limit(1)
-    pairs = bc.reference_set(view(s, d, views.I5_LINES)).select(F.col("label").alias("a")).join(i7.select(F.col("label").alias("b")), F.lit(True))
+    pairs = i5.select(F.col("label").alias("a")).join(i7.select(F.col("label").alias("b")), F.lit(True))
     prior = pairs.select(F.concat_ws("_", "a", "b", F.lit(""), F.lit("")).alias("key"), F.lit(every).alias("length"))
     return screening.screen_pairs(view(s, d, views.PAIRS), i5, i7, sets, prior, oligo=oligo)
 
@@ -290,8 +283,6 @@ _COUNTS = duck(views.COUNTS)
 
 
 def _counter(s, d):
-    from pyspark.sql import Window
-
     return view(s, d, views.COUNTS).withColumn("label_ordinal", F.row_number().over(Window.partitionBy("key").orderBy("label")))
 
 
@@ -373,10 +364,7 @@ rolled AS (SELECT *, array_to_string(list_transform(regexp_extract_all(v, 'S+|M+
   length(v) - length(replace(v, 'I', '')) + length(replace(e2, 'm', '')) AS nm2 FROM cut)"""
 
 
-_ONE_EACH = "CASE WHEN e2 = '' THEN 0 ELSE 1 END"
-
-
-@query("p21_soft_clip", f"WITH {_window_clip('2 + k0.m', False).replace('2 + k0.m', '(2 + CAST(string_split(qname, chr(58))[7] AS BIGINT) % 3)')} SELECT qname, CAST(pos + l AS INT) AS pos, cigar2 AS cigar, md2 AS md, CAST(nm2 AS INT) AS nm FROM rolled")
+@query("p21_soft_clip", f"WITH {_window_clip('(2 + CAST(string_split(qname, chr(58))[7] AS BIGINT) % 3)', False)} SELECT qname, CAST(pos + l AS INT) AS pos, cigar2 AS cigar, md2 AS md, CAST(nm2 AS INT) AS nm FROM rolled")
 def _(s, d):
     n = (F.element_at(F.split("qname", ":"), 7).cast("long") % 3 + 2).cast("int")
     out = cigar.clip_both_ends(al_view(s, d), n)
@@ -423,8 +411,8 @@ def _(s, d):
 @query("j04_filter_targets", f"""
 WITH src AS (SELECT *, array_to_string(list_transform(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]'), lambda r: repeat(right(r, 1), CAST(left(r, length(r) - 1) AS INT))), '') AS u FROM ({_ALN}) WHERE flag & 4 = 0 AND mapq >= 20),
 ops AS (SELECT qname, rname, pos, qual, i, substr(u, CAST(i AS BIGINT), 1) AS op FROM (SELECT *, unnest(generate_series(1, length(u))) AS i FROM src)),
-at AS (SELECT qname, rname, qual, op, pos - 1 + sum((op IN ('M', 'D', 'N'))::INT) OVER w AS refpos, sum((op IN ('M', 'I', 'S'))::INT) OVER w AS readpos FROM ops WINDOW w AS (PARTITION BY qname ORDER BY i)),
-bases AS (SELECT qname, rname, refpos, op = 'M' AND ascii(substr(qual, CAST(readpos AS BIGINT), 1)) - 33 >= 25 AS good FROM at WHERE op IN ('M', 'D', 'N')),
+spots AS (SELECT qname, rname, qual, op, pos - 1 + sum((op IN ('M', 'D', 'N'))::INT) OVER w AS refpos, sum((op IN ('M', 'I', 'S'))::INT) OVER w AS readpos FROM ops WINDOW w AS (PARTITION BY qname ORDER BY i)),
+bases AS (SELECT qname, rname, refpos, op = 'M' AND ascii(substr(qual, CAST(readpos AS BIGINT), 1)) - 33 >= 25 AS good FROM spots WHERE op IN ('M', 'D', 'N')),
 sites AS (SELECT DISTINCT chrom, start0, "end", unnest(generate_series(start0 + 1, "end")) AS p FROM ({duck(views.BED)})),
 full_sites AS (SELECT qname, chrom, start0, "end" FROM bases JOIN sites ON rname = chrom AND refpos = p WHERE good GROUP BY ALL HAVING count(*) = "end" - start0)
 SELECT DISTINCT qname FROM full_sites""")
@@ -536,6 +524,3 @@ def _(s, d):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: barcode pair counts of fuzzily matched read pairs."""
     return barcode_count(spark, sf_dir)
-
-
-__all__ = ["ORACLE_SQL", "QUERIES", "entry", "merging"]
