@@ -180,7 +180,7 @@ def _differenced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if shared.any() and MAIN not in kinds:
                 rows.append(row)
                 flags.append(shared.tolist())
-        yield pd.DataFrame({"row": rows, "shared": flags}).astype({"row": "int64"})
+        yield pd.DataFrame({"row": pd.Series(rows, dtype="int64"), "shared": pd.Series(flags, dtype=object)})
 
 
 def _written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
