@@ -54,20 +54,14 @@ def _spans(text: Column) -> Column:
         "assign": _matches(text, ASSIGN, 2, 12), "access": _matches(text, ACCESS), "hex": _matches(text, HEX),
         "token": _matches(text, TOKEN), "private": _matches(text, PRIVATE),
     }
-    return F.array_sort(
-        F.concat(
-            *[
-                F.transform(
-                    rows,
-                    lambda x, k=k: F.struct(
-                        x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"),
-                        F.xxhash64(x["value"], F.sha2(x["value"], 256)).alias("digest"),
-                    ),
-                )
-                for k, rows in enumerate(found.values())
-            ]
+
+    def of_kind(kind: int, rows: Column) -> Column:
+        digest = lambda x: F.xxhash64(x["value"], F.sha2(x["value"], 256))
+        return F.transform(
+            rows, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), digest(x).alias("digest"))
         )
-    )
+
+    return F.array_sort(F.concat(*[of_kind(KINDS.index(k), rows) for k, rows in found.items()]))
 
 
 def scan_secrets(
