@@ -32,7 +32,7 @@ def open_uri(uri: str) -> tuple[fs.FileSystem, str]:
 
 def open_gzip(uri: str) -> io.TextIOBase:
     system, path = open_uri(uri)
-    return io.TextIOWrapper(gzip.GzipFile(fileobj=system.open_input_stream(path)), encoding="ascii", newline="\n")
+    return io.TextIOWrapper(gzip.GzipFile(fileobj=system.open_input_stream(path, compression=None)), encoding="ascii", newline="\n")
 
 
 def records(lines: Iterator[str], name: str = "") -> Iterator[tuple[str, str, str]]:
