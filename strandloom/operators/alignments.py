@@ -114,14 +114,17 @@ def filter_to_targets(records: DataFrame, bed: DataFrame, min_mapq: int, min_bas
     targets = bed.select(F.col("chrom").alias("__chrom"), (F.col("start0") + 1).alias("__start"), F.col("end").alias("__stop")).distinct()
     overlap = (F.col("rname") == F.col("__chrom")) & (F.col("__start") <= F.col("__end")) & (F.col("__stop") >= F.col("pos"))
     slim = reads.select("__row", "rname", "pos", "__end", "cigar", "qual")
+    # Reads that meet no target go before any base is looked at; what is left is scored
+    # once a read, below the join, so that no join condition repeats the scoring.
     if targets.limit(bed_rows + 1).count() <= bed_rows:
-        met = slim.join(F.broadcast(targets), overlap)
+        right, keep = F.broadcast(targets), overlap
+        scored = slim.join(right, keep, "left_semi")
     else:
         bins = lambda a, b: F.explode(F.sequence(F.floor(a / bin_size), F.floor(b / bin_size)))
-        left = slim.withColumn("__bin", bins(F.col("pos"), F.greatest("pos", "__end")))
-        right = targets.withColumn("__bin", bins(F.col("__start"), F.greatest("__start", "__stop")))
-        met = left.join(right, overlap & (left["__bin"] == right["__bin"]))
-    met = met.withColumn("__scores", _base_scores(unroll("cigar"), F.col("qual")))
+        right = targets.withColumn("__target_bin", bins(F.col("__start"), F.greatest("__start", "__stop")))
+        keep = overlap & (F.col("__bin") == F.col("__target_bin"))
+        scored = slim.withColumn("__bin", bins(F.col("pos"), F.greatest("pos", "__end"))).join(right, keep, "left_semi")
+    met = scored.withColumn("__scores", _base_scores(unroll("cigar"), F.col("qual"))).join(right, keep)
     first, n = F.col("__start") - F.col("pos"), F.col("__stop") - F.col("__start") + 1
     covered = F.slice("__scores", F.greatest(first, F.lit(0)) + 1, n)
     whole = (first >= 0) & (F.size(covered) == n) & F.forall(covered, lambda q: F.coalesce(q >= min_base_quality, F.lit(False)))
