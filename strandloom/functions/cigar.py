@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .dna import _col
+from .dna import _col, let
 
 #: Operators that consume read bases, and reference bases.
 READ_OPS, REFERENCE_OPS = "MIS=X", "MDN=X"
@@ -84,38 +84,49 @@ def clip_both_ends(records: DataFrame, n: Column, hard: bool = False) -> DataFra
     ``n`` is limited to the length of the alignment. Soft clipping leaves the bases and
     marks them ``S``; hard clipping cuts them and marks all ``H``. ``clip_error`` says why
     a record cannot be clipped (too few read bases, no MD); such records are unchanged.
-    Each step is a column, so that nothing is computed twice.
+    Steps are bound by ``let``, so that nothing is computed inside another step again.
     """
-    u, p, q = F.col("__u"), F.col("__front"), F.col("__rear")
 
     def mark(part: Column) -> Column:
         gone = F.char_length(part) if hard else F.char_length(part) - _count(part, READ_OPS)
         return F.concat(F.repeat(F.lit("H"), gone), F.repeat(F.lit("S"), F.char_length(part) - gone))
 
-    out = records.withColumn("__u", unroll("cigar")).withColumn("__n", F.least(n, F.char_length("__u")))
-    out = out.withColumn("__front", F.when(F.col("__n") > 0, _end(u, F.col("__n"))).otherwise(""))
-    # The rear works on what the front has left, read backwards.
-    out = out.withColumn("__turned", F.reverse(F.concat(mark(p), F.substring(u, F.char_length(p) + 1, F.char_length(u)))))
-    out = out.withColumn("__rear", F.when(F.col("__n") > 0, _end(F.col("__turned"), F.col("__n"))).otherwise(""))
-    turned = F.concat(mark(q), F.substring(F.col("__turned"), F.char_length(q) + 1, F.char_length("__turned")))
-    out = out.withColumn("__clipped", F.reverse(turned)).withColumns(
-        {"__left": _count(p, REFERENCE_OPS), "__right": _count(q, REFERENCE_OPS), "__md": md_clip(md_expand("md"), _count(p, REFERENCE_OPS), _count(q, REFERENCE_OPS))}
-    )
-    error = F.when((F.col("__n") > 0) & ((p == "") | (q == "")), "fewer read bases than are to be clipped").when(
-        ~F.coalesce(md_is_valid("md"), F.lit(False)), "no valid MD"
-    )
-    out = out.withColumn("clip_error", error)
-    ok = F.col("clip_error").isNull()
-    cut = lambda c: F.substring(F.col(c), F.col("__n") + 1, F.greatest(F.lit(0), F.char_length(c) - 2 * F.col("__n")))
+    def marked(text: Column, part: Column) -> Column:
+        return F.reverse(F.concat(mark(part), F.substring(text, F.char_length(part) + 1, F.char_length(text))))
+
+    def end(text: Column, k: Column) -> Column:
+        return F.when(k > 0, _end(text, k)).otherwise("")
+
+    def front(x: Column) -> Column:
+        return let(end(x["u"], x["n"]), lambda p: let(marked(x["u"], p), lambda turned: rear(x, p, turned)))
+
+    def rear(x: Column, p: Column, turned: Column) -> Column:  # on what the front has left, read backwards
+        return let(end(turned, x["n"]), lambda q: let(marked(turned, q), lambda done: result(x, p, q, done)))
+
+    def result(x: Column, p: Column, q: Column, done: Column) -> Column:
+        error = F.when((x["n"] > 0) & ((p == "") | (q == "")), "fewer read bases than are to be clipped").when(
+            ~F.coalesce(md_is_valid(x["md"]), F.lit(False)), "no valid MD"
+        )
+        md = md_clip(md_expand(x["md"]), _count(p, REFERENCE_OPS), _count(q, REFERENCE_OPS))
+        return let(
+            md,
+            lambda m: F.struct(
+                error.alias("error"), x["n"].alias("n"), _count(p, REFERENCE_OPS).alias("left"), reroll(done).alias("cigar"),
+                F.when(error.isNull(), md_format(m)).alias("md"), edit_distance(done, m).alias("nm"),
+            ),
+        )
+
+    whole = let(unroll("cigar"), lambda u: let(F.struct(u.alias("u"), F.least(n, F.char_length(u)).alias("n"), F.col("md").alias("md")), front))
+    out = records.withColumn("__clip", whole)
+    ok, k = F.col("__clip.error").isNull(), F.col("__clip.n")
     changed = {
-        "pos": F.when(ok, F.col("pos") + F.col("__left")).otherwise(F.col("pos")),
-        "cigar": F.when(ok, reroll("__clipped")).otherwise(F.col("cigar")),
-        "nm": F.when(ok, edit_distance(F.col("__clipped"), F.col("__md"))).otherwise(F.col("nm")),
-        "md": F.when(ok, md_format("__md")).otherwise(F.col("md")),
+        "clip_error": F.col("__clip.error"), "pos": F.when(ok, F.col("pos") + F.col("__clip.left")).otherwise(F.col("pos")),
+        **{c: F.when(ok, F.col(f"__clip.{c}")).otherwise(F.col(c)) for c in ("cigar", "nm", "md")},
     }
     if hard:
+        cut = lambda c: F.substring(F.col(c), k + 1, F.greatest(F.lit(0), F.char_length(c) - 2 * k))
         changed |= {c: F.when(ok, cut(c)).otherwise(F.col(c)) for c in ("seq", "qual")}
-    return out.withColumns(changed).drop("__u", "__n", "__front", "__turned", "__rear", "__clipped", "__left", "__right", "__md")
+    return out.withColumns(changed).drop("__clip")
 
 
 def is_non_empty(cigar: Column | str, pos: Column | str, sq_length: Column | str) -> Column:
