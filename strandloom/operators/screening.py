@@ -54,7 +54,9 @@ def screen_pairs(
     length; others only of the length decided for their index pair.
     """
     fixed = "i5_label" in pairs.columns
-    checked = check_headers(pairs)
+    # A lane is one unsplittable file and merging is costly, so pairs are dealt out first.
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    checked = check_headers(pairs.repartition(n, "lane_id", "ordinal"))
     if fixed:
         keyed = experiment_keys(checked, i5, i7, barcodes, max_distance)
     else:
