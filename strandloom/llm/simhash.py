@@ -69,7 +69,7 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
 
 def bit_planes(values: np.ndarray) -> list[int]:
     """Plane b as an integer whose bit i is bit b of value i."""
-    bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
     return [int.from_bytes(row.tobytes(), "little") for row in np.packbits(bits.T, axis=1, bitorder="little")]
 
 
@@ -144,10 +144,13 @@ def bucket_roots(values: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) ->
     return root
 
 
-def _bucket_links(radius: int):
-    """mapInPandas over rows sorted by key: a star of links for each bucket."""
+def _bucket_links(radius: int, wide: bool = False, chunk: int = _CHUNK):
+    """mapInPandas over rows sorted by key: a star of links for each bucket.
 
-    def links(keys: np.ndarray, values: np.ndarray) -> pd.DataFrame | None:
+    A row's fingerprint is its node itself, or if ``wide`` the bytes in ``fp``.
+    """
+
+    def links(keys: np.ndarray, nodes: np.ndarray, values: np.ndarray) -> pd.DataFrame | None:
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         sizes = np.diff(np.concatenate((starts, [len(keys)])))
         many = sizes > 1
@@ -157,27 +160,30 @@ def _bucket_links(radius: int):
         order = np.argsort(-sizes, kind="stable")
         starts, sizes = starts[order], sizes[order]
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        own = values[np.repeat(starts - first, sizes) + np.arange(sizes.sum())]
-        root = bucket_roots(own, sizes, radius)
+        at = np.repeat(starts - first, sizes) + np.arange(sizes.sum())
+        own, root = nodes[at], bucket_roots(values[at], sizes, radius)
         moved = root != np.arange(len(root))
-        return pd.DataFrame({"u": own[moved].view(np.int64), "v": own[root[moved]].view(np.int64)})
+        return pd.DataFrame({"u": own[moved], "v": own[root[moved]]})
+
+    def prints(batch: pd.DataFrame) -> np.ndarray:
+        if wide:
+            return np.frombuffer(b"".join(batch["fp"]), "<u8").reshape(len(batch), -1)
+        return batch["node"].to_numpy().view(np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys: list[np.ndarray] = []
-        values: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not len(batch):
                 continue
-            keys.append(batch["key"].to_numpy())
-            values.append(batch["fp"].to_numpy().view(np.uint64))
-            if sum(map(len, keys)) < _CHUNK or keys[-1][-1] == keys[0][0]:
+            held.append((batch["key"].to_numpy(), batch["node"].to_numpy(), prints(batch)))
+            if sum(len(k) for k, _, _ in held) < chunk or held[-1][0][-1] == held[0][0][0]:
                 continue
-            k, v = np.concatenate(keys), np.concatenate(values)
-            cut = int(np.flatnonzero(k != k[-1])[-1]) + 1  # the last bucket may go on
-            if (out := links(k[:cut], v[:cut])) is not None:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.flatnonzero(columns[0] != columns[0][-1])[-1]) + 1  # the last bucket may go on
+            if (out := links(*[c[:cut] for c in columns])) is not None:
                 yield out
-            keys, values = [k[cut:]], [v[cut:]]
-        if keys and (out := links(np.concatenate(keys), np.concatenate(values))) is not None:
+            held = [tuple(c[cut:] for c in columns)]
+        if held and (out := links(*[np.concatenate(c) for c in zip(*held, strict=True)])) is not None:
             yield out
 
     return run
@@ -198,29 +204,36 @@ def candidate_keys(fp: Column) -> Column:
     )
 
 
-def fingerprint_links(prints: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
-    """Distinct ``fp`` -> ``(u, v)``: links that span every class of close fingerprints.
+def compare_buckets(keyed: DataFrame, radius: int, part: int = PART, chunk: int = _CHUNK) -> DataFrame:
+    """``(node, key[, fp])`` -> ``(u, v)``: links that span the close prints of every bucket.
 
-    Exact for a radius of 3 or less. A bucket of more than ``part`` fingerprints is
-    cut into parts by hash and every pair of parts is compared by itself, so no task
-    gathers a hot bucket.
+    A bucket of more than ``part`` prints is cut into parts by hash and every pair of
+    parts is compared by itself, so no task gathers a hot bucket.
     """
-    if radius > 3:
-        raise ValueError("the block tables are exact for a radius of 3 at most")
-    keyed = prints.select("fp", F.explode(candidate_keys(F.col("fp"))).alias("key"))
     hot = (
         keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part)
         .select("key", F.ceil(F.col("n") * 2 / part).cast("int").alias("parts"))
     )
-    hot = stage(hot, "simhash-hot")
-    keyed = keyed.join(hot, "key", "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    wide = [c for c in keyed.columns if c == "fp"]
+    keyed = keyed.join(stage(hot, "simhash-hot"), "key", "left")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     split = F.transform(others, lambda q: F.xxhash64("key", F.least(own, q), F.greatest(own, q)))
-    keyed = keyed.select("fp", F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(split)).alias("key"))
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = keyed.select("node", *wide, F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(split)).alias("key"))
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(n, "key").sortWithinPartitions("key")
-    return dealt.mapInPandas(_bucket_links(radius), "u long, v long")
+    return dealt.mapInPandas(_bucket_links(radius, bool(wide), chunk), "u long, v long")
+
+
+def fingerprint_links(prints: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
+    """Distinct ``fp`` -> ``(u, v)``: links that span every class of close fingerprints.
+
+    Exact for a radius of 3 or less.
+    """
+    if radius > 3:
+        raise ValueError("the block tables are exact for a radius of 3 at most")
+    keyed = prints.select(F.col("fp").alias("node"), F.explode(candidate_keys(F.col("fp"))).alias("key"))
+    return compare_buckets(keyed, radius, part)
 
 
 def near_duplicates(
@@ -242,16 +255,25 @@ def near_duplicates(
         ),
         "simhash-slim",
     )
-    of_print = stage(
-        slim.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best")),
-        "simhash-prints",
-    )
-    classes = stage(connected_components(fingerprint_links(of_print.select("fp"), radius)), "simhash-classes")
-    members = of_print.join(classes.withColumnRenamed("node", "fp"), "fp")
+    of_print = stage(print_groups(slim).withColumn("node", F.col("fp")), "simhash-prints")
+    return print_classes(slim, of_print, fingerprint_links(of_print.select("fp"), radius))
+
+
+def print_groups(slim: DataFrame, *more: Column) -> DataFrame:
+    """One row a fingerprint, with the least id and the best row of its documents."""
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best")
+    return slim.groupBy("fp").agg(F.min("doc_id").alias("low"), best, *more)
+
+
+def print_classes(slim: DataFrame, of_print: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``near_duplicates`` from the links between the ``node`` of ``of_print``."""
+    of_print = of_print.select("fp", "low", "best", "node")
+    classes = stage(connected_components(links), "simhash-classes")
+    members = of_print.join(classes, "node")
     tops = stage(members.groupBy("root").agg(F.min("low").alias("c_low"), F.min("best").alias("c_best")), "simhash-tops")
-    linked = classes.withColumnRenamed("node", "fp").join(tops, "root").select("fp", "c_low", "c_best")
+    linked = classes.join(tops, "root").select("node", "c_low", "c_best")
     info = stage(
-        of_print.join(linked, "fp", "left").select(
+        of_print.join(linked, "node", "left").select(
             "fp", F.coalesce("c_low", "low").alias("component_id"), F.coalesce("c_best", "best").alias("best")
         ),
         "simhash-info",
@@ -263,12 +285,13 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes=near_duplicates, **how) -> DataFrame:
     """The documents that stay: of each component the row of the least id and text.
 
-    Columns are those of ``docs``. Of repeated rows of the keeper one stays.
+    ``classes`` finds the components: ``near_duplicates`` or another function of its
+    form. Columns are those of ``docs``. Of repeated rows of the keeper one stays.
     """
-    found = stage(near_duplicates(docs, id_col, text_col, **how), "simhash-found")
+    found = stage(classes(docs, id_col, text_col, **how).drop("fp"), "simhash-found")
     ids = [F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")]
     losers = stage_side(found.where("NOT keeper").select(*ids).distinct(), "simhash-losers")
     again = stage_side(

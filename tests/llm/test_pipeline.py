@@ -1,7 +1,7 @@
 """The pipeline's rows against the stages' operators, stage by stage."""
 
 import corpus_pipeline
-from strandloom.llm import decontamination, simhash
+from strandloom.llm import decontamination, wide_simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def test_stages_take_effect(spark):
         if name == "line_dedup":
             assert kept == had
         if name == "simhash_near_dedup":
-            classes = simhash.near_duplicates(before).collect()
+            classes = wide_simhash.near_copies(before).collect()
             assert kept == {r.component_id for r in classes}
         if name == "decontamination":
             found = decontamination.find_contamination(before, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()
