@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import decontamination, line_dedup, mixing, simhash, staging, toxicity
+from strandloom.llm import decontamination, line_dedup, mixing, simhash, staging, toxicity, wide_simhash
 
 
 def _reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,12 +18,12 @@ def _drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of close fingerprints the document of the least id stays.
+    """Of each class of near copies (five words, 0.8) the document of the least id stays.
 
     Wordless texts, among them those that lost all lines, are one class like in the
     operator itself.
     """
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, classes=wide_simhash.near_copies)
 
 
 def _reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
