@@ -78,3 +78,56 @@ def test_nulls_empties_repeats_short_texts_and_clashing_names(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 5, 7, 8]
     assert wide_simhash.near_copies(docs.limit(0)).count() == 0
     assert simhash.keep_one(docs.limit(0), classes=wide_simhash.near_copies).count() == 0
+
+
+def numbered(*runs):
+    return " ".join(f"w{k}" for a, b in runs for k in range(a, b))
+
+
+def test_links_are_exact_similarities(spark):
+    texts = {
+        1: numbered((0, 8)), 2: numbered((0, 9)),  # 4 of 5 shingles
+        3: numbered((100, 116)), 4: numbered((100, 119)),  # 12 of 15
+        5: numbered((200, 210)), 6: numbered((200, 211)),  # 6 of 7
+        7: numbered((300, 307)), 8: numbered((300, 308)),  # 3 of 4: apart
+    }
+    for k in range(60):  # 296 shared shingles, 50 own: 0.747 between any two
+        texts[100 + k] = numbered((1000, 1300), (10_000 + 100 * k, 10_050 + 100 * k))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in wide_simhash.near_copies(docs).collect()}
+    assert got == {i: {2: 1, 4: 3, 6: 5}.get(i, i) for i in texts}
+
+
+def test_classes_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(400):
+        words = [f"t{k}" for k in range(60 + 40 * (i % 4))]
+        at = rng.integers(0, len(words), int(rng.integers(0, 4)))
+        for k in at:
+            words[k] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    least = {i: i for i, _ in rows}
+
+    def top(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for a, b in similar_pairs(docs.collect(), 0.8):
+        a, b = sorted((top(a), top(b)))
+        least[b] = a
+    assert {r.doc_id: r.component_id for r in wide_simhash.near_copies(docs).collect()} == {i: top(i) for i in least}
+
+
+def test_parts_of_a_large_class_lose_no_link(spark):
+    sets = [(i, np.arange(i, i + 40, dtype="<u8")) for i in range(0, 300, 2)]  # a chain: neighbours share 38 of 42
+    rows = [(i, bytearray(wide_simhash.signature(wide_simhash._mix(h))[0]), bytearray(h.tobytes())) for i, h in sets]
+    table = spark.createDataFrame(rows, "node long, fp binary, hashes binary")
+    candidates = table.select("node", F.lit(0).cast("long").alias("root"))
+    from strandloom.llm.components import connected_components
+
+    for part in (16, 512):
+        out = connected_components(wide_simhash.confirmed_links(candidates, table, 0.8, part))
+        assert out.count() == 150 and out.select("root").distinct().count() == 1
