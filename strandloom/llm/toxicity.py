@@ -94,11 +94,11 @@ def _continuations(words: np.ndarray):
 
 def features(model: ToxicityModel, text: str | None) -> np.ndarray:
     """Mean ratio, mean ratio beyond one nat, and both times the root of the length."""
-    order, own = _hashed(text)
+    order, _ = _hashed(text)
     if not len(order) or not len(model.words):
         return np.zeros(4)
-    at = np.minimum(np.searchsorted(model.words, own), len(model.words) - 1)
-    ratio = np.where(model.words[at] == own, model.ratio[at], 0.0)
+    at = np.minimum(np.searchsorted(model.words, order), len(model.words) - 1)
+    ratio = np.where(model.words[at] == order, model.ratio[at], 0.0)
     mean, beyond, root = ratio.sum() / len(order), np.maximum(ratio - 1, 0).sum() / len(order), np.sqrt(len(order))
     return np.array([mean, beyond, mean * root, beyond * root])
 

@@ -114,6 +114,15 @@ def test_toxicity_edges(spark, edge):
     assert toxicity.reject_toxic(edge.limit(0), labels).count() == 0
 
 
+def test_toxicity_counts_every_occurrence(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    texts = [r.text for r in docs.join(labels.where("toxic = 1"), "doc_id").select("text").collect()]
+    found = [t for t in texts if toxicity.probability(model, t) >= 0.5]
+    assert found and all(toxicity.probability(model, f"{t} " * 40) >= 0.5 for t in found)
+
+
 # Decontamination
 
 def brute_hits(text, items):
