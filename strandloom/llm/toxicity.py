@@ -3,8 +3,9 @@
 Two discounted models, one of toxic and one of ordinary documents, share their
 backoff: half continuation counts (in how many contexts a word is seen, gathered
 from every document, labelled or not), half pooled counts. An expression that is
-too rare to tell the classes apart has only the shared backoff, so it adds nothing
-to either side. A document's score compares its length-normalised log-likelihoods;
+too rare to tell the classes apart, or in no labelled document, has only the shared
+backoff, which each class weighs by its own discounted mass: one ratio for all of
+them. A document's score compares its length-normalised log-likelihoods;
 a small logistic curve over that difference turns it into a probability.
 """
 
@@ -25,15 +26,19 @@ from .staging import stage
 _WORD = re.compile(r"[^\W_]+")
 #: Absolute discounts for counts of one, two, and three or more.
 DISCOUNTS = np.array([0.0, 1.0, 2.0, 3.0])
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: Words of which a task keeps the distinct pairs at a time.
+_STRETCH = 1 << 20
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Sorted word hashes with their log-likelihood ratio, and the curve's weights."""
+    """Sorted word hashes with their log-likelihood ratio, the curve's weights, and the ratio of all other words."""
 
     words: np.ndarray
     ratio: np.ndarray
     weights: np.ndarray
+    rest: float = 0.0
 
 
 def training_fold(doc_id: Column) -> Column:
@@ -59,8 +64,7 @@ def _summed(keys: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.array([], np.int64)
     out = {"h": keys[first].view(np.int64)}
     for name, values in columns.items():
-        join = np.bitwise_or if name == "ctx" else np.add
-        out[name] = join.reduceat(values[order], first) if len(first) else values[:0]
+        out[name] = np.add.reduceat(values[order], first) if len(first) else values[:0]
     return pd.DataFrame(out)
 
 
@@ -72,33 +76,58 @@ def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield _summed(np.concatenate(own), toxic=toxic, plain=1 - toxic)
 
 
-def _continuations(words: np.ndarray):
+def _contexts(words: np.ndarray):
+    """mapInPandas: each (previous word, word) of a stretch of texts once, and the word's place in ``words`` or -1."""
+
+    def distinct(orders: list[np.ndarray]) -> pd.DataFrame:
+        word = np.concatenate(orders)
+        before = np.concatenate([x for o in orders for x in (np.zeros(1, np.uint64), o[:-1])])
+        pair, first = np.unique((before ^ (before >> np.uint64(31))) * _PAIR + word, return_index=True)
+        word = word[first]
+        at = np.minimum(np.searchsorted(words, word), len(words) - 1)
+        return pd.DataFrame({"pair": pair.view(np.int64), "at": np.where(words[at] == word, at, -1).astype(np.int32)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for batch in batches:
-            seen, contexts = [np.array([], np.uint64)], [np.array([], np.uint64)]
             for text in batch["text"]:
                 order, _ = _hashed(text)
-                if not len(order):
-                    continue
-                at = np.minimum(np.searchsorted(words, order), len(words) - 1)
-                known = words[at] == order
-                before = np.concatenate((np.zeros(1, np.uint64), order[:-1]))[known]
-                part = _summed(order[known], ctx=np.uint64(1) << (before & np.uint64(63)))
-                seen.append(part["h"].to_numpy().view(np.uint64))
-                contexts.append(part["ctx"].to_numpy())
-            out = _summed(np.concatenate(seen), ctx=np.concatenate(contexts))
-            yield out.assign(ctx=out["ctx"].to_numpy(np.uint64).view(np.int64))
+                if len(order):
+                    held.append(order)
+                    n += len(order)
+                if n >= _STRETCH:
+                    yield distinct(held)
+                    held, n = [], 0
+        if held:
+            yield distinct(held)
 
     return run
 
 
+def context_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many distinct contexts each of the sorted ``words`` is seen in all of ``text``, and how many all words have.
+
+    Pairs are dealt out by their own hash, so a common word is spread over all tasks.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        yield from _contexts(shared.value)(batches)
+
+    pairs = docs.select("text").mapInPandas(run, "pair long, at int").groupBy("pair").agg(F.first("at").alias("at"))
+    found = pairs.groupBy("at").count().toPandas()  # a row a word of the model
+    counts, known = np.zeros(len(words), np.int64), found[found["at"] >= 0]
+    counts[known["at"].to_numpy()] = known["count"].to_numpy()
+    return counts, int(found["count"].sum())
+
+
 def features(model: ToxicityModel, text: str | None) -> np.ndarray:
     """Mean ratio, mean ratio beyond one nat, and both times the root of the length."""
     order, _ = _hashed(text)
     if not len(order) or not len(model.words):
         return np.zeros(4)
     at = np.minimum(np.searchsorted(model.words, order), len(model.words) - 1)
-    ratio = np.where(model.words[at] == order, model.ratio[at], 0.0)
+    ratio = np.where(model.words[at] == order, model.ratio[at], model.rest)
     mean, beyond, root = ratio.sum() / len(order), np.maximum(ratio - 1, 0).sum() / len(order), np.sqrt(len(order))
     return np.array([mean, beyond, mean * root, beyond * root])
 
@@ -108,20 +137,22 @@ def probability(model: ToxicityModel, text: str | None) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _ratios(table: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _ratios(table: pd.DataFrame, contexts: np.ndarray, all_contexts: int, n_toxic: float, n_plain: float) -> tuple[np.ndarray, float]:
+    """The ratio of each word of ``table``, and of the words that have the backoff only.
+
+    ``n_toxic`` and ``n_plain`` count the classes whole; what is not in ``table`` is
+    backoff mass.
+    """
     toxic, plain = table["toxic"].to_numpy(float), table["plain"].to_numpy(float)
-    n_toxic, n_plain = max(toxic.sum(), 1.0), max(plain.sum(), 1.0)
-    contexts = np.bitwise_count(table["ctx"].to_numpy(np.int64).view(np.uint64)).astype(float)
-    shared = 0.5 * contexts / max(contexts.sum(), 1.0) + 0.5 * (toxic + plain) / (n_toxic + n_plain)
+    shared = 0.5 * contexts / max(all_contexts, 1) + 0.5 * (toxic + plain) / max(n_toxic + n_plain, 1.0)
 
-    def likelihood(counts: np.ndarray, total: float) -> np.ndarray:
+    def likelihood(counts: np.ndarray, total: float) -> tuple[np.ndarray, float]:
         off = np.minimum(DISCOUNTS[np.minimum(counts, 3).astype(int)], counts)
-        return (counts - off + max(off.sum(), 1e-9) * shared) / total
+        mass = max(off.sum() + total - counts.sum(), 1e-9)
+        return np.log(counts - off + mass * shared) - np.log(max(total, 1.0)), np.log(mass) - np.log(max(total, 1.0))
 
-    words = table["h"].to_numpy(np.int64).view(np.uint64)
-    ratio = np.log(likelihood(toxic, n_toxic)) - np.log(likelihood(plain, n_plain))
-    order = np.argsort(words)
-    return words[order], ratio[order]
+    (of_toxic, rest_toxic), (of_plain, rest_plain) = likelihood(toxic, n_toxic), likelihood(plain, n_plain)
+    return of_toxic - of_plain, float(rest_toxic - rest_plain)
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -148,9 +179,11 @@ def fit(
 
     ``sample_rows`` bounds the labelled rows that are learned from (drawn by hash of
     the id; all of them while there are fewer), so their ids are safe to broadcast.
-    The model holds the words of at least ``min_documents`` labelled documents and
+    The model lists the words of at least ``min_documents`` labelled documents and
     of at least ``min_share`` of a class's counts: at most ``2 / min_share`` words at
-    any scale. Backoff counts come from all documents. Rows without a label or id
+    any scale. The counts of all others are backoff mass (those of one or two
+    documents are discounted to nothing anyway). Contexts are counted over all
+    documents, each distinct pair of words once. Rows without a label or id
     are not learned from; of several labels for an id the largest counts. With no
     labelled rows every score is near 0.
     """
@@ -164,27 +197,20 @@ def fit(
     labelled = text.join(F.broadcast(wanted), "__id").select("text", "toxic")
     counts = stage(
         labelled.mapInPandas(_class_counts, "h long, toxic long, plain long")
-        .groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-        .where(F.col("toxic") + F.col("plain") >= min_documents),
+        .groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")),
         "toxicity-counts",
     )
     total = counts.agg(F.sum("toxic").alias("t"), F.sum("plain").alias("p")).first()
-    counts = counts.where((F.col("toxic") >= min_share * (total.t or 0)) | (F.col("plain") >= min_share * (total.p or 0)))
+    n_toxic, n_plain = total.t or 0, total.p or 0
+    counts = counts.where(F.col("toxic") + F.col("plain") >= min_documents)
+    counts = counts.where((F.col("toxic") >= min_share * n_toxic) | (F.col("plain") >= min_share * n_plain))
     table = counts.toPandas()  # at most 2 / min_share rows
-    words = np.sort(table["h"].to_numpy(np.int64).view(np.uint64))
+    table = table.iloc[np.argsort(table["h"].to_numpy(np.int64).view(np.uint64))]
+    words = table["h"].to_numpy(np.int64).view(np.uint64)
     if not len(words):
         return ToxicityModel(words, np.zeros(0), _fit_curve(np.zeros((0, 4)), np.zeros(0)))
-    shared = spark.sparkContext.broadcast(words)
-
-    def continuations(batches):
-        yield from _continuations(shared.value)(batches)
-
-    contexts = text.select("text").mapInPandas(continuations, "h long, ctx long")
-    contexts = contexts.groupBy("h").agg(F.bit_or("ctx").alias("ctx")).toPandas()
-    table = table.merge(contexts, on="h", how="left")
-    table["ctx"] = table["ctx"].fillna(0).astype(np.int64)
-    words, ratio = _ratios(table)
-    sent = spark.sparkContext.broadcast(ToxicityModel(words, ratio, np.zeros(5)))
+    ratio, rest = _ratios(table, *context_counts(text, words), n_toxic, n_plain)
+    sent = spark.sparkContext.broadcast(ToxicityModel(words, ratio, np.zeros(5), rest))
 
     def measured(batches):
         for batch in batches:
@@ -193,7 +219,7 @@ def fit(
 
     seen = labelled.mapInPandas(measured, "a double, b double, c double, d double, toxic double").toPandas()
     seen = seen.sort_values(list(seen.columns))  # the same sums whatever the order of tasks
-    return ToxicityModel(words, ratio, _fit_curve(seen[list("abcd")].to_numpy(), (seen["toxic"] > 0).to_numpy(float)))
+    return ToxicityModel(words, ratio, _fit_curve(seen[list("abcd")].to_numpy(), (seen["toxic"] > 0).to_numpy(float)), rest)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "score") -> DataFrame:

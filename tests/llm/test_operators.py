@@ -4,6 +4,7 @@ import hashlib
 import html
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -123,6 +124,29 @@ def test_toxicity_counts_every_occurrence(spark):
     assert found and all(toxicity.probability(model, f"{t} " * 40) >= 0.5 for t in found)
 
 
+def test_toxicity_contexts_are_counted_whole(spark):
+    texts = [f"a{k} hot b{k % 7} rare{k}" for k in range(500)] * 2 + ["hot", None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    pairs = {(b, w) for t in texts for b, w in zip([None, *(t or "").split()], (t or "").split())}
+    words = np.sort([toxicity._hashed(w)[0][0] for w in ("hot", "b3", "unseen")])
+    counts, total = toxicity.context_counts(docs, words)
+    for w, n in (("hot", 501), ("b3", 1), ("unseen", 0)):
+        assert counts[np.searchsorted(words, toxicity._hashed(w)[0][0])] == n
+    assert total == len(pairs)
+
+
+def test_toxicity_rare_words_have_the_backoff_mass(spark):
+    rows = [(i, f"common words here rare{i}" + " vile" * (i % 4 == 0), int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    mass = {}
+    for toxic in (0, 1):
+        counts = Counter(w for i, t, x in rows if x == toxic and zlib.crc32(str(i).encode()) % 5 for w in set(t.split()))
+        mass[toxic] = sum(min(c, 3) for c in counts.values()) / sum(counts.values())
+    assert len(model.words) == 4 and abs(model.rest - np.log(mass[1] / mass[0])) < 1e-9 and abs(model.rest) > 1e-3
+    assert abs(toxicity.features(model, "never seen")[0] - model.rest) < 1e-9
+
+
 # Decontamination
 
 def brute_hits(text, items):
