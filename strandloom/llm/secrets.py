@@ -17,7 +17,14 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # 18 characters or more of AKIA[A-Z0-9]+
 HEX = r"[0-9a-f]{16,}"
 #: Candidate kinds that only ownership frequency can judge: they add spans.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])"
-PRIVATE = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+#: Header, header fields, body (the group) and footer; a key that is cut off ends with its last line of base64.
+PRIVATE = (
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:\s{0,4}[A-Z][A-Za-z-]{1,40}:[^\r\n]{0,200}){0,8}"
+    r"([A-Za-z0-9+/=\s\x5C]{0,65536}(?=-----END )|(?:(?:\s|\x5C[nr]){0,4}[A-Za-z0-9+/]{32,}={0,2}){0,400})"
+    r"(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?"
+)
+#: White space of a key's body, also as written in string literals.
+BREAKS = r"\s|\x5C[nr]"
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "token", "private")
 #: A value of more distinct owners than this is a copied example.
@@ -52,11 +59,12 @@ def _matches(text: Column, pattern: str, group: int = 0, least: int = 0) -> Colu
 def _spans(text: Column) -> Column:
     found = {
         "assign": _matches(text, ASSIGN, 2, 12), "access": _matches(text, ACCESS), "hex": _matches(text, HEX),
-        "token": _matches(text, TOKEN), "private": _matches(text, PRIVATE),
+        "token": _matches(text, TOKEN), "private": _matches(text, PRIVATE, 1),
     }
 
     def of_kind(kind: int, rows: Column) -> Column:
-        digest = lambda x: F.xxhash64(x["value"], F.sha2(x["value"], 256))
+        value = lambda x: F.regexp_replace(x["value"], BREAKS, "") if KINDS[kind] == "private" else x["value"]
+        digest = lambda x: F.xxhash64(value(x), F.sha2(value(x), 256))
         return F.transform(
             rows, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), digest(x).alias("digest"))
         )

@@ -391,3 +391,25 @@ def test_widely_copied_values_are_no_live_secrets(spark):
     rows = [(i, f"see {value} here", f"s{i}") for i in range(5)] + [(9, f"use {own} now", "s9"), (10, f"use {own} now", "s9")]
     live = {(r.doc_id, s.kind): (s.owners, s.repositories, s.live) for r in secrets.scan_secrets(docs_of(spark, rows)).collect() for s in r.spans}
     assert live[0, 3] == (5, 5, False) and live[9, 3] == (1, 2, True)
+
+
+def pem(seed, kind="RSA PRIVATE KEY", lines="\n", fields=""):
+    body = "".join(hashlib.sha512(f"{seed}-{k}".encode()).hexdigest() for k in range(8)).upper()
+    return f"-----BEGIN {kind}-----{lines}{fields}" + lines.join(body[k : k + 64] for k in range(0, len(body), 64)) + f"{lines}-----END {kind}-----"
+
+
+def test_private_keys_are_told_apart_by_their_bodies(spark):
+    own = [(i, f"key:\n{pem(i)}\nend", f"s{i}") for i in range(6)]
+    shared = [(10 + i, pem("x", lines=("\n", "\r\n", "\\n", " ")[i % 4]), f"s{i}") for i in range(6)]
+    fields = [(20, pem("y", "PRIVATE KEY", fields="Proc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,00FF\n\n"), "s1")]
+    cut = [(30, pem("z")[:300] + "\nand so on, more text", "s1")]
+    bare = [(40 + i, "-----BEGIN RSA PRIVATE KEY----- starts a key", f"s{i}") for i in range(6)]
+    rows = own + shared + fields + cut + bare
+    got = {r.doc_id: [s for s in r.spans if s.kind == 4] for r in secrets.scan_secrets(docs_of(spark, rows)).collect()}
+    assert all(len(spans) == 1 for spans in got.values())
+    live = {i: (s.owners, s.live) for i, (s,) in got.items()}
+    assert all(live[i] == (1, True) for i in (*range(6), 20, 30)) and all(live[i] == (6, False) for i in (*range(10, 16), *range(40, 46)))
+    texts = {i: t for i, t, _ in rows}
+    held = {i: texts[i][s.start : s.end] for i, (s,) in got.items()}
+    assert all(held[i] == pem(i) for i in range(6)) and all(held[i] == texts[i] for i in (*range(10, 16), 20))
+    assert held[30] == pem("z")[:300].rpartition("\n")[0] and held[40] == "-----BEGIN RSA PRIVATE KEY-----"
