@@ -2,7 +2,8 @@
 
 Candidates are found by pattern in each text; the hashes of their values are then
 counted over the whole corpus by distinct repositories and owners. A value held by
-few owners looks like a live credential; one copied widely is an example.
+few owners and in few repositories looks like a live credential; one copied widely,
+be it by one owner, is an example.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "token", "private")
 #: A value of more distinct owners than this is a copied example.
 LIVE_OWNERS = 2
+#: Likewise of more distinct repositories.
+LIVE_REPOSITORIES = 10
 
 
 def _matches(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
@@ -74,14 +77,15 @@ def _spans(text: Column) -> Column:
 
 def scan_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str | None = None,
-    owner_col: str = "source", live_owners: int = LIVE_OWNERS,
+    owner_col: str = "source", live_owners: int = LIVE_OWNERS, live_repositories: int = LIVE_REPOSITORIES,
 ) -> DataFrame:
     """One row a document: ``doc_id`` and ``spans``, an array sorted by start and kind.
 
     A span is ``start, kind, end, digest, owners, repositories, live``: offsets are
     code points, ``kind`` indexes ``KINDS``, ``owners`` and ``repositories`` are the
     distinct ones that hold the value anywhere in the corpus (null ones count as one
-    more), and ``live`` says that at most ``live_owners`` owners do. Without a
+    more), and ``live`` says that at most ``live_owners`` owners and
+    ``live_repositories`` repositories do. Without a
     ``repository_col`` a document is its own repository. Null and empty texts have no
     spans; repeated rows are scanned each.
     """
@@ -102,8 +106,9 @@ def scan_secrets(
         ),
         "secrets-spread",
     )
+    live = (F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories)
     judged = each.join(spread, "digest").select(
-        "row", F.struct("start", "kind", "end", "digest", "owners", "repositories", (F.col("owners") <= live_owners).alias("live")).alias("s")
+        "row", F.struct("start", "kind", "end", "digest", "owners", "repositories", live.alias("live")).alias("s")
     )
     # The spans of a row are what its own text holds.
     rows = stage(judged.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("spans")), "secrets-rows")
