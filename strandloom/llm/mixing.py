@@ -105,7 +105,7 @@ def _settle(sizes: DataFrame, weights, share: float, most: int, block_docs: int)
     return sizes.sparkSession.createDataFrame(list(rows), schema)
 
 
-def _draws(placed: DataFrame, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def _draws(placed: DataFrame, most: int, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """The draws of each block, and the documents taken of blocks drawn in part."""
     spark = placed.sparkSession
     blocks = placed.groupBy("__number", "__block").agg(
@@ -123,7 +123,7 @@ def _draws(placed: DataFrame, shards: int, seed: int) -> tuple[DataFrame, DataFr
     dealt = np.cumsum(split_quotas(np.array([r.drawn for r in quota], np.int64), shards, seed), axis=0)
     ends = [(r["__number"], int(r.n), [int(x) for x in dealt[:, i]]) for i, r in enumerate(quota)]
     bounds = spark.createDataFrame(ends, "__number long, n long, ends array<long>")
-    copies = F.filter(F.sequence(F.lit(0), F.lit(MOST)), lambda c: c < F.col("passes") + F.col("last"))
+    copies = F.filter(F.sequence(F.lit(0), F.lit(most)), lambda c: c < F.col("passes") + F.col("last"))
     shard = lambda c: F.size(F.filter("ends", lambda e: e <= c * F.col("n") + F.col("rank")))
     draws = F.transform(copies, lambda c: F.struct(c.alias("copy"), shard(c).alias("shard")))
     blocks = blocks.join(bounds, "__number")
@@ -158,7 +158,7 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     sizes = slim.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     known = stage_side(_settle(sizes, weights, share, most, block_docs), "mix-sources")
     placed = stage(_placed(slim, known, seed), "mix-placed")
-    return known, placed, *_draws(placed, shards, seed)
+    return known, placed, *_draws(placed, most, shards, seed)
 
 
 def plan_mix(

@@ -420,3 +420,10 @@ def test_values_in_many_repositories_of_one_owner_are_no_live_secrets(spark):
     rows = [(i, f"see {value} here, page {i}", "s0") for i in range(11)] + [(20 + i, f"use {own} now", "s0") for i in range(10)]
     live = {r.doc_id: [(s.owners, s.repositories, s.live) for s in r.spans] for r in secrets.scan_secrets(docs_of(spark, rows)).collect()}
     assert live[0] == [(1, 11, False)] and live[20] == [(1, 10, True)]
+
+
+def test_mixing_draws_as_many_copies_as_asked(spark):
+    docs = docs_of(spark, [(i, "five words in each text", f"s{i % 2}") for i in range(200)])
+    plan = mixing.plan_mix(docs, most=4, share=4.0, block_docs=8).collect()
+    assert all(len(r.draws) == 4 for r in plan) and sum(r.size * len(r.draws) for r in plan) == 4 * 1000
+    assert mixing.mix(docs, most=4, share=4.0, block_docs=8).count() == 800
