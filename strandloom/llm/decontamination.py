@@ -163,10 +163,14 @@ def contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
     return (n_hit > 0) & (n_hit * share >= n_words)
 
 
-def reject_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """The documents that aren't contaminated, with the columns of ``docs``."""
+def reject_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", share: int | None = None, **how) -> DataFrame:
+    """The documents without a benchmark window, with the columns of ``docs``.
+
+    With a ``share`` only documents go whose hit words are at least one in ``share``.
+    """
     found = find_contamination(docs, benchmark, text_col=text_col, **how)
-    bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("text_key").alias("__bad")).distinct()
+    hit = F.col("n_hit") > 0 if share is None else contaminated(F.col("n_hit"), F.col("n_words"), share)
+    bad = found.where(hit).select(F.col("text_key").alias("__bad")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.concat_ws(":", F.md5(text), F.octet_length(text))
     return docs.join(stage_side(bad, "contamination-bad"), key == F.col("__bad"), "left_anti")

@@ -182,7 +182,9 @@ def test_decontamination_against_brute_force(spark):
     assert mine == sorted((str(i), n, h, tuple(f)) for i, t, _ in rows for n, h, f in [brute_hits(t, items)])
     left = decontamination.reject_contaminated(docs_of(spark, rows), benchmark)
     assert left.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
-    assert left.count() == sum(not (h > 0 and 20 * h >= n) for _, t, _ in rows for n, h, _ in [brute_hits(t, items)])
+    assert left.count() == sum(not h for _, t, _ in rows for _, h, _ in [brute_hits(t, items)])
+    by_share = decontamination.reject_contaminated(docs_of(spark, rows), benchmark, share=20)
+    assert by_share.count() == sum(not (h > 0 and 20 * h >= n) for _, t, _ in rows for n, h, _ in [brute_hits(t, items)])
 
 
 def test_decontamination_empty(spark, edge):
