@@ -27,7 +27,7 @@ def _keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with at least one word in twenty inside benchmark windows go."""
+    """Documents that hold a window of a benchmark item go, however long they are."""
     return decontamination.reject_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
