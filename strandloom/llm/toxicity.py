@@ -1,105 +1,183 @@
 """Toxicity from class-conditional Kneser-Ney word models.
 
-Two discounted models, one of toxic and one of ordinary documents, share their
-backoff: half continuation counts (in how many contexts a word is seen, gathered
-from every document, labelled or not), half pooled counts. An expression that is
-too rare to tell the classes apart, or in no labelled document, has only the shared
-backoff, which each class weighs by its own discounted mass: one ratio for all of
-them. A document's score compares its length-normalised log-likelihoods;
-a small logistic curve over that difference turns it into a probability.
+Both classes share a model of order two: pairs of words with modified Kneser-Ney
+discounts, backed off to the continuation counts of the whole corpus (in how many
+distinct contexts a word is seen), labelled or not. Each class has a Kneser-Ney model
+of its own words, by the contexts they have in its documents, smoothed by the same
+continuation counts; it bends the shared model to its own marginals and norms it anew
+in each context. A document is judged by the difference of the two log-likelihoods of
+its words, divided by their number. A rare expression is left to the shared counts,
+so that the two likelihoods hardly differ.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+import zstandard
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from .staging import stage
+from .tokens import Lookup, mix, stretches
 
-_WORD = re.compile(r"[^\W_]+")
-#: Absolute discounts for counts of one, two, and three or more.
-DISCOUNTS = np.array([0.0, 1.0, 2.0, 3.0])
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
-#: Words of which a task keeps the distinct pairs at a time.
-_STRETCH = 1 << 20
+#: Stands before the first word of a text.
+_START = np.uint64(1)
+#: Words of which a task gathers the distinct pairs before it gives them out.
+_GATHERED = 1 << 22
+#: Bits of a context's hash: a word of a million contexts is short by about seven.
+_CONTEXT_BITS = 36
+#: No discount is less, so that every class keeps some backoff mass.
+_LEAST_DISCOUNT = 0.05
+#: Nats from which a word's log-ratio counts as striking.
+STRIKING = 2.0
+#: One in so many labelled documents is kept from the counts, to fit the curve on.
+CURVE_SHARE = 5
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Sorted word hashes with their log-likelihood ratio, the curve's weights, and the ratio of all other words."""
+    """Log-ratios of toxic to ordinary likelihood: of a word, and of the norms of the context before it.
 
-    words: np.ndarray
-    ratio: np.ndarray
+    The last entries are those of words that are not listed; the one before in
+    ``of_context`` is that of the start of a text.
+    """
+
+    words: Lookup
+    of_context: np.ndarray
+    of_word: np.ndarray
     weights: np.ndarray
-    rest: float = 0.0
+
+
+def _fold(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
 def training_fold(doc_id: Column) -> Column:
     """True where labels may be learned; a null id belongs to no fold."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
+    return F.coalesce(_fold(doc_id) != 0, F.lit(False))
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return F.coalesce(_fold(doc_id) == 0, F.lit(False))
+
+
+def _pair_code(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * _PAIR + word)
+
+
+def _in_context(texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(before, word, owner)`` of each stretch; a text's first word follows the start."""
+    last, last_owner = _START, -1
+    for word, owner in stretches(texts):
+        if len(word):
+            before = np.concatenate(([_START], word[:-1]))
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            before[first] = _START
+            if owner[0] == last_owner:
+                before[0] = last
+            last, last_owner = word[-1], int(owner[-1])
+            yield before, word, owner
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
 
 
-def _hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word in order, and the distinct hashes."""
-    words = _WORD.findall(text.lower()) if text else []
-    code = {w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in set(words)}
-    order = np.fromiter((code[w] for w in words), np.uint64, len(words))
-    return order, np.fromiter(code.values(), np.uint64, len(code))
+def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts of 0, 1, 2, and 3 or more, from how many things have counts of 1, 2, 3 and 4."""
+    n = np.concatenate(([0.0], counts_of_counts))
+    plain = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    found = [k - (k + 1) * plain * n[k + 1] / n[k] if n[k] else plain for k in (1, 2, 3)]
+    return np.concatenate(([0.0], np.clip(found, _LEAST_DISCOUNT, (1, 2, 3))))
 
 
-def _summed(keys: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.array([], np.int64)
-    out = {"h": keys[first].view(np.int64)}
-    for name, values in columns.items():
-        out[name] = np.add.reduceat(values[order], first) if len(first) else values[:0]
-    return pd.DataFrame(out)
+def _counts_of(counts: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
+
+
+def class_words(contexts: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """One class's probability of each word as a multiple of its ``shared`` one.
+
+    ``contexts`` are the distinct contexts of the words in the class. The last entry is
+    that of every word that isn't listed, so all words of the corpus sum up to one.
+    """
+    if not contexts.any():
+        return np.ones(len(shared) + 1)
+    cut = discounts(_counts_of(contexts))[np.minimum(contexts, 3)]
+    rest = cut.sum() / contexts.sum()
+    return np.append((contexts - cut) / contexts.sum() / shared + rest, rest)
 
 
 def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, n = [], 0
+
+    def summed() -> pd.DataFrame:
+        rows = np.concatenate(held, axis=1)
+        rows = rows[:, np.lexsort(rows[:2])]
+        first = np.flatnonzero(np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))))
+        toxic, plain = (np.add.reduceat(x, first) for x in (rows[2], 1 - rows[2]))
+        return pd.DataFrame({"before": rows[0, first], "word": rows[1, first], "toxic": toxic, "plain": plain})
+
     for batch in batches:
-        own = [_hashed(t)[1] for t in batch["text"]]
-        if own:
-            toxic = np.repeat(batch["toxic"].to_numpy(np.int64), [len(x) for x in own])
-            yield _summed(np.concatenate(own), toxic=toxic, plain=1 - toxic)
+        toxic = batch["toxic"].to_numpy(np.int64)
+        for before, word, owner in _in_context(batch["text"]):
+            held.append(np.stack((before.view(np.int64), word.view(np.int64), toxic[owner])))
+            n += len(word)
+            if n >= _GATHERED:
+                yield summed()
+                held, n = [], 0
+    if held:
+        yield summed()
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Sorted distinct codes as compressed planes of the bytes of their differences."""
+    steps = np.diff(codes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.T).tobytes())
+
 
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64)[:, 0], dtype=np.uint64)
 
-def _contexts(words: np.ndarray):
-    """mapInPandas: each (previous word, word) of a stretch of texts once, and the word's place in ``words`` or -1."""
 
-    def distinct(orders: list[np.ndarray]) -> pd.DataFrame:
-        word = np.concatenate(orders)
-        before = np.concatenate([x for o in orders for x in (np.zeros(1, np.uint64), o[:-1])])
-        pair, first = np.unique((before ^ (before >> np.uint64(31))) * _PAIR + word, return_index=True)
-        word = word[first]
-        at = np.minimum(np.searchsorted(words, word), len(words) - 1)
-        return pd.DataFrame({"pair": pair.view(np.int64), "at": np.where(words[at] == word, at, -1).astype(np.int32)})
+def _context_codes(words: Lookup, buckets: int):
+    """mapInPandas: the distinct contexts of words, as packed codes dealt out to buckets.
+
+    A code is the word's place (0: not listed) over the hash of its context, which is
+    shifted by word, so that the upper bits of the hash deal out the pairs evenly even
+    if all have one context. Of unlisted words the pair is hashed.
+    """
+    bits = np.uint64(_CONTEXT_BITS)
+    low = (np.uint64(1) << bits) - np.uint64(1)
+
+    def packed(held: list[np.ndarray]) -> pd.DataFrame:
+        codes = _distinct(np.concatenate(held))
+        bucket = (((codes & low) >> np.uint64(_CONTEXT_BITS - 30)) * np.uint64(buckets) >> np.uint64(30)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = [(b, _packed(codes[order[ends[b] : ends[b + 1]]])) for b in range(buckets) if ends[b] < ends[b + 1]]
+        return pd.DataFrame(rows, columns=["bucket", "codes"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
         for batch in batches:
-            for text in batch["text"]:
-                order, _ = _hashed(text)
-                if len(order):
-                    held.append(order)
-                    n += len(order)
-                if n >= _STRETCH:
-                    yield distinct(held)
+            for before, word, _ in _in_context(batch["text"]):
+                place = (words.find(word) + 1).astype(np.uint64)
+                context = np.where(place == 0, _pair_code(before, word), mix(before) + mix(place))
+                held.append(_distinct((place << bits) | (context >> np.uint64(64 - _CONTEXT_BITS))))
+                n += len(held[-1])
+                if n >= _GATHERED:
+                    yield packed(held)
                     held, n = [], 0
         if held:
-            yield distinct(held)
+            yield packed(held)
 
     return run
 
@@ -107,58 +185,82 @@ def _contexts(words: np.ndarray):
 def context_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many distinct contexts each of the sorted ``words`` is seen in all of ``text``, and how many all words have.
 
-    Pairs are dealt out by their own hash, so a common word is spread over all tasks.
+    Distinct pairs are dealt out by their own hash, so a common word is spread over all
+    tasks; a task holds its share of the distinct pairs only.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    spark = docs.sparkSession
+    if len(words) >= 1 << (64 - _CONTEXT_BITS):
+        raise ValueError("too many words for the codes")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = spark.sparkContext.broadcast(words)
 
-    def run(batches):
-        yield from _contexts(shared.value)(batches)
+    def gather(batches):
+        yield from _context_codes(Lookup(sent.value), buckets)(batches)
 
-    pairs = docs.select("text").mapInPandas(run, "pair long, at int").groupBy("pair").agg(F.first("at").alias("at"))
-    found = pairs.groupBy("at").count().toPandas()  # a row a word of the model
-    counts, known = np.zeros(len(words), np.int64), found[found["at"] >= 0]
-    counts[known["at"].to_numpy()] = known["count"].to_numpy()
-    return counts, int(found["count"].sum())
+    def counted(part: pd.DataFrame) -> pd.DataFrame:
+        codes = _distinct(np.concatenate([_unpacked(x) for x in part["codes"]]))
+        place, n = np.unique(codes >> np.uint64(_CONTEXT_BITS), return_counts=True)
+        return pd.DataFrame({"place": place.astype(np.int64), "n": n})
 
+    packed = docs.select("text").mapInPandas(gather, "bucket long, codes binary")
+    found = packed.groupBy("bucket").applyInPandas(counted, "place long, n long")
+    found = found.groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # a row a word of the model
+    counts = np.zeros(len(words) + 1, np.int64)
+    counts[found["place"].to_numpy()] = found["n"].to_numpy()
+    return counts[1:], int(counts.sum())
 
-def features(model: ToxicityModel, text: str | None) -> np.ndarray:
-    """Mean ratio, mean ratio beyond one nat, and both times the root of the length."""
-    order, _ = _hashed(text)
-    if not len(order) or not len(model.words):
-        return np.zeros(4)
-    at = np.minimum(np.searchsorted(model.words, order), len(model.words) - 1)
-    ratio = np.where(model.words[at] == order, model.ratio[at], model.rest)
-    mean, beyond, root = ratio.sum() / len(order), np.maximum(ratio - 1, 0).sum() / len(order), np.sqrt(len(order))
-    return np.array([mean, beyond, mean * root, beyond * root])
 
+def _norms(pairs: DataFrame, words: np.ndarray, toxic: np.ndarray, plain: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """For each word as a context (then the start, then any other) the log-ratio of the classes' norms.
 
-def probability(model: ToxicityModel, text: str | None) -> float:
-    z = float(model.weights[0] + model.weights[1:] @ features(model, text))
-    return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+    The norm of a class in a context is the sum over all words of the shared model's
+    probability times the class's multiple: that of the pairs seen, and the backoff mass.
+    """
+    sent = pairs.sparkSession.sparkContext.broadcast((words, toxic, plain, cut))
 
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, toxic, plain, cut = sent.value
+        known = Lookup(words)
+        for batch in batches:
+            before, word = (batch[c].to_numpy(np.int64).view(np.uint64) for c in ("before", "word"))
+            n = (batch["toxic"] + batch["plain"]).to_numpy(np.int64)
+            off, at = cut[np.minimum(n, 3)], known.find(word)
+            place = np.where(before == _START, len(words), known.find(before))
+            yield pd.DataFrame({"place": place.astype(np.int64), "n": n, "off": off, "toxic": (n - off) * toxic[at], "plain": (n - off) * plain[at]})
+
+    rows = pairs.mapInPandas(sums, "place long, n long, off double, toxic double, plain double")
+    found = rows.groupBy("place").agg(*[F.sum(c).alias(c) for c in ("n", "off", "toxic", "plain")]).toArrow()  # a row a word
+    out, place = np.zeros(len(words) + 2), found["place"].to_numpy()
+    off = found["off"].to_numpy()
+    out[place] = np.log(found["toxic"].to_numpy() + off) - np.log(found["plain"].to_numpy() + off)
+    return out
 
-def _ratios(table: pd.DataFrame, contexts: np.ndarray, all_contexts: int, n_toxic: float, n_plain: float) -> tuple[np.ndarray, float]:
-    """The ratio of each word of ``table``, and of the words that have the backoff only.
 
-    ``n_toxic`` and ``n_plain`` count the classes whole; what is not in ``table`` is
-    backoff mass.
+def differences(model: ToxicityModel, texts) -> np.ndarray:
+    """For each text the difference of its length-normalised log-likelihoods, and of the part beyond ``STRIKING`` nats a word.
+
+    Both also times the root of the number of words; zeros without words.
     """
-    toxic, plain = table["toxic"].to_numpy(float), table["plain"].to_numpy(float)
-    shared = 0.5 * contexts / max(all_contexts, 1) + 0.5 * (toxic + plain) / max(n_toxic + n_plain, 1.0)
+    total, beyond, n = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
+    if len(model.words.keys):
+        for before, word, owner in _in_context(texts):
+            context = np.where(before == _START, len(model.of_context) - 2, model.words.find(before))
+            ratio = model.of_word[model.words.find(word)] - model.of_context[context]  # -1 is the last
+            total += np.bincount(owner, ratio, len(texts))
+            beyond += np.bincount(owner, np.maximum(ratio - STRIKING, 0), len(texts))
+            n += np.bincount(owner, minlength=len(texts))
+    out = np.stack((total, beyond)) / np.maximum(n, 1)
+    return np.concatenate((out, out * np.sqrt(n))).T
 
-    def likelihood(counts: np.ndarray, total: float) -> tuple[np.ndarray, float]:
-        off = np.minimum(DISCOUNTS[np.minimum(counts, 3).astype(int)], counts)
-        mass = max(off.sum() + total - counts.sum(), 1e-9)
-        return np.log(counts - off + mass * shared) - np.log(max(total, 1.0)), np.log(mass) - np.log(max(total, 1.0))
 
-    (of_toxic, rest_toxic), (of_plain, rest_plain) = likelihood(toxic, n_toxic), likelihood(plain, n_plain)
-    return of_toxic - of_plain, float(rest_toxic - rest_plain)
+def probabilities(model: ToxicityModel, texts) -> np.ndarray:
+    z = model.weights[0] + differences(model, texts) @ model.weights[1:]
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if not len(y) or y.min() == y.max():
-        sure = -10.0 if not len(y) or not y.max() else 10.0
-        return np.array([sure, 0, 0, 0, 0])
+        return np.array([10.0 if len(y) and y.max() else -10.0, 0, 0, 0, 0])
     scale = x.std(axis=0)
     scale[scale == 0] = 1
     full = np.column_stack((np.ones(len(x)), x / scale))
@@ -171,64 +273,68 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate((w[:1], w[1:] / scale))
 
 
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, sample_rows: int) -> DataFrame:
+    """``text, toxic, curve`` of the labelled documents that are learned from."""
+    wanted = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("toxic"))
+    wanted = wanted.where(training_fold(F.col("__id")) & F.col("toxic").isNotNull())
+    share = min(1.0, sample_rows / max(1, wanted.count()))
+    wanted = wanted.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    wanted = wanted.groupBy("__id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    order = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit(7), "__id"), "__id"))
+    wanted = wanted.withColumn("curve", order % CURVE_SHARE == 0)  # at most sample_rows
+    return stage(docs.join(F.broadcast(wanted), "__id").select("text", "toxic", "curve"), "toxicity-labelled")
+
+
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample_rows: int = 200_000, min_documents: int = 3, min_share: float = 2e-6,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000
 ) -> ToxicityModel:
     """Learn from the labelled rows of the training folds.
 
-    ``sample_rows`` bounds the labelled rows that are learned from (drawn by hash of
-    the id; all of them while there are fewer), so their ids are safe to broadcast.
-    The model lists the words of at least ``min_documents`` labelled documents and
-    of at least ``min_share`` of a class's counts: at most ``2 / min_share`` words at
-    any scale. The counts of all others are backoff mass (those of one or two
-    documents are discounted to nothing anyway). Contexts are counted over all
-    documents, each distinct pair of words once. Rows without a label or id
-    are not learned from; of several labels for an id the largest counts. With no
-    labelled rows every score is near 0.
+    ``sample_rows`` bounds the labelled rows that are learned from (drawn by hash of the
+    id; all of them while there are fewer), so their ids are safe to broadcast and their
+    words to gather. The continuation counts are of all words of all documents. A fifth
+    of each class's labelled documents is kept from the counts: the curve is fitted on
+    them. Rows without a label or id are not learned from; of several labels for an id
+    the largest counts. With no labelled rows, or of one class only, every score is
+    near that class.
     """
     spark = docs.sparkSession
-    wanted = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("toxic"))
-    wanted = wanted.where(training_fold(F.col("__id")) & F.col("toxic").isNotNull())
-    share = min(1.0, sample_rows / max(1, wanted.count()))
-    wanted = wanted.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    wanted = wanted.groupBy("__id").agg(F.max("toxic").alias("toxic"))
     text = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    labelled = text.join(F.broadcast(wanted), "__id").select("text", "toxic")
-    counts = stage(
-        labelled.mapInPandas(_class_counts, "h long, toxic long, plain long")
-        .groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")),
-        "toxicity-counts",
+    labelled = _labelled(text, labels, id_col, label_col, sample_rows)
+    pairs = stage(
+        labelled.where("NOT curve").mapInPandas(_class_counts, "before long, word long, toxic long, plain long")
+        .groupBy("before", "word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")),
+        "toxicity-pairs",
     )
-    total = counts.agg(F.sum("toxic").alias("t"), F.sum("plain").alias("p")).first()
-    n_toxic, n_plain = total.t or 0, total.p or 0
-    counts = counts.where(F.col("toxic") + F.col("plain") >= min_documents)
-    counts = counts.where((F.col("toxic") >= min_share * n_toxic) | (F.col("plain") >= min_share * n_plain))
-    table = counts.toPandas()  # at most 2 / min_share rows
-    table = table.iloc[np.argsort(table["h"].to_numpy(np.int64).view(np.uint64))]
-    words = table["h"].to_numpy(np.int64).view(np.uint64)
-    if not len(words):
-        return ToxicityModel(words, np.zeros(0), _fit_curve(np.zeros((0, 4)), np.zeros(0)))
-    ratio, rest = _ratios(table, *context_counts(text, words), n_toxic, n_plain)
-    sent = spark.sparkContext.broadcast(ToxicityModel(words, ratio, np.zeros(5), rest))
+    own = pairs.groupBy("word").agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("plain") > 0).alias("plain")).toArrow()
+    words = own["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    words = words[order]
+    counts, all_counts = context_counts(text, words) if len(words) else (np.zeros(0, np.int64), 0)
+    shared = counts / max(all_counts, 1)
+    toxic, plain = (class_words(own[c].to_numpy()[order], shared) for c in ("toxic", "plain"))
+    often = {r.n: r.m for r in pairs.groupBy(F.least(F.col("toxic") + F.col("plain"), F.lit(5)).alias("n")).agg(F.count(F.lit(1)).alias("m")).collect()}
+    of_context = _norms(pairs, words, toxic, plain, discounts(np.array([often.get(k, 0) for k in (1, 2, 3, 4)])))
+    model = ToxicityModel(Lookup(words), of_context, np.log(toxic) - np.log(plain), np.zeros(5))
+    sent = spark.sparkContext.broadcast(model)
 
     def measured(batches):
         for batch in batches:
-            found = np.array([features(sent.value, t) for t in batch["text"]]).reshape(-1, 4)
+            found = differences(sent.value, batch["text"])
             yield pd.DataFrame(found, columns=list("abcd")).assign(toxic=batch["toxic"].to_numpy(float))
 
-    seen = labelled.mapInPandas(measured, "a double, b double, c double, d double, toxic double").toPandas()
+    seen = labelled.where("curve").mapInPandas(measured, "a double, b double, c double, d double, toxic double").toPandas()
     seen = seen.sort_values(list(seen.columns))  # the same sums whatever the order of tasks
-    return ToxicityModel(words, ratio, _fit_curve(seen[list("abcd")].to_numpy(), (seen["toxic"] > 0).to_numpy(float)), rest)
+    return replace(model, weights=_fit_curve(seen[list("abcd")].to_numpy(), seen["toxic"].to_numpy()))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a probability of toxicity in ``name``; null and empty texts have one too."""
+    """``docs`` with a probability of toxicity in ``name`` (a column of that name is replaced); null and empty texts have one too."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(DoubleType())
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([probability(sent.value, t) for t in texts], dtype=float)
+        return pd.Series(probabilities(sent.value, texts))
 
     return docs.withColumn(name, of(F.col(text_col)))
 

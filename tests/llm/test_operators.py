@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontamination, html_text, language, line_dedup, media, mixing, queries, secrets, toxicity, url_filter
+from strandloom.llm import decontamination, html_text, language, line_dedup, media, mixing, queries, secrets, tokens, toxicity, url_filter
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -120,31 +120,87 @@ def test_toxicity_counts_every_occurrence(spark):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
     texts = [r.text for r in docs.join(labels.where("toxic = 1"), "doc_id").select("text").collect()]
-    found = [t for t in texts if toxicity.probability(model, t) >= 0.5]
-    assert found and all(toxicity.probability(model, f"{t} " * 40) >= 0.5 for t in found)
+    found = [t for t in texts if toxicity.probabilities(model, [t])[0] >= 0.5]
+    assert len(found) > len(texts) / 2 and (toxicity.probabilities(model, [f"{t} " * 40 for t in found]) >= 0.5).all()
+
+
+def words_of(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def codes_of(words):
+    return np.concatenate([np.zeros(0, np.uint64), *(c for c, _ in tokens.stretches(words))])
+
+
+def test_words_are_coded_alike_in_long_and_short_texts():
+    texts = ["One two_one,ÉTÉ été", None, "", "x" * 400_000, "a b\n" * 200_000, "one", "\U0001d518 \ud800 ß ٣"]
+    code, owner = (np.concatenate(x) for x in zip(*tokens.stretches(texts), strict=True))
+    words = [w for t in texts for w in words_of(t)]
+    assert np.bincount(owner, minlength=len(texts)).tolist() == [len(words_of(t)) for t in texts]
+    assert len({*zip(words, code.tolist())}) == len({*words}) == len({*code.tolist()})
 
 
 def test_toxicity_contexts_are_counted_whole(spark):
     texts = [f"a{k} hot b{k % 7} rare{k}" for k in range(500)] * 2 + ["hot", None, ""]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    pairs = {(b, w) for t in texts for b, w in zip([None, *(t or "").split()], (t or "").split())}
-    words = np.sort([toxicity._hashed(w)[0][0] for w in ("hot", "b3", "unseen")])
+    pairs = {(b, w) for t in texts for b, w in zip([None, *words_of(t)], words_of(t))}
+    words = np.sort(codes_of(["hot", "b3", "unseen"]))
     counts, total = toxicity.context_counts(docs, words)
     for w, n in (("hot", 501), ("b3", 1), ("unseen", 0)):
-        assert counts[np.searchsorted(words, toxicity._hashed(w)[0][0])] == n
+        assert counts[np.searchsorted(words, codes_of([w])[0])] == n
     assert total == len(pairs)
 
 
-def test_toxicity_rare_words_have_the_backoff_mass(spark):
-    rows = [(i, f"common words here rare{i}" + " vile" * (i % 4 == 0), int(i % 4 == 0)) for i in range(400)]
+def brute_discounts(counts):
+    n = [sum(c == k for c in counts) for k in range(5)]
+    plain = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    return [0, *(min(k, max(0.05, k - (k + 1) * plain * n[k + 1] / n[k])) if n[k] else min(k, max(0.05, plain)) for k in (1, 2, 3))]
+
+
+def test_toxicity_against_brute_force(spark):
+    """Each class's probabilities sum up to one in every context, and the model has their ratios."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(12)]
+    rows = []
+    for i in range(150):
+        toxic = int(rng.random() < 0.4)
+        odds = np.arange(12, 0, -1.0) ** (2 if toxic else 1)
+        rows.append((i, " ".join(rng.choice(vocabulary, int(rng.integers(1, 9)), p=odds / odds.sum())), toxic if i < 120 else None))
+    rows.append((150, "never labelled w1", None))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
-    mass = {}
-    for toxic in (0, 1):
-        counts = Counter(w for i, t, x in rows if x == toxic and zlib.crc32(str(i).encode()) % 5 for w in set(t.split()))
-        mass[toxic] = sum(min(c, 3) for c in counts.values()) / sum(counts.values())
-    assert len(model.words) == 4 and abs(model.rest - np.log(mass[1] / mass[0])) < 1e-9 and abs(model.rest) > 1e-3
-    assert abs(toxicity.features(model, "never seen")[0] - model.rest) < 1e-9
+    labelled = toxicity._labelled(docs.select(F.col("doc_id").alias("__id"), "text"), docs.select(F.col("doc_id").alias("__id"), "toxic"), "__id", "toxic", 20_000)
+    counted = [(r.text, r.toxic) for r in labelled.where("NOT curve").collect()]
+    pair = lambda t: list(zip([None, *words_of(t)], words_of(t)))
+    corpus = {p for _, t, _ in rows for p in pair(t)}
+    everything = {w for _, w in corpus}
+    shared = {w: sum(x == w for _, x in corpus) / len(corpus) for w in everything}
+    pooled, multiple = Counter(p for t, _ in counted for p in pair(t)), []
+    off = brute_discounts(pooled.values())
+    for toxic in (1, 0):
+        own = Counter(w for _, w in {p for t, x in counted if x == toxic for p in pair(t)})
+        cut = brute_discounts(own.values())
+        rest = sum(cut[min(c, 3)] for c in own.values()) / sum(own.values())
+        multiple.append({w: ((own[w] - cut[min(own[w], 3)]) / sum(own.values()) + rest * shared[w]) / shared[w] for w in everything})
+    of_word, of_context = {}, {}
+    for before in (None, *everything):
+        follow = {w: c for (b, w), c in pooled.items() if b == before}
+        total = sum(follow.values())
+        mass = sum(off[min(c, 3)] for c in follow.values()) / total if total else 1.0
+        base = {w: ((follow[w] - off[min(follow[w], 3)]) / total if w in follow else 0) + mass * shared[w] for w in everything}
+        bent = [{w: base[w] * m[w] for w in everything} for m in multiple]
+        norm = [sum(b.values()) for b in bent]
+        for w in everything:
+            probability = [b[w] / z for b, z in zip(bent, norm, strict=True)]
+            of_word[before, w] = np.log(probability[0] / probability[1])
+        assert all(abs(sum(b.values()) / z - 1) < 1e-9 for b, z in zip(bent, norm, strict=True))
+        of_context[before] = np.log(norm[0] / norm[1])
+    place = dict(zip(model.words.keys.tolist(), range(len(model.words.keys))))
+    for before, w in of_word:
+        i, j = (place.get(int(codes_of([x])[0]), -1) if x else len(place) for x in (before, w))
+        assert abs(model.of_word[j] - model.of_context[i] - of_word[before, w]) < 1e-9
+    text = "w1 w0 w3 never"
+    assert abs(toxicity.differences(model, [text])[0, 0] - np.mean([of_word[p] for p in pair(text)])) < 1e-9
 
 
 # Decontamination
