@@ -1,10 +1,14 @@
-"""CIGAR and MD strings, unrolled to one letter a position, and clipping in closed form."""
+"""CIGAR and MD strings, unrolled to one letter a position as Columns; clipping on runs, over Arrow batches."""
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .dna import _col, let
+from .dna import PHRED_OFFSET, _col
 
 #: Operators that consume read bases, and reference bases.
 READ_OPS, REFERENCE_OPS = "MIS=X", "MDN=X"
@@ -62,62 +66,113 @@ def md_format(expanded: Column | str) -> Column:
     return F.when(text.rlike("^[mACGTNacgtn]*$"), out).otherwise(F.raise_error(F.concat(F.lit("unexpected MD letter in "), text)).cast("string"))
 
 
-def md_clip(expanded: Column, left: Column, right: Column) -> Column:
-    """Without ``left`` and ``right`` reference positions at the ends."""
-    return F.substring(expanded, left + 1, F.greatest(F.lit(0), F.char_length(expanded) - left - right))
-
-
 def edit_distance(unrolled: Column, expanded: Column) -> Column:
     """Insertions of the CIGAR and every non-match of the MD."""
     return _count(unrolled, "I") + F.char_length(expanded) - _count(expanded, "m")
 
 
-def _end(unrolled: Column, n: Column) -> Column:
-    """The shortest start of ``unrolled`` with ``n`` read-consuming operators."""
-    pattern = F.concat(F.lit("^(?:[DNHP]*[MIS=X]){"), n.cast("string"), F.lit("}"))
-    return F.call_function("regexp_extract", unrolled, pattern, F.lit(0))
+_RUN = re.compile(r"(\d+)([MIDNSHP=X])")
+_MD = re.compile(r"[0-9]+(?:(?:[A-Z]|\^[A-Z]+)[0-9]+)*")
+_MD_TOKEN = re.compile(r"(\d+)|\^([A-Z]+)|([A-Z])")
+_MD_EVENT = re.compile(r"(m*)(?:([ACGTN])|([acgtn]+))")
+Runs = list[tuple[int, str]]
+
+
+def runs_of(cigar: str | None) -> Runs:
+    """The runs of a CIGAR; none for ``*`` and null."""
+    return [(int(n), op) for n, op in _RUN.findall(cigar or "")]
+
+
+def _written(runs: Runs) -> str:
+    out: list[list] = []
+    for n, op in runs:
+        if n and out and out[-1][1] == op:
+            out[-1][0] += n
+        elif n:
+            out.append([n, op])
+    return "".join(f"{n}{op}" for n, op in out) or "*"
+
+
+def _split(runs: Runs, bases: int) -> tuple[Runs, Runs] | None:
+    """The least start with so many read bases, and the rest; None if there are fewer."""
+    for i, (n, op) in enumerate(runs):
+        if bases <= 0:
+            return runs[:i], runs[i:]
+        if op in READ_OPS:
+            if n > bases:
+                return [*runs[:i], (bases, op)], [(n - bases, op), *runs[i + 1 :]]
+            bases -= n
+    return (runs, []) if bases <= 0 else None
+
+
+def _size(runs: Runs, ops: str) -> int:
+    return sum(n for n, op in runs if op in ops)
+
+
+def _marks(cut: Runs, hard: bool) -> Runs:
+    """What stands for a clipped end, outermost first: all ``H``, or ``S`` for its bases."""
+    bases = 0 if hard else _size(cut, READ_OPS)
+    return [(sum(n for n, _ in cut) - bases, "H"), (bases, "S")]
+
+
+def _md_letters(md: str) -> str:
+    return "".join("m" * int(n) if n else gone.lower() or other for n, gone, other in _MD_TOKEN.findall(md))
+
+
+def _md_text(letters: str) -> str:
+    if other := letters.strip("mACGTNacgtn"):
+        raise ValueError(f"unexpected MD letter in {other}")
+    out, at = [], 0
+    for event in _MD_EVENT.finditer(letters):
+        out.append(f"{len(event[1])}{event[2] or '^' + event[3].upper()}")
+        at = event.end()
+    return "".join(out) + str(len(letters) - at)
+
+
+def clipped(cigar: str | None, md: str | None, n: int, hard: bool) -> tuple:
+    """``error, n, left, cigar, md, nm`` of an alignment with ``n`` bases clipped at both ends.
+
+    ``left`` counts the reference positions that go at the front; ``n`` comes back limited
+    to the length of the alignment.
+    """
+    runs = runs_of(cigar)
+    n = min(n, sum(k for k, _ in runs))
+    front = _split(runs, n)
+    rest = [*_marks(front[0], hard), *front[1]] if front else runs
+    # on what the front has left, from the other end
+    rear = _split([r for r in rest[::-1] if r[0]], n) if front else None
+    if n > 0 and not rear:
+        return "fewer read bases than are to be clipped", n, 0, None, None, None
+    if md is None or not _MD.fullmatch(md):
+        return "no valid MD", n, 0, None, None, None
+    (head, _), (tail, left) = front, rear
+    runs = [*_marks(tail, hard), *left][::-1]
+    lost = _size(head, REFERENCE_OPS)
+    letters = _md_letters(md)
+    letters = letters[lost : max(lost, len(letters) - _size(tail, REFERENCE_OPS))]
+    return None, n, lost, _written(runs), _md_text(letters), _size(runs, "I") + len(letters) - letters.count("m")
 
 
 def clip_both_ends(records: DataFrame, n: Column, hard: bool = False) -> DataFrame:
     """``records`` with ``n`` bases clipped at both ends: ``pos, cigar, md, nm, seq, qual``.
 
-    ``n`` is limited to the length of the alignment. Soft clipping leaves the bases and
-    marks them ``S``; hard clipping cuts them and marks all ``H``. ``clip_error`` says why
-    a record cannot be clipped (too few read bases, no MD); such records are unchanged.
-    Steps are bound by ``let``, so that nothing is computed inside another step again.
+    ``n`` is limited to the length of the alignment; a null one clips nothing. Soft
+    clipping leaves the bases and marks them ``S``; hard clipping cuts them and marks all
+    ``H``. ``clip_error`` says why a record cannot be clipped (too few read bases, no MD);
+    such records are unchanged. Equal alignments of a batch are worked out once.
     """
 
-    def mark(part: Column) -> Column:
-        gone = F.char_length(part) if hard else F.char_length(part) - _count(part, READ_OPS)
-        return F.concat(F.repeat(F.lit("H"), gone), F.repeat(F.lit("S"), F.char_length(part) - gone))
-
-    def marked(text: Column, part: Column) -> Column:
-        return F.reverse(F.concat(mark(part), F.substring(text, F.char_length(part) + 1, F.char_length(text))))
-
-    def end(text: Column, k: Column) -> Column:
-        return F.when(k > 0, _end(text, k)).otherwise("")
-
-    def front(x: Column) -> Column:
-        return let(end(x["u"], x["n"]), lambda p: let(marked(x["u"], p), lambda turned: rear(x, p, turned)))
-
-    def rear(x: Column, p: Column, turned: Column) -> Column:  # on what the front has left, read backwards
-        return let(end(turned, x["n"]), lambda q: let(marked(turned, q), lambda done: result(x, p, q, done)))
-
-    def result(x: Column, p: Column, q: Column, done: Column) -> Column:
-        error = F.when((x["n"] > 0) & ((p == "") | (q == "")), "fewer read bases than are to be clipped").when(
-            ~F.coalesce(md_is_valid(x["md"]), F.lit(False)), "no valid MD"
-        )
-        md = md_clip(md_expand(x["md"]), _count(p, REFERENCE_OPS), _count(q, REFERENCE_OPS))
-        return let(
-            md,
-            lambda m: F.struct(
-                error.alias("error"), x["n"].alias("n"), _count(p, REFERENCE_OPS).alias("left"), reroll(done).alias("cigar"),
-                F.when(error.isNull(), md_format(m)).alias("md"), edit_distance(done, m).alias("nm"),
-            ),
-        )
-
-    whole = let(unroll("cigar"), lambda u: let(F.struct(u.alias("u"), F.least(n, F.char_length(u)).alias("n"), F.col("md").alias("md")), front))
-    out = records.withColumn("__clip", whole)
+    @F.pandas_udf("error string, n int, left int, cigar string, md string, nm int")
+    def of(cigars: pd.Series, mds: pd.Series, ns: pd.Series) -> pd.DataFrame:
+        known: dict[tuple, tuple] = {}
+        keys = list(zip(cigars, mds, ns.fillna(0).astype(int), strict=True))
+        for key in set(keys):
+            known[key] = clipped(*key, hard)
+        out = pd.DataFrame([known[k] for k in keys], columns=["error", "n", "left", "cigar", "md", "nm"])
+        return out.astype({"nm": "Int32"})
+
+    # else a filter on the result that is pushed down clips every record twice
+    out = records.withColumn("__clip", of.asNondeterministic()("cigar", "md", n))
     ok, k = F.col("__clip.error").isNull(), F.col("__clip.n")
     changed = {
         "clip_error": F.col("__clip.error"), "pos": F.when(ok, F.col("pos") + F.col("__clip.left")).otherwise(F.col("pos")),
@@ -129,6 +184,38 @@ def clip_both_ends(records: DataFrame, n: Column, hard: bool = False) -> DataFra
     return out.withColumns(changed).drop("__clip")
 
 
+def sure_stretches(cigar: str | None, qual: str | None, pos: int, least: int) -> list[tuple[int, int]]:
+    """First and last reference position of each stretch of aligned bases that all score ``least`` or more.
+
+    Positions that are deleted or skipped, or have no score, end a stretch.
+    """
+    out: list[list[int]] = []
+    scores = (qual or "").encode("latin-1", "replace").translate(_sure_table(least))
+    at = 0
+    for n, op in runs_of(cigar):
+        if op in "M=X":
+            for good in _GOOD.finditer(scores, at, at + n):
+                first, last = pos + good.start() - at, pos + good.end() - at - 1
+                if out and out[-1][1] == first - 1:
+                    out[-1][1] = last
+                else:
+                    out.append([first, last])
+            pos += n
+        elif op in "DN":
+            pos += n
+        if op in READ_OPS:
+            at += n
+    return [tuple(x) for x in out]
+
+
+_GOOD = re.compile(rb"1+")
+
+
+@lru_cache(16)
+def _sure_table(least: int) -> bytes:
+    return bytes(49 if i - PHRED_OFFSET >= least else 48 for i in range(256))
+
+
 def is_non_empty(cigar: Column | str, pos: Column | str, sq_length: Column | str) -> Column:
     """Some ``M`` in the CIGAR and a start within the reference sequence."""
     return _col(cigar).contains("M") & (_col(pos) > 0) & (_col(pos) <= _col(sq_length))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.cigar import clip_both_ends, is_non_empty, unroll
+from ..functions.cigar import clip_both_ends, is_non_empty, sure_stretches
 from ..functions.dna import is_dna
 from ..functions.keys import flatten_key, parse_key
 from .counts import combine, count_labels
@@ -83,53 +85,88 @@ def clip(records: DataFrame, n: Column, sequences: DataFrame, hard: bool = False
     return clipped.join(sizes, F.col("rname") == F.col("__sq")).where(is_non_empty("cigar", "pos", "__sq_length")).drop("__sq", "__sq_length")
 
 
-def _base_scores(read: Column, qual: Column) -> Column:
-    """Score of the read base at each reference position, null on deletions.
+#: Targets of up to so many positions share a width of bins (a power of two).
+_WIDTHS = tuple(range(12, 32, 3))
 
-    ``read`` is an unrolled CIGAR. Each kept operator becomes its place in the read,
-    from running counts; insertions and clips consume the read only.
-    """
-    ops = F.split(read, "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
 
-    def step(s: Column, op: Column) -> Column:
-        reads, refs = op.isin("M", "I", "S", "=", "X"), op.isin("M", "D", "N", "=", "X")
-        place = F.when(reads, s["at"]).otherwise(F.lit(None).cast("int"))
-        return F.struct((s["at"] + reads.cast("int")).alias("at"), F.when(refs, F.concat(s["places"], F.array(place))).otherwise(s["places"]).alias("places"))
+def _width(length: Column) -> Column:
+    """The least of ``_WIDTHS`` whose bins are as wide as a target, so it lies in two bins at most."""
+    return F.coalesce(*[F.when(length <= 1 << w, w) for w in _WIDTHS[:-1]], F.lit(_WIDTHS[-1]))
+
+
+def _bins(first: Column, last: Column, width: Column) -> Column:
+    shifted = lambda x: F.call_function("shiftright", x, width)
+    return F.sequence(shifted(first), shifted(last))
+
+
+class TargetIndex:
+    """Targets by chromosome and start, with the least end of each and all later ones."""
+
+    def __init__(self, targets: pd.DataFrame):
+        self.held = {}
+        for chrom, own in targets.groupby("chrom"):
+            own = own.sort_values("first")
+            self.held[chrom] = own["first"].to_numpy(), np.minimum.accumulate(own["last"].to_numpy()[::-1])[::-1]
+
+    def inside(self, chrom: str, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Which stretches contain a target."""
+        starts, ends = self.held.get(chrom, (np.zeros(0, np.int64),) * 2)
+        at = np.searchsorted(starts, first)
+        out = at < len(starts)
+        out[out] = ends[at[out]] <= last[out]
+        return out
+
+
+def _meets(index, least: int) -> Column:
+    """Whether a stretch of sure bases of the record contains a target."""
+
+    @F.pandas_udf("boolean")
+    def of(chroms: pd.Series, positions: pd.Series, cigars: pd.Series, quals: pd.Series) -> pd.Series:
+        rows, names, spans = [], [], []
+        for i, (chrom, pos, cigar, qual) in enumerate(zip(chroms, positions, cigars, quals, strict=True)):
+            found = sure_stretches(cigar, qual, pos, least) if chrom in index.value.held else []
+            rows += [i] * len(found)
+            names += [chrom] * len(found)
+            spans += found
+        out = np.zeros(len(chroms), bool)
+        at, names, spans = np.array(rows, np.int64), np.array(names, object), np.array(spans, np.int64).reshape(-1, 2)
+        for chrom in set(names.tolist()):
+            own = names == chrom
+            out[at[own][index.value.inside(chrom, spans[own, 0], spans[own, 1])]] = True
+        return pd.Series(out)
 
-    places = F.aggregate(ops, start, step, lambda s: s["places"])
-    return F.transform(places, lambda i: F.ascii(F.substring(qual, i + 1, 1)) - 33)
+    return of.asNondeterministic()("rname", "pos", "cigar", "qual")
 
 
-def filter_to_targets(records: DataFrame, bed: DataFrame, min_mapq: int, min_base_quality: int, bin_size: int = 1 << 14, bed_rows: int = 1_000_000) -> DataFrame:
+def filter_to_targets(
+    records: DataFrame, bed: DataFrame, min_mapq: int, min_base_quality: int, bed_rows: int = 1_000_000, keys: tuple[str, ...] = ("file", "ordinal")
+) -> DataFrame:
     """Mapped records that cover all of some target with bases of the given quality.
 
-    A deleted base or one outside the read fails the target. A target list counted to
-    at most ``bed_rows`` is broadcast; a larger one meets the reads by bins of ``bin_size``
-    positions, so that no chromosome is one group.
+    A deleted base or one outside the read fails the target. A read becomes its stretches
+    of sure bases, which must contain a target. Of a list counted to at most ``bed_rows``
+    targets each task holds the sorted ends, and no record is moved. A larger list meets
+    the stretches by bins, whose width goes by the target's length so that it lies in two
+    at most; the records that met one are found by their ``keys``.
     """
-    aligned = F.char_length(F.regexp_replace(unroll("cigar"), "[^MDN=X]", ""))
+    spark = records.sparkSession
     reads = records.where(is_mapped() & (F.col("mapq") >= min_mapq))
-    reads = reads.withColumns({"__row": F.xxhash64(*[c for c in records.columns if c != "tags"]), "__end": F.col("pos") + aligned - 1})
-    targets = bed.select(F.col("chrom").alias("__chrom"), (F.col("start0") + 1).alias("__start"), F.col("end").alias("__stop")).distinct()
-    overlap = (F.col("rname") == F.col("__chrom")) & (F.col("__start") <= F.col("__end")) & (F.col("__stop") >= F.col("pos"))
-    slim = reads.select("__row", "rname", "pos", "__end", "cigar", "qual")
-    # Reads that meet no target go before any base is looked at; what is left is scored
-    # once a read, below the join, so that no join condition repeats the scoring.
+    targets = bed.select("chrom", (F.col("start0") + 1).cast("long").alias("first"), F.col("end").cast("long").alias("last")).where("chrom IS NOT NULL AND first <= last").distinct()
     if targets.limit(bed_rows + 1).count() <= bed_rows:
-        right, keep = F.broadcast(targets), overlap
-        scored = slim.join(right, keep, "left_semi")
-    else:
-        bins = lambda a, b: F.explode(F.sequence(F.floor(a / bin_size), F.floor(b / bin_size)))
-        right = targets.withColumn("__target_bin", bins(F.col("__start"), F.greatest("__start", "__stop")))
-        keep = overlap & (F.col("__bin") == F.col("__target_bin"))
-        scored = slim.withColumn("__bin", bins(F.col("pos"), F.greatest("pos", "__end"))).join(right, keep, "left_semi")
-    met = scored.withColumn("__scores", _base_scores(unroll("cigar"), F.col("qual"))).join(right, keep)
-    first, n = F.col("__start") - F.col("pos"), F.col("__stop") - F.col("__start") + 1
-    covered = F.slice("__scores", F.greatest(first, F.lit(0)) + 1, n)
-    whole = (first >= 0) & (F.size(covered) == n) & F.forall(covered, lambda q: F.coalesce(q >= min_base_quality, F.lit(False)))
-    good = met.where(whole).select("__row").distinct()
-    return reads.join(good, "__row", "left_semi").drop("__row", "__end")
+        index = spark.sparkContext.broadcast(TargetIndex(targets.toPandas()))
+        return reads.where(_meets(index, min_base_quality))
+
+    @F.pandas_udf("array<struct<lo:long,hi:long>>")
+    def stretches(positions: pd.Series, cigars: pd.Series, quals: pd.Series) -> pd.Series:
+        return pd.Series([sure_stretches(c, q, p, min_base_quality) for p, c, q in zip(positions, cigars, quals, strict=True)], dtype=object)
+
+    targets = targets.withColumn("__width", _width(F.col("last") - F.col("first") + 1))
+    widths = [r[0] for r in targets.select("__width").distinct().collect()]  # at most as many as _WIDTHS
+    placed = targets.select("chrom", "first", "last", "__width", F.explode(_bins(F.col("first"), F.col("last"), F.col("__width"))).alias("__bin"))
+    slim = reads.select(*keys, "rname", F.explode(stretches("pos", "cigar", "qual")).alias("s")).select(*keys, "rname", "s.lo", "s.hi")
+    slim = slim.withColumn("__w", F.explode(F.array(*map(F.lit, widths)))).withColumn("__b", F.explode(_bins(F.col("lo"), F.col("hi"), F.col("__w"))))
+    met = (F.col("rname") == F.col("chrom")) & (F.col("__w") == F.col("__width")) & (F.col("__b") == F.col("__bin")) & (F.col("lo") <= F.col("first")) & (F.col("last") <= F.col("hi"))
+    return reads.join(slim.join(placed, met, "left_semi").select(*keys).distinct(), list(keys), "left_semi")
 
 
 def restrict_damage(records: DataFrame, threshold: float, name: str = "ds") -> DataFrame:

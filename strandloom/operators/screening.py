@@ -70,11 +70,9 @@ def screen_pairs(
     parts = parse_key("key")
     keyed = keyed.withColumns({"__p5": parts["p5"], "__p7": parts["p7"]})
     keyed = label_length(label_length(keyed, "__p5", barcodes, "__n5"), "__p7", barcodes, "__n7")
-    merged = merge_pairs(keyed, F.col("__n5"), F.col("__n7"), params)
     has_key = F.col("key").isNotNull()
-    for c in ("merged_seq", "merged_qual"):
-        merged = merged.withColumn(c, F.when(has_key, F.col(c)))
-    hit = F.lit(False) if oligo is None else F.col("merged_seq").isNotNull() & is_oligo(F.col("merged_seq"), F.col("merged_qual"), oligo, params)
+    merged = merge_pairs(keyed, F.col("__n5"), F.col("__n7"), params, has_key)
+    hit = F.lit(False) if oligo is None else is_oligo(F.col("merged_seq"), F.col("merged_qual"), oligo, params)
     return merged.withColumns({"oligo": hit, "read_group": F.when(has_key, read_group(F.col("h1")))}).drop("__p5", "__p7", "__n5", "__n7")
 
 

@@ -6,11 +6,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.functions import cigar, dna, headers, keys
+from strandloom.functions import cigar, dna, headers, keys, merging
 from strandloom.functions.merging import MergeParams, merge_pairs
 from strandloom.operators import alignments as al, barcodes as bc, counts
 from strandloom.sources import text
 
+from . import merge_columns
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
@@ -100,6 +102,51 @@ def test_merge_trims_adapters_and_refuses_repeats(spark):
     assert got == {"full": seq, "repeat": None, "short": None}
 
 
+def test_merge_agrees_with_the_slow_version(spark):
+    rng = random.Random(7)
+    turned = str.maketrans("ACGTNacgtn", "TGCANtgcan")
+    rows = [(0, "", "", "", ""), (1, "ACGT" * 12, "I" * 48, "", ""), (2, "N" * 40, "I" * 40, "A" * 45, "I" * 45), (3, None, "I", "A", "I")]
+    for n in range(4, 400):
+        whole = "".join(rng.choices("ACGTN" if n % 3 else "AC", weights=(4, 4, 4, 4, 1) if n % 3 else None, k=rng.randint(20, 90)))
+        noisy = lambda s: "".join(rng.choice("ACGTNacgtn") if rng.random() < 0.06 else c for c in s)
+        k = rng.randint(30, 60)
+        reads = [noisy((x + "".join(rng.choices("ACGT", k=60)))[:k]) for x in (whole, whole[::-1].translate(turned))]
+        rows.append((n, *(x for r in reads for x in (r, "".join(chr(33 + rng.randint(0, 40)) for _ in r)))))
+    df = spark.createDataFrame(rows, "n int, r1_seq string, r1_qual string, r2_seq string, r2_qual string")
+    for cut, params in ((0, MergeParams()), (4, MergeParams(max_penalty=5, min_overlap=10, min_length=20, quality_threshold=15))):
+        usable = df.where(f"n >= 4 OR {cut} = 0").where("r1_seq IS NOT NULL")
+        fast, slow = (
+            {r.n: (r.merged_seq, r.merged_qual, r.hit) for r in f.merge_pairs(usable, F.lit(cut), F.lit(cut), params)
+             .withColumn("hit", f.is_oligo(F.col("merged_seq"), F.col("merged_qual"), "ACACCAACCA", params)).collect()}
+            for f in (merging, merge_columns)
+        )
+        assert fast == slow and 100 < sum(x[0] is not None for x in fast.values()) < 396
+    assert [r.merged_seq for r in merge_pairs(df.where("n = 3"), F.lit(0), F.lit(0)).collect()] == [None]
+    with pytest.raises(Exception, match="barcode longer"):
+        merge_pairs(df.where("n = 0"), F.lit(1), F.lit(0)).collect()
+
+
+def test_sure_stretches():
+    assert cigar.sure_stretches("2S3M1I2M1D4M2H", "IIIIIIII!III", 10, 30) == [(10, 14), (17, 19)]
+    assert cigar.sure_stretches("*", "*", 10, 30) == cigar.sure_stretches(None, None, 1, 1) == cigar.sure_stretches("5M", None, 1, 0) == []
+    assert cigar.sure_stretches("3M4N3M", "IIIIII", 5, 40) == [(5, 7), (12, 14)] and cigar.sure_stretches("2M1I2M", "I!I!!", 5, 41) == []
+
+
+def test_targets_of_any_length(spark):
+    rng = random.Random(11)
+    reads = [("f", i, "q", 0, rng.choice(["a", "b"]), rng.randint(1, 20_000), 30, "50M", "".join(rng.choice("I!") if rng.random() < 0.1 else "I" for _ in range(50)) , None) for i in range(300)]
+    records = spark.createDataFrame(reads, "file string, ordinal long, qname string, flag int, rname string, pos int, mapq int, cigar string, qual string, tags map<string,struct<type:string,value:string>>")
+    targets = [(rng.choice(["a", "b", "c"]), s := rng.randint(0, 20_000), s + rng.choice([1, 2, 30, 5000])) for _ in range(60)] + [(None, 1, 2), ("a", 0, 1 << 28)]
+    bed = spark.createDataFrame(targets, "chrom string, start0 int, end int")
+    good = lambda r: any(
+        c == r[4] and r[5] <= s + 1 and e <= r[5] + 49 and all(r[8][p - r[5]] == "I" for p in range(s + 1, e + 1)) for c, s, e in targets
+    )
+    wanted = {r[1] for r in reads if good(r)}
+    for rows in (1_000_000, 0):
+        assert {r.ordinal for r in al.filter_to_targets(records, bed, 20, 25, bed_rows=rows).collect()} == wanted
+    assert 0 < len(wanted) < 300 and al.filter_to_targets(records, bed.limit(0), 20, 25).isEmpty()
+
+
 def test_reference_sets_are_checked(spark):
     good = bc.reference_set(lines(spark, ["acgt:TTTT Q1 9", "", "GGGG  Q2"])).collect()
     assert {(r.augmented_label, r.barcode) for r in good} == {("Q1.1", "ACGT"), ("Q1.2", "TTTT"), ("Q2", "GGGG")}
