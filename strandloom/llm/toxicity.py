@@ -17,8 +17,9 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from .staging import stage
@@ -275,13 +276,17 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, sample_rows: int) -> DataFrame:
     """``text, toxic, curve`` of the labelled documents that are learned from."""
-    wanted = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("toxic"))
+    wanted = labels.select(F.col(id_col).cast(docs.schema["__id"].dataType).alias("__id"), F.col(label_col).cast("int").alias("toxic"))
     wanted = wanted.where(training_fold(F.col("__id")) & F.col("toxic").isNotNull())
     share = min(1.0, sample_rows / max(1, wanted.count()))
     wanted = wanted.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(share * 1_000_000))
     wanted = wanted.groupBy("__id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    order = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit(7), "__id"), "__id"))
-    wanted = wanted.withColumn("curve", order % CURVE_SHARE == 0)  # at most sample_rows
+    held = wanted.select("__id", "toxic", F.xxhash64(F.lit(7), "__id").alias("dice")).toArrow()  # about sample_rows
+    held = held.sort_by([("toxic", "ascending"), ("dice", "ascending"), ("__id", "ascending")])
+    toxic = held["toxic"].to_numpy()
+    rank = np.arange(len(toxic)) - np.searchsorted(toxic, toxic)
+    held = held.drop_columns("dice").append_column("curve", [pa.array(rank % CURVE_SHARE == CURVE_SHARE - 1)])
+    wanted = docs.sparkSession.createDataFrame(held, docs.select("__id").withColumns({"toxic": F.lit(0), "curve": F.lit(True)}).schema)
     return stage(docs.join(F.broadcast(wanted), "__id").select("text", "toxic", "curve"), "toxicity-labelled")
 
 
