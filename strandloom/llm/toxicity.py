@@ -28,8 +28,10 @@ from .tokens import Lookup, mix, stretches
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 #: Stands before the first word of a text.
 _START = np.uint64(1)
-#: Words of which a task gathers the distinct pairs before it gives them out.
-_GATHERED = 1 << 22
+#: Distinct pairs that a task gathers before it gives them out, and words of labelled documents.
+_GATHERED, _COUNTED = 1 << 22, 1 << 20
+#: Rows that a task gives out at a time.
+_ROWS = 1 << 15
 #: Bits of a context's hash: a word of a million contexts is short by about seven.
 _CONTEXT_BITS = 36
 #: No discount is less, so that every class keeps some backoff mass.
@@ -118,23 +120,28 @@ def class_words(contexts: np.ndarray, shared: np.ndarray) -> np.ndarray:
 def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, n = [], 0
 
-    def summed() -> pd.DataFrame:
+    def summed() -> Iterator[pd.DataFrame]:
         rows = np.concatenate(held, axis=1)
-        rows = rows[:, np.lexsort(rows[:2])]
-        first = np.flatnonzero(np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))))
-        toxic, plain = (np.add.reduceat(x, first) for x in (rows[2], 1 - rows[2]))
-        return pd.DataFrame({"before": rows[0, first], "word": rows[1, first], "toxic": toxic, "plain": plain})
+        held.clear()
+        order = np.lexsort(rows[:2])
+        before, word, toxic = (x[order] for x in rows)
+        first = np.flatnonzero(np.concatenate(([True], (before[1:] != before[:-1]) | (word[1:] != word[:-1]))))
+        ends = np.append(first[1:], len(before))
+        toxic = np.add.reduceat(toxic, first)
+        out = pd.DataFrame({"before": before[first], "word": word[first], "toxic": toxic, "plain": ends - first - toxic})
+        for at in range(0, len(out), _ROWS):
+            yield out.iloc[at : at + _ROWS]
 
     for batch in batches:
         toxic = batch["toxic"].to_numpy(np.int64)
         for before, word, owner in _in_context(batch["text"]):
             held.append(np.stack((before.view(np.int64), word.view(np.int64), toxic[owner])))
             n += len(word)
-            if n >= _GATHERED:
-                yield summed()
-                held, n = [], 0
+            if n >= _COUNTED:
+                yield from summed()
+                n = 0
     if held:
-        yield summed()
+        yield from summed()
 
 
 def _packed(codes: np.ndarray) -> bytes:
@@ -151,34 +158,36 @@ def _unpacked(raw: bytes) -> np.ndarray:
 def _context_codes(words: Lookup, buckets: int):
     """mapInPandas: the distinct contexts of words, as packed codes dealt out to buckets.
 
-    A code is the word's place (0: not listed) over the hash of its context, which is
-    shifted by word, so that the upper bits of the hash deal out the pairs evenly even
-    if all have one context. Of unlisted words the pair is hashed.
+    A code is the hash of a context over the word's place (0: not listed). The hash is
+    shifted by word, so that its upper bits deal out the pairs evenly even if all have
+    one context. Of unlisted words the pair is hashed.
     """
-    bits = np.uint64(_CONTEXT_BITS)
-    low = (np.uint64(1) << bits) - np.uint64(1)
-
-    def packed(held: list[np.ndarray]) -> pd.DataFrame:
-        codes = _distinct(np.concatenate(held))
-        bucket = (((codes & low) >> np.uint64(_CONTEXT_BITS - 30)) * np.uint64(buckets) >> np.uint64(30)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = [(b, _packed(codes[order[ends[b] : ends[b + 1]]])) for b in range(buckets) if ends[b] < ends[b + 1]]
+    low = np.uint64(64 - _CONTEXT_BITS)
+
+    def packed(codes: np.ndarray) -> pd.DataFrame:
+        codes.sort()
+        codes = codes[np.concatenate(([True], codes[1:] != codes[:-1]))]
+        starts = np.array([-(-(b << 32) // buckets) << 32 for b in range(buckets)], np.uint64)
+        ends = [*np.searchsorted(codes, starts).tolist(), len(codes)]
+        rows = [(b, _packed(codes[ends[b] : ends[b + 1]])) for b in range(buckets) if ends[b] < ends[b + 1]]
         return pd.DataFrame(rows, columns=["bucket", "codes"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
+        held, n = np.empty(_GATHERED, np.uint64), 0
         for batch in batches:
             for before, word, _ in _in_context(batch["text"]):
                 place = (words.find(word) + 1).astype(np.uint64)
                 context = np.where(place == 0, _pair_code(before, word), mix(before) + mix(place))
-                held.append(_distinct((place << bits) | (context >> np.uint64(64 - _CONTEXT_BITS))))
-                n += len(held[-1])
-                if n >= _GATHERED:
-                    yield packed(held)
-                    held, n = [], 0
-        if held:
-            yield packed(held)
+                found = _distinct(context >> low << low | place)
+                for at in range(0, len(found), _GATHERED):
+                    part = found[at : at + _GATHERED]
+                    if n + len(part) > _GATHERED:
+                        yield packed(held[:n])
+                        n = 0
+                    held[n : n + len(part)] = part
+                    n += len(part)
+        if n:
+            yield packed(held[:n])
 
     return run
 
@@ -200,8 +209,9 @@ def context_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]
 
     def counted(part: pd.DataFrame) -> pd.DataFrame:
         codes = _distinct(np.concatenate([_unpacked(x) for x in part["codes"]]))
-        place, n = np.unique(codes >> np.uint64(_CONTEXT_BITS), return_counts=True)
-        return pd.DataFrame({"place": place.astype(np.int64), "n": n})
+        n = np.bincount((codes & np.uint64((1 << 64 - _CONTEXT_BITS) - 1)).astype(np.int64))
+        place = np.flatnonzero(n)
+        return pd.DataFrame({"place": place, "n": n[place]})
 
     packed = docs.select("text").mapInPandas(gather, "bucket long, codes binary")
     found = packed.groupBy("bucket").applyInPandas(counted, "place long, n long")
