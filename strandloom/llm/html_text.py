@@ -5,7 +5,8 @@ text lines of a pair are aligned by longest common subsequence and shared lines,
 template of the host, are deleted. Differencing alone cannot see menus and adverts
 that change from page to page, nor should it delete a passage that two articles
 share, so markup has the last word: lines inside an article stay, lines inside
-elements that are never content go.
+elements that are never content go. Differencing decides where markup is in doubt:
+on lines outside any article, and inside one in elements named like a template's.
 """
 
 from __future__ import annotations
@@ -30,22 +31,40 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _NEVER = frozenset("nav footer aside form button select dialog menu fieldset head".split())
 _MAIN = frozenset(("article", "main"))
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?<!has-)(?<!no-)(?<!with-)(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|cookies?|consent|notice|popup|modal|"
-    r"comments?|replies|discussion|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|login|search|toolbar|complementary|contentinfo|navigation)(?=$|[\s_-])",
-    re.I,
+_COMMENTS = r"comments?|replies|disqus"
+_STRONG = (
+    r"ads?|advert\w*|sponsor\w*|promo\w*|sidebar|breadcrumbs?|footer|cookies?|consent|notice|popup|modal|newsletter|subscribe|"
+    rf"complementary|contentinfo|navigation|{_COMMENTS}"
 )
-#: What a line is: free (outside an article, not judged by markup), main, or never content.
-FREE, MAIN, NEVER = 0, 1, 2
+_WEAK = r"banner|side|menu|nav\w*|discussion|share|sharing|social|related|recommend\w*|login|search|toolbar"
+
+
+def _hint(names: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?<!has-)(?<!no-)(?<!with-)(?:{names})(?=$|[\s_-])", re.I)
+
+
+_OF_COMMENTS, _OF_STRONG, _OF_ANY = _hint(_COMMENTS), _hint(_STRONG), _hint(f"{_STRONG}|{_WEAK}")
+#: What a line is: free (outside an article, not judged by markup), main, never content, or
+#: doubtful (inside an article, in an element whose name may be a template's).
+FREE, MAIN, NEVER, DOUBTFUL = 0, 1, 2, 3
+#: Bits of a length table that are held; larger ones are halved.
+_BITS_HELD = 1 << 26
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
-def _never(tag: str, attributes: str, inside_main: bool) -> bool:
-    if tag in _NEVER or (tag == "header" and not inside_main):
-        return True
-    if tag in _MAIN or tag in ("html", "body") or not attributes:
-        return False
-    return any(_HINT.search(a or b or c) for a, b, c in _ATTRIBUTE.findall(attributes))
+def _kind(tag: str, attributes: str, around: int) -> int:
+    """What markup says of the lines inside an element, from its tag, its names and what is around it."""
+    inside = around in (MAIN, DOUBTFUL)
+    if around == NEVER or tag in _NEVER or (tag == "header" and not inside):
+        return NEVER
+    names = [a or b or c for a, b, c in _ATTRIBUTE.findall(attributes)]
+    if tag in _MAIN:
+        return NEVER if tag == "article" and any(map(_OF_COMMENTS.search, names)) else around if inside else MAIN
+    if tag in ("html", "body"):
+        return around
+    if any(map((_OF_STRONG if inside else _OF_ANY).search, names)):
+        return NEVER
+    return DOUBTFUL if inside and any(map(_OF_ANY.search, names)) else around
 
 
 def text_lines(page: str | None) -> list[tuple[str, int]]:
@@ -103,62 +122,85 @@ def text_lines(page: str | None) -> list[tuple[str, int]]:
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             stack.pop()
             kind = stack[-1][1] if stack else FREE
-        if kind != NEVER:
-            kind = NEVER if _never(tag, m[3] or "", kind == MAIN) else MAIN if tag in _MAIN else kind
+        kind = _kind(tag, m[3] or "", kind)
         stack.append((tag, kind))
     flush()
     return lines
 
 
-def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of ``a`` lie on a longest common subsequence with ``b``.
-
-    Rows of the length table are bit vectors (a carry adds a whole row at once), so
-    long pages cost ``len(a) * len(b) / 64`` steps.
-    """
-    n = len(b)
-    on = np.zeros(len(a), bool)
-    if not len(a) or not n:
-        return on
+def _lengths(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each start of ``a`` a row of bits: the zeros below bit j count the longest common subsequence with ``b[:j]``."""
     places: dict[int, int] = {}
-    for j, h in enumerate(b.tolist()):
+    for j, h in enumerate(b):
         places[h] = places.get(h, 0) | 1 << j
-    full = (1 << n) - 1
-    row, rows = full, []
-    for h in a.tolist():
-        match = places.get(h, 0)
-        hit = row & match
+    full = (1 << len(b)) - 1
+    row = full
+    for h in a:
+        hit = row & places.get(h, 0)
         row = ((row + hit) | (row - hit)) & full
-        rows.append(row)
-    j = n
+        yield row
+
+
+def _zeros(row: int, n: int) -> np.ndarray:
+    """Zero bits of ``row`` below 0, 1, up to n."""
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate(([0], np.cumsum(bits == 0)))
+
+
+def _on_common(a: list[int], b: list[int]) -> list[bool]:
+    if not a or not b:
+        return [False] * len(a)
+    if len(a) > 1 and len(a) * len(b) > _BITS_HELD:  # the halves of a meet at the best place of b
+        half = len(a) // 2
+        for before in _lengths(a[:half], b):
+            pass
+        for behind in _lengths(a[half:][::-1], b[::-1]):
+            pass
+        cut = int(np.argmax(_zeros(before, len(b)) + _zeros(behind, len(b))[::-1]))
+        return _on_common(a[:half], b[:cut]) + _on_common(a[half:], b[cut:])
+    rows, on, j = list(_lengths(a, b)), [False] * len(a), len(b)
     for i in range(len(a) - 1, -1, -1):
-        below = rows[i - 1] if i else full
-        match = places.get(int(a[i]), 0)
-        # the length at (i, j) is the number of zero bits below j
-        while j and rows[i] >> (j - 1) & 1:
+        above = rows[i - 1] if i else (1 << len(b)) - 1
+        while j and rows[i] >> (j - 1) & 1:  # the last line of b adds nothing
             j -= 1
-        if not j:
-            break
-        if below >> (j - 1) & 1 and match >> (j - 1) & 1:
+        if j and above >> (j - 1) & 1 and a[i] == b[j - 1]:
             on[i] = True
             j -= 1
     return on
 
 
+def common_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of ``a`` lie on a longest common subsequence with ``b``.
+
+    Lines of one page only are set aside first. Rows of the length table are bit vectors
+    (a carry adds a whole row at once), so long pages cost ``len(a) * len(b) / 64`` steps;
+    pages whose table would not fit are halved, so memory stays in proportion to the lines.
+    """
+    on, inside = np.zeros(len(a), bool), np.flatnonzero(np.isin(a, b))
+    on[inside] = _on_common(a[inside].tolist(), b[np.isin(b, a)].tolist())
+    return on
+
+
 def main_text(lines: list[tuple[str, int]], shared: np.ndarray) -> str:
     """Kept lines, joined by an empty line.
 
-    With an article in the page its lines are the text. Without one the free lines
-    are, less those shared with the neighbour; if that leaves none (two equal pages)
-    sharing says nothing and all free lines stay.
+    With an article in the page its lines are the text, less doubtful ones that are
+    shared with the neighbour. Without one the free lines are, less those shared; if that
+    leaves none (two equal pages) sharing says nothing and all free lines stay.
     """
-    main = [line for line, kind in lines if kind == MAIN]
-    if not main:
-        free = [(line, hit) for (line, kind), hit in zip(lines, shared.tolist(), strict=True) if kind == FREE]
+    judged = [(line, kind, hit) for (line, kind), hit in zip(lines, shared.tolist(), strict=True)]
+    main = [line for line, kind, hit in judged if kind == MAIN or (kind == DOUBTFUL and not hit)]
+    if not any(kind in (MAIN, DOUBTFUL) for _, kind, _ in judged):
+        free = [(line, hit) for line, kind, hit in judged if kind == FREE]
         main = [line for line, hit in free if not hit] or [line for line, _ in free]
     return "\n\n".join(main)
 
 
+def differenced_text(lines: list[tuple[str, int]], shared: np.ndarray) -> str:
+    """What differencing keeps by itself, whatever the markup says."""
+    return "\n\n".join(line for (line, _), hit in zip(lines, shared.tolist(), strict=True) if not hit)
+
+
 _PARSED = "page_id string, url string, row long, host string, path string, lines array<string>, kinds array<int>, hashes array<long>"
 
 
@@ -176,8 +218,10 @@ def _differenced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows, flags = [], []
         for row, kinds, hashes, other in zip(batch["row"], batch["kinds"], batch["hashes"], batch["other"], strict=True):
+            if MAIN in kinds and DOUBTFUL not in kinds:
+                continue
             shared = common_lines(np.asarray(hashes, np.int64), np.asarray(other, np.int64))
-            if shared.any() and MAIN not in kinds:
+            if shared.any():
                 rows.append(row)
                 flags.append(shared.tolist())
         yield pd.DataFrame({"row": pd.Series(rows, dtype="int64"), "shared": pd.Series(flags, dtype=object)})

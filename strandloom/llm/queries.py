@@ -84,9 +84,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secrets.joined(base), 256).alias("base_sha256"),
         secrets.joined(F.filter("spans", lambda s: secrets.is_base(s) | s["live"])).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        secrets.joined(F.filter("spans", lambda s: s["live"]), "owners", "repositories").alias("live_spans"),
+        secrets.joined(F.filter("spans", lambda s: ~s["live"]), "owners", "repositories").alias("copied_spans"),
     )
 
 
+def llm10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of op10 that SQL can find, each with the distinct owners and repositories of its value."""
+    found = secrets.explode_spans(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
+    return found.where("kind <> 'private'")
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_language_id": op2_language_id,
@@ -98,6 +107,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_html_extraction": op9_html_extraction,
     "op10_secret_scan": op10_secret_scan,
+    "llm10_secret_ownership": llm10_secret_ownership,
 }
 
 OP3_SQL = r"""
@@ -149,4 +159,30 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM marked GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_line_dedup": OP7_SQL}
+#: Kind, pattern, group of the value and its least length; the token pattern's runs are judged one by one.
+_SECRETS = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, "length(v) >= 12"),
+    ("access", "AKIA[A-Z0-9]+", 0, "length(v) >= 18"),
+    ("hex", "[0-9a-f]{16,}", 0, "true"),
+    ("token", "[A-Za-z0-9+/_=-]{24,}", 0, "regexp_full_match(v, '[A-Za-z0-9+/_-]{24,}={0,2}') AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]')"),
+)
+LLM10_SQL = (
+    "WITH "
+    + ", ".join(
+        f"""{kind}_m AS (
+  SELECT doc_id, source, regexp_extract_all(t, '{pattern}', 0) AS whole, regexp_extract_all(t, '{pattern}', {group}) AS found, regexp_split_to_array(t, '{pattern}') AS gap
+  FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)),
+{kind}_s AS (
+  SELECT doc_id, source, '{kind}' AS kind, whole[i] AS w, found[i] AS v,
+         list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS place
+  FROM (SELECT *, unnest(generate_series(1, len(whole))) AS i FROM {kind}_m))"""
+        for kind, pattern, group, _ in _SECRETS
+    )
+    + ",\ns AS ("
+    + " UNION ALL ".join(f"SELECT * FROM {kind}_s WHERE {least}" for kind, _, _, least in _SECRETS)
+    + """),
+n AS (SELECT v, count(DISTINCT source) + max((source IS NULL)::INT) AS owners, count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) AS repositories FROM s GROUP BY v)
+SELECT doc_id, kind, CAST(place AS INT) AS "start", CAST(place + length(w) AS INT) AS "end", owners, repositories, owners <= 2 AND repositories <= 10 AS live FROM s JOIN n ON s.v = n.v"""
+)
+
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_line_dedup": OP7_SQL, "llm10_secret_ownership": LLM10_SQL}

@@ -120,7 +120,13 @@ def is_base(span: Column) -> Column:
     return span["kind"] < len(BASE_KINDS)
 
 
-def joined(spans: Column) -> Column:
-    """``kind:start:end`` of the spans, joined by commas."""
+def joined(spans: Column, *more: str) -> Column:
+    """``kind:start:end`` of the spans, and ``more`` fields, joined by commas."""
     name = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"], s["end"])), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"], s["end"], *(s[m] for m in more))), ",")
+
+
+def explode_spans(found: DataFrame) -> DataFrame:
+    """One row a span of ``scan_secrets``: ``doc_id, kind`` (its name) ``, start, end, owners, repositories, live``."""
+    name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("s.kind") + 1).alias("kind")
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", name, "s.start", "s.end", "s.owners", "s.repositories", "s.live")

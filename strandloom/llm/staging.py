@@ -32,18 +32,27 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of narrow keys that may be broadcast; a staged side is counted first.
+#: Rows and written bytes up to which a side may be broadcast; a staged side is counted first.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 
 
-def stage_side(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A staged join side of narrow rows, broadcast only if it has ``rows`` or fewer."""
-    side = stage(df, label)
-    return side.hint("broadcast") if side.limit(rows + 1).count() <= rows else side
+def _folder(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def stage_side(df: DataFrame, label: str, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A staged join side, broadcast only if it has ``rows`` or fewer and its files ``size`` bytes or fewer."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    side = spark.read.schema(df.schema).parquet(path)
+    fs, place = _folder(spark, path)
+    small = fs.getContentSummary(place).getLength() <= size and side.limit(rows + 1).count() <= rows
+    return side.hint("broadcast") if small else side
 
 
 def release_all(spark: SparkSession) -> None:
     """Delete every table this application staged (call when results are written)."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
-    path.getFileSystem(hadoop).delete(path, True)
+    fs, place = _folder(spark, shared_root(spark))
+    fs.delete(place, True)

@@ -406,6 +406,35 @@ def test_markup_has_the_last_word():
     assert html_text.main_text(lines, np.zeros(len(lines), bool)) == "T\n\none two\n\nthree bold<\n\na\n\nb"
 
 
+def text_of(page, *others):
+    lines, shared = html_text.text_lines(page), None
+    hashes = [np.array([hash(x) for x, _ in html_text.text_lines(p)], np.int64) for p in (page, *others[:1])]
+    shared = html_text.common_lines(hashes[0], hashes[1]) if others else np.zeros(len(lines), bool)
+    return html_text.main_text(lines, shared)
+
+
+def test_articles_keep_what_only_sounds_like_a_template():
+    inside = '<section id="discussion"><p>We discuss</p></section><p class="search">The search</p><div class="related-work">Prior work</div>'
+    page = f'<article><p>Text</p>{inside}<div class="ad">Buy</div></article><article class="comment"><p>Nice</p></article><div class="comments"><article><p>me</p></article></div>'
+    assert text_of(page) == "Text\n\nWe discuss\n\nThe search\n\nPrior work"
+    # shared with the neighbour, what is in doubt is a template's; the article's own lines stay
+    assert text_of(page, page.replace("We discuss", "Others")) == "Text\n\nWe discuss"
+    assert text_of('<div class="menu">Home</div><div>own</div>') == "own"
+    assert text_of('<article class="post has-sidebar"><p>a</article>') == "a"
+
+
+def test_long_pages_are_aligned_in_halves(monkeypatch):
+    rng = np.random.default_rng(6)
+    a, b = (rng.integers(0, 300, n).astype(np.int64) for n in (900, 700))
+    whole = html_text.common_lines(a, b)
+    monkeypatch.setattr(html_text, "_BITS_HELD", 500)
+    halved = html_text.common_lines(a, b)
+    assert whole.sum() == halved.sum() > 50
+    rest = iter(b.tolist())
+    assert all(x in rest for x in a[halved].tolist())
+    assert html_text.common_lines(a, a).all()
+
+
 def test_common_lines_is_a_longest_subsequence():
     rng = np.random.default_rng(4)
     for _ in range(200):
@@ -444,6 +473,23 @@ def test_secrets_against_brute_force(spark):
     assert secrets.scan_secrets(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_ownership_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    values = [f"{k:x}deadbeefdeadbeef{k:02d}" for k in range(30)]
+    rows = []
+    for i in range(120):
+        held = [values[int(v)] for v in rng.integers(0, 30, int(rng.integers(0, 3))) % (1 + int(rng.integers(0, 30)))]
+        rows.append((i if i % 17 else None, " and ".join(f"token = {v}" if k else v for k, v in enumerate(held)), f"s{i % 5}" if i % 7 else None))
+    spans = [(i, s, k, a, b, t[a:b].split()[-1]) for i, t, s in rows for a, k, b in brute_spans(t)[0]]
+    wanted = []
+    for i, _, k, a, b, v in spans:
+        owners, places = ({x[at] for x in spans if x[5] == v} for at in (1, 0))
+        wanted.append((str(i), secrets.KINDS[k], a, b, len(owners), len(places), len(owners) <= 2 and len(places) <= 10))
+    found = secrets.explode_spans(secrets.scan_secrets(docs_of(spark, rows)))
+    got = [(str(r.doc_id), r.kind, r.start, r.end, r.owners, r.repositories, r.live) for r in found.collect()]
+    assert sorted(got) == sorted(wanted) and {x[-1] for x in got} == {True, False}
+
+
 def test_widely_copied_values_are_no_live_secrets(spark):
     value, own = "Zx9kQ2mN7pR4tV8wY1bC5dF3", "Qw8eR5tY2uI9oP6aS3dF7gH4"
     rows = [(i, f"see {value} here", f"s{i}") for i in range(5)] + [(9, f"use {own} now", "s9"), (10, f"use {own} now", "s9")]
