@@ -371,10 +371,59 @@ def test_mix_edges(spark, edge):
 
 def test_splitting_tree_keeps_quotas():
     quotas = np.array([100, 7, 0, 33])
-    dealt = mixing.split_quotas(quotas, 16, 1)
+    dues = mixing.even_dues(int(quotas.sum()), 16)
+    dealt = mixing.split_quotas(quotas, dues, [1])
     assert (dealt.sum(axis=0) == quotas).all() and (dealt >= 0).all()
-    assert dealt.sum(axis=1).max() - dealt.sum(axis=1).min() <= 4
-    assert (dealt == mixing.split_quotas(quotas, 16, 1)).all()
+    assert dealt.sum(axis=1).tolist() == dues.tolist()
+    assert (dealt == mixing.split_quotas(quotas, dues, [1])).all()
+
+
+def test_large_hypergeometric_draws(monkeypatch):
+    small = [(30, 70, 40), (500, 4000, 900), (3, 90, 50), (80, 5, 60), (2000, 2000, 3000)]
+    exact = {x: np.random.default_rng(1).hypergeometric(*x, size=20_000) for x in small}
+    monkeypatch.setattr(mixing, "_NUMPY_MOST", 0)
+    for x in small:
+        rng = np.random.default_rng(2)
+        mine = np.array([mixing.hypergeometric(rng, *x) for _ in range(6000)])
+        assert mine.min() >= max(0, x[2] - x[1]) and mine.max() <= min(x[0], x[2])
+        assert abs(mine.mean() - exact[x].mean()) < 5 * exact[x].std() / 6000**0.5 + 0.02 and abs(mine.std() / exact[x].std() - 1) < 0.05
+        edges = np.unique(np.quantile(exact[x], np.linspace(0, 1, 9)))
+        shares = [np.array([(v <= e).mean() for e in edges]) for v in (mine, exact[x])]
+        assert np.abs(shares[0] - shares[1]).max() < 0.035
+    monkeypatch.undo()
+    rng, n = np.random.default_rng(3), 10**13
+    big = np.array([mixing.hypergeometric(rng, n, 3 * n, 2 * n) for _ in range(300)], float)
+    sd = (2 * n * 0.25 * 0.75 * 0.5) ** 0.5
+    assert abs(big.mean() - n / 2) < 5 * sd / 300**0.5 and abs(big.std() / sd - 1) < 0.2
+
+
+def test_mix_takes_columns_of_any_name(spark):
+    rows = [(i, f"text {i} " * (i % 9), f"s{i % 3}" if i % 10 else None, "a", "b", "c", 1, "d", 2.0) for i in range(300)] + [(None, "same words here", "s1", "a", "b", "c", 1, "d", 2.0)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, part string, mix_copy string, __draws string, room int, size string, target double")
+    got = mixing.mix(docs, block_docs=16)
+    assert got.columns == [c for c in docs.columns if c != "mix_copy"] + ["mix_copy", "mix_shard"]
+    plan = Counter()
+    for r in mixing.plan_mix(docs, block_docs=16).collect():
+        plan[r.doc_id] += len(r.draws)
+    assert Counter(r.doc_id for r in got.collect()) == +plan
+
+
+def test_sources_are_settled_and_split_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    monkeypatch.setattr(mixing, "STRETCH", 2)
+    sizes = [int(x) for x in np.random.default_rng(4).integers(1, 40, 20)]
+    rows = [(100 * k + i, "w " * 3, f"é{k:02d}" if k else None) for k, n in enumerate(sizes) for i in range(n)]
+    docs = docs_of(spark, rows)
+    plan = mixing.plan_mix(docs, block_docs=2).withColumn("k", F.floor(F.col("doc_id") / 100)).collect()
+    order = [*range(1, 20), 0]
+    wanted = dict(zip(order, brute_targets([3 * sizes[k] for k in order], [(5, 2, 1)[i % 3] for i in range(20)]), strict=True))
+    draws, per_shard = Counter(), Counter()
+    for r in plan:
+        assert r.target == pytest.approx(wanted[r.k]) and r.source_size == 3 * sizes[r.k]
+        draws[r.k] += 3 * len(r.draws)
+        per_shard.update(d.shard for d in r.draws)
+    assert all(abs(draws[k] - wanted[k]) <= 3 for k in order) and set(per_shard) <= set(range(16))
+    assert {r.mix_shard for r in mixing.mix(docs, block_docs=2).collect()} == set(per_shard)
 
 
 # HTML
