@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .staging import small_batches
 from .toxicity import training_fold
 
 ORDERS = (2, 3, 4)
@@ -94,6 +95,7 @@ def fit(
     rate of its best language or more. More than 64 languages raise; no labelled rows
     give a model that answers ``und``.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(training_fold(F.col("__id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     held = sorted((r.lang, r.n) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect())
@@ -154,6 +156,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", name:
     A null text, or one without letters, is ``und`` with score 0; a text none of whose
     n-grams is known gets the most frequent training language.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

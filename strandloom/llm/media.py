@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .staging import small_batches
+
 PCM, IMA_ADPCM, ALAW, MULAW = 1, 0x11, 6, 7
 RATE = 8000
 #: The payload of a text is padded with zero bytes to a positive multiple of this.
@@ -153,6 +155,7 @@ def text_to_wave(text: str | None) -> tuple[int, bytes]:
 
 def encode_texts(docs: DataFrame, text_col: str = "text", name: str = "media") -> DataFrame:
     """``docs`` with a struct ``name``: ``n_bytes`` and the wave ``bytes`` of each whole text."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("n_bytes long, bytes binary")
     def of(texts: pd.Series) -> pd.DataFrame:

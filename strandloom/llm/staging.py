@@ -24,9 +24,21 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of ``rows``, unless the session has a setting of its own.
+
+    Spark's default of 10,000 texts a batch takes more memory, several times over, than
+    all that is made of them.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(rows))
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -45,6 +57,7 @@ def _folder(spark: SparkSession, path: str):
 def stage_side(df: DataFrame, label: str, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """A staged join side, broadcast only if it has ``rows`` or fewer and its files ``size`` bytes or fewer."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    small_batches(spark)
     df.write.option("compression", "zstd").parquet(path)
     side = spark.read.schema(df.schema).parquet(path)
     fs, place = _folder(spark, path)

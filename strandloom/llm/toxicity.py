@@ -22,14 +22,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from .staging import stage
+from .staging import small_batches, stage
 from .tokens import Lookup, mix, stretches
 
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 #: Stands before the first word of a text.
 _START = np.uint64(1)
 #: Distinct pairs that a task gathers before it gives them out, and words of labelled documents.
-_GATHERED, _COUNTED = 1 << 22, 1 << 20
+_GATHERED, _COUNTED = 1 << 21, 1 << 19
 #: Rows that a task gives out at a time.
 _ROWS = 1 << 15
 #: Bits of a context's hash: a word of a million contexts is short by about seven.
@@ -345,6 +345,7 @@ def fit(
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a probability of toxicity in ``name`` (a column of that name is replaced); null and empty texts have one too."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(DoubleType())
