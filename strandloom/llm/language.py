@@ -1,7 +1,8 @@
 """Language identification with bit-sliced n-gram Bloom filters.
 
-One table of language bit masks serves all languages: a lookup ANDs the masks of an
-n-gram's slots and so returns every language whose filter holds it. A text counts
+One table of language bit masks, as wide as there are languages, serves all of them: a
+lookup ANDs the masks of an n-gram's slots and so returns every language whose filter
+holds it. A text counts
 the hits of each language over all its n-grams; the share that false positives
 alone would give is taken off before the counts decide.
 """
@@ -16,14 +17,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .staging import small_batches
+from .staging import small_batches, stage
 from .toxicity import training_fold
 
 ORDERS = (2, 3, 4)
 PROBES = 3
-#: Slots of the table, a power of two.
-SLOTS = 1 << 22
-MAX_LANGUAGES = 64
+#: Slots of the table for each n-gram of the largest filter, at least: under a fifth of a filter's bits are set.
+SLOTS_PER_GRAM = 16
 UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _SPLIT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -32,7 +32,7 @@ _CHUNK = 1 << 18
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Languages in bit order, the table of masks, and each filter's false-positive share."""
+    """Languages in bit order, the table of masks (a row of bytes a slot), and each filter's false-positive share."""
 
     languages: list[str]
     table: np.ndarray
@@ -83,49 +83,61 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 4000,
-    min_count: int = 3, least_share: float = 0.25, max_grams: int = 200_000, slots: int = SLOTS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 4000, rare: float = 0.03
 ) -> LanguageModel:
     """Learn the filters from labelled documents of the training folds.
 
     ``sample_per_language`` bounds the labelled rows learned from (drawn by hash of the
-    id; all while there are fewer), ``max_grams`` the n-grams of a filter (the most
-    frequent). An n-gram is in a language's filter if seen ``min_count`` times there
-    (once, if fewer than 100 documents were learned from) and at ``least_share`` of the
-    rate of its best language or more. More than 64 languages raise; no labelled rows
-    give a model that answers ``und``.
+    id; all while there are fewer). An n-gram is in a language's filter if it is seen there
+    once, and at least ``rare`` times as often as there are documents of the language in
+    the sample. The table grows with the largest filter and with the number of languages;
+    the driver holds a row a language. No labelled rows give a model that answers ``und``.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(training_fold(F.col("__id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    held = sorted((r.lang, r.n) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect())
-    if len(held) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names = [lang for lang, _ in held]
-    if not names:
-        return LanguageModel([], np.zeros(slots, np.uint8), np.zeros(0), 0)
-    part = F.pmod(F.xxhash64("__id"), F.lit(1_000_000))
-    wanted = F.lit(False)
-    for lang, n in held:
-        wanted |= (F.col("lang") == lang) & (part < int(min(1.0, sample_per_language / n) * 1_000_000))
-    counted = rows.where(wanted).select("lang", "text").mapInPandas(_counts, "lang string, code long, n long")
-    counted = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    floor = min_count if sum(n for _, n in held) >= 100 else 1
-    table = counted.where(F.col("n") >= floor).toPandas()  # n-grams of a bounded sample
-    total = table.groupby("lang")["n"].transform("sum")
-    table["rate"] = table["n"] / total
-    best = table.groupby("code")["rate"].transform("max")
-    table = table[table["rate"] >= least_share * best].sort_values(["lang", "n", "code"], ascending=[True, False, True])
-    kind = np.uint8 if len(names) <= 8 else np.uint16 if len(names) <= 16 else np.uint32 if len(names) <= 32 else np.uint64
-    masks = np.zeros(slots, kind)
-    share = np.zeros(len(names))
+    held = stage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")
+    share = F.least(F.lit(1.0), F.lit(sample_per_language) / F.col("n"))
+    wanted = held.select(F.col("lang").alias("__lang"), "n", (share * 1_000_000).cast("long").alias("share"), F.ceil(rare * share * F.col("n")).alias("least"))
+    drawn = rows.join(F.broadcast(wanted), F.col("lang") == F.col("__lang")).where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < F.col("share"))
+    counted = drawn.select("lang", "text").mapInPandas(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("count"))
+    kept = stage(
+        counted.join(F.broadcast(wanted), F.col("lang") == F.col("__lang")).where(F.col("count") >= F.col("least")).select("lang", "code"), "language-grams"
+    )
+    most = kept.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    slots = 1 << max(16, (most * SLOTS_PER_GRAM - 1).bit_length())
+
+    def filled(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(slots, bool)
+        for slot in _slots(part["code"].to_numpy(np.int64).view(np.uint64), slots):
+            bits[slot] = True
+        return pd.DataFrame({"lang": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    # the n-grams of a language are those of a bounded sample
+    filters = {r.lang: r.bits for r in kept.groupBy("lang").applyInPandas(filled, "lang string, bits binary").collect()}
+    names = sorted(filters)
+    table, false_share = np.zeros((slots, max(1, -(-len(names) // 8))), np.uint8), np.zeros(len(names))
     for bit, lang in enumerate(names):
-        codes = table.loc[table["lang"] == lang, "code"].to_numpy()[:max_grams].view(np.uint64)
-        for slot in _slots(codes, slots):
-            masks[slot] |= kind(1 << bit)
-        share[bit] = float(((masks >> kind(bit)) & kind(1)).mean()) ** PROBES
-    prior = int(np.argmax([n for _, n in held]))
-    return LanguageModel(names, masks, share, prior)
+        own = np.unpackbits(np.frombuffer(filters[lang], np.uint8), bitorder="little")
+        table[:, bit // 8] |= own << np.uint8(bit % 8)
+        false_share[bit] = float(own.mean()) ** PROBES
+    sizes = {r.lang: r.n for r in held.collect()}
+    prior = int(np.argmax([sizes[lang] for lang in names])) if names else 0
+    return LanguageModel(names, table, false_share, prior)
+
+
+def popcounts(model: LanguageModel, plain: str) -> tuple[np.ndarray, int]:
+    """In how many n-grams of a text each language's filter has a hit, and how many there are."""
+    hits, total = np.zeros(len(model.languages), np.int64), 0
+    for codes in grams(plain):
+        slots = _slots(codes, len(model.table))
+        mask = model.table[slots[0]] & model.table[slots[1]] & model.table[slots[2]]
+        total += len(mask)
+        for byte in range(mask.shape[1]):
+            seen = np.bincount(mask[:, byte], minlength=256)
+            for bit in range(8 * byte, min(8 * byte + 8, len(hits))):
+                hits[bit] += seen[(np.arange(256) >> (bit % 8)) & 1 == 1].sum()
+    return hits, total
 
 
 def identify(model: LanguageModel, text: str | None) -> tuple[str, float]:
@@ -133,16 +145,7 @@ def identify(model: LanguageModel, text: str | None) -> tuple[str, float]:
     plain = letters(text)
     if not plain or not model.languages:
         return UNDETERMINED, 0.0
-    hits, total = np.zeros(len(model.languages)), 0
-    for codes in grams(plain):
-        slots = _slots(codes, len(model.table))
-        mask = model.table[slots[0]] & model.table[slots[1]] & model.table[slots[2]]
-        total += len(mask)
-        if len(model.languages) <= 8:
-            seen = np.bincount(mask, minlength=256)
-            hits += [seen[(np.arange(256) >> b) & 1 == 1].sum() for b in range(len(hits))]
-        else:
-            hits += [int(((mask >> mask.dtype.type(b)) & mask.dtype.type(1)).sum()) for b in range(len(hits))]
+    hits, total = popcounts(model, plain)
     right = np.maximum(0.0, (hits / total - model.false_share) / np.maximum(1e-12, 1 - model.false_share))
     if not right.any():
         return model.languages[model.prior], 1 / len(right)
@@ -151,7 +154,7 @@ def identify(model: LanguageModel, text: str | None) -> tuple[str, float]:
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", name: str = "language") -> DataFrame:
-    """``docs`` with a struct ``name`` of ``lang`` and ``score``, from whole texts.
+    """``docs`` with a struct ``name`` of ``lang`` and ``score``, from whole texts; a column of that name is replaced.
 
     A null text, or one without letters, is ``und`` with score 0; a text none of whose
     n-grams is known gets the most frequent training language.

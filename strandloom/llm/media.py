@@ -8,8 +8,10 @@ sample of a block. Decoded audio can be stored again as resampled 16-bit PCM.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +22,10 @@ from .staging import small_batches
 
 PCM, IMA_ADPCM, ALAW, MULAW = 1, 0x11, 6, 7
 RATE = 8000
+#: Rates that can be resampled: outside them lies no speech, and a tiny one would swell without bound.
+RATES = (2000, 384_000)
+_CHUNK = 1 << 18
+_BLOCKS_AT_ONCE = 1 << 14
 #: The payload of a text is padded with zero bytes to a positive multiple of this.
 UNIT = 64
 
@@ -83,9 +89,11 @@ def read_wave(raw: bytes) -> Wave:
         if name == b"fmt ":
             fmt = raw[at + 8 : at + 8 + size]
         elif name == b"data" and len(fmt) >= 16:
-            tag, channels, rate, _, block, _ = struct.unpack("<HHIIHH", fmt[:16])
+            tag, channels, rate, _, block, bits = struct.unpack("<HHIIHH", fmt[:16])
             if channels != 1:
                 raise ValueError("one channel is supported")
+            if tag == PCM and bits != 16:
+                raise ValueError("PCM of 16 bits is supported")
             return Wave(tag, rate, block, raw[at + 8 : at + 8 + size])
         at += 8 + size + size % 2
     raise ValueError("no audio data")
@@ -123,91 +131,153 @@ def decode(wave: Wave) -> np.ndarray:
     raise ValueError(f"unsupported format {wave.tag}")
 
 
-def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation to another rate, in chunks of bounded memory."""
+def decode_many(waves: list[Wave]) -> list[np.ndarray | ValueError]:
+    """What ``decode`` gives for each wave, or its error; ADPCM of one block size is decoded side by side."""
+    out: list = [None] * len(waves)
+    same: dict[int, list[int]] = {}
+    for i, wave in enumerate(waves):
+        if wave.tag == IMA_ADPCM and wave.block >= 5:
+            same.setdefault(wave.block, []).append(i)
+            continue
+        try:
+            out[i] = decode(wave)
+        except ValueError as e:
+            out[i] = e
+    for block, held in same.items():
+        while held:  # a bounded number of blocks at a time, one wave at least
+            size, n = 0, 0
+            while n < len(held) and (not n or size < _BLOCKS_AT_ONCE * block):
+                size += len(waves[held[n]].data)
+                n += 1
+            part, held = held[:n], held[n:]
+            blocks = [-(-len(waves[i].data) // block) for i in part]
+            samples = decode_adpcm(b"".join(waves[i].data.ljust(k * block, b"\0") for i, k in zip(part, blocks, strict=True)), block)
+            ends = np.cumsum([k * ((block - 4) * 2 + 1) for k in blocks])
+            for i, found in zip(part, np.split(samples, ends[:-1]), strict=True):
+                out[i] = found
+    return out
+
+
+def resampled(samples: np.ndarray, rate: int, to: int) -> Iterator[np.ndarray]:
+    """Linear interpolation to another rate, as 16-bit chunks of bounded size.
+
+    Rates outside ``RATES`` raise ``ValueError``.
+    """
+    if not RATES[0] <= rate <= RATES[1]:
+        raise ValueError(f"unsupported rate {rate}")
     n = len(samples) * to // rate
-    if rate == to or not n:
-        return samples[:n]
-    out = np.empty(n, np.int16)
-    for at in range(0, n, 1 << 18):
-        place = np.arange(at, min(n, at + (1 << 18)), dtype=np.int64) * rate
+    for at in range(0, n, _CHUNK):
+        place = np.arange(at, min(n, at + _CHUNK), dtype=np.int64) * rate
         low = place // to
         high = np.minimum(low + 1, len(samples) - 1)
         a, b = samples[low].astype(np.int64), samples[high].astype(np.int64)
-        out[at : at + len(place)] = a + (b - a) * (place - low * to) // to
-    return out
+        yield (a + (b - a) * (place - low * to) // to).astype("<i2")
 
 
-def features(samples: np.ndarray, rate: int, to: int = 2 * RATE) -> str:
-    """Sample count, RMS, peak and sign changes of the resampled audio, and its CRC."""
-    wide = resample(samples, rate, to).astype(np.int64)
-    rms = int(np.sqrt(int((wide * wide).sum()) / len(wide))) if len(wide) else 0
-    turns = int(((wide[1:] < 0) != (wide[:-1] < 0)).sum())
-    return f"pcm16:{to}:{len(wide)}:{rms}:{int(np.abs(wide).max(initial=0))}:{turns}:{zlib.crc32(wide.astype('<i2').tobytes()):08x}"
+def features(chunks: Iterator[np.ndarray], to: int) -> str:
+    """Sample count, RMS, peak and sign changes of 16-bit audio, and its CRC."""
+    n = energy = peak = turns = crc = 0
+    last = False
+    for chunk in chunks:
+        wide, below = chunk.astype(np.int64), np.concatenate(([last if n else chunk[0] < 0], chunk < 0))
+        energy += int((wide * wide).sum())
+        peak = max(peak, int(np.abs(wide).max()))
+        turns += int((below[1:] != below[:-1]).sum())
+        crc, last, n = zlib.crc32(chunk.tobytes(), crc), bool(chunk[-1] < 0), n + len(chunk)
+    return f"pcm16:{to}:{n}:{math.isqrt(energy // n) if n else 0}:{peak}:{turns}:{crc:08x}"
 
 
-def text_to_wave(text: str | None) -> tuple[int, bytes]:
-    """Byte count of a text (null: empty) and the mu-law wave that holds its padded bytes."""
+def payload_of(text: str | None) -> tuple[int, bytes]:
+    """Byte count of a text (null: empty) and its bytes, padded with zeros to a positive multiple of ``UNIT``."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    data = raw + b"\0" * (-len(raw) % UNIT if raw else UNIT)
-    return len(raw), write_wave(Wave(MULAW, RATE, 1, data), len(data))
+    return len(raw), raw + b"\0" * (-len(raw) % UNIT if raw else UNIT)
+
 
+def stored_wave(payload: bytes, tag: int) -> bytes:
+    """The wave that holds a payload: a byte a sample, or ADPCM blocks of ``UNIT`` bytes."""
+    block = UNIT if tag == IMA_ADPCM else 1
+    samples = len(payload) // UNIT * ((UNIT - 4) * 2 + 1) if tag == IMA_ADPCM else len(payload)
+    return write_wave(Wave(tag, RATE, block, payload), samples)
 
-def encode_texts(docs: DataFrame, text_col: str = "text", name: str = "media") -> DataFrame:
-    """``docs`` with a struct ``name``: ``n_bytes`` and the wave ``bytes`` of each whole text."""
+
+def encode_texts(docs: DataFrame, text_col: str = "text", name: str = "media", tag: int = MULAW) -> DataFrame:
+    """``docs`` with a struct ``name``: ``n_bytes`` and the wave ``bytes`` of each whole text.
+
+    ``tag`` is the format: mu-law, A-law or IMA ADPCM. A column ``name`` is replaced.
+    """
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("n_bytes long, bytes binary")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([text_to_wave(t) for t in texts], columns=["n_bytes", "bytes"])
+        rows = [(n, stored_wave(payload, tag)) for n, payload in map(payload_of, texts)]
+        return pd.DataFrame(rows, columns=["n_bytes", "bytes"])
 
     return docs.withColumn(name, of(F.col(text_col)))
 
 
-def describe_media(docs: DataFrame, media_col: str = "media", name: str = "audio") -> DataFrame:
-    """``docs`` with a struct ``name`` from the stored bytes read back.
+def describe_media(docs: DataFrame, media_col: str = "media", name: str = "audio", rate: int = 2 * RATE) -> DataFrame:
+    """``docs`` with a struct ``name`` from the stored bytes read back; a column ``name`` is replaced.
 
     ``payload_bytes, payload_sha256, tail_crc32`` (unsigned, of the last 64 payload
-    bytes), ``media_bytes, media_sha256`` and ``feature``. Null media give nulls and
-    bytes that aren't a mono WAVE a feature ``error: ...`` with null payload columns.
+    bytes), ``media_bytes, media_sha256`` and ``feature``, of the audio resampled to
+    ``rate``. Null media give nulls; bytes that aren't a mono WAVE of a known format and
+    rate a feature ``error: ...``, with null payload columns if no wave can be read.
     """
+    small_batches(docs.sparkSession)
     fields = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def read(raw: bytes | None) -> tuple:
-        if raw is None:
-            return (None,) * 6
-        whole = (len(raw), hashlib.sha256(raw).hexdigest())
-        try:
-            wave = read_wave(raw)
-            feature = features(decode(wave), wave.rate)
-        except ValueError as e:
-            return None, None, None, *whole, f"error: {e}"
-        return len(wave.data), hashlib.sha256(wave.data).hexdigest(), zlib.crc32(wave.data[-UNIT:]), *whole, feature
-
     @F.pandas_udf(fields)
     def of(media: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame([read(m) for m in media], columns=[f.split()[0] for f in fields.split(", ")])
+        rows: list[tuple] = []
+        for raw, (wave, samples) in zip(media, _read(media), strict=True):
+            whole = (len(raw), hashlib.sha256(raw).hexdigest()) if raw is not None else (None, None)
+            payload = (len(wave.data), hashlib.sha256(wave.data).hexdigest(), zlib.crc32(wave.data[-UNIT:])) if wave else (None,) * 3
+            try:
+                if isinstance(samples, ValueError):
+                    raise samples
+                feature = None if samples is None else features(resampled(samples, wave.rate, rate), rate)
+            except ValueError as e:
+                feature = f"error: {e}"
+            rows.append((*payload, *whole, feature))
+        out = pd.DataFrame(rows, columns=[f.split()[0] for f in fields.split(", ")])
         return out.astype({c: "Int64" for c in ("payload_bytes", "tail_crc32", "media_bytes")})
 
     return docs.withColumn(name, of(F.col(media_col)))
 
 
+def _read(media: pd.Series) -> list[tuple]:
+    """``(wave, samples)`` of each; an error in place of samples, None for null media."""
+    waves: list = []
+    for raw in media:
+        try:
+            waves.append(read_wave(raw) if raw is not None else None)
+        except ValueError as e:
+            waves.append(e)
+    known = [i for i, w in enumerate(waves) if isinstance(w, Wave)]
+    out = [(None, w) for w in waves]
+    for i, samples in zip(known, decode_many([waves[i] for i in known]), strict=True):
+        out[i] = waves[i], samples
+    return out
+
+
 def to_pcm(docs: DataFrame, media_col: str = "media", rate: int = 2 * RATE, name: str = "pcm") -> DataFrame:
-    """``docs`` with ``name``: the decoded audio as a resampled 16-bit PCM wave.
+    """``docs`` with ``name``: the decoded audio as a resampled 16-bit PCM wave; a column ``name`` is replaced.
 
     Null or unreadable media give null.
     """
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("binary")
     def of(media: pd.Series) -> pd.Series:
-        def one(raw):
+        def one(wave: Wave | None, samples) -> bytes | None:
             try:
-                wave = read_wave(raw) if raw is not None else None
-                samples = resample(decode(wave), wave.rate, rate) if wave else None
+                if wave is None or isinstance(samples, ValueError):
+                    return None
+                data = b"".join(chunk.tobytes() for chunk in resampled(samples, wave.rate, rate))
             except ValueError:
                 return None
-            return None if samples is None else write_wave(Wave(PCM, rate, 2, samples.astype("<i2").tobytes()), len(samples))
+            return write_wave(Wave(PCM, rate, 2, data), len(data) // 2)
 
-        return pd.Series([one(m) for m in media], dtype=object)
+        return pd.Series([one(*x) for x in _read(media)], dtype=object)
 
     return docs.withColumn(name, of(F.col(media_col)))

@@ -54,9 +54,37 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payload as mu-law, and its resampled PCM; also as A-law and as ADPCM blocks, read back."""
     stored = media.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    stored = stored.select("doc_id", "media.n_bytes", F.col("media.bytes").alias("media"))
-    return media.describe_media(stored).select("doc_id", "n_bytes", "audio.*")
+    stored = media.encode_texts(stored, name="alaw", tag=media.ALAW)
+    stored = media.encode_texts(stored, name="adpcm", tag=media.IMA_ADPCM).select(
+        "doc_id", "media.n_bytes", F.col("media.bytes").alias("media"), F.col("alaw.bytes").alias("alaw"), F.col("adpcm.bytes").alias("adpcm")
+    )
+    found = media.to_pcm(media.describe_media(stored))
+    for name in ("alaw", "adpcm"):
+        found = media.describe_media(found, name, f"{name}_audio")
+    return found.select(
+        "doc_id", "n_bytes", "audio.*", F.length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"),
+        F.col("alaw_audio.payload_sha256").alias("alaw_payload_sha256"), F.col("alaw_audio.feature").alias("alaw_feature"),
+        F.col("adpcm_audio.payload_sha256").alias("adpcm_payload_sha256"), F.col("adpcm_audio.feature").alias("adpcm_feature"),
+    )
+
+
+def llm6_media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6: sizes and payloads read back from each of the stored forms."""
+    return op6_media_columns(spark, sf_dir).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "alaw_payload_sha256", "adpcm_payload_sha256", "media_bytes"
+    )
+
+
+def llm8_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8: sizes and targets, and whether each source's draws come near its target."""
+    plan = op8_mixing(spark, sf_dir).join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    of_source = plan.groupBy("source").agg(F.sum("taken").alias("all_taken"), F.max("size").alias("largest"))
+    near = F.abs(F.col("all_taken") - F.col("target")) <= F.col("largest")
+    return plan.join(of_source.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
+        "doc_id", "size", "source_size", F.round("target", 3).alias("target"), near.alias("near"), (F.col("taken") <= 2 * F.col("size")).alias("within")
+    )
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +135,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_html_extraction": op9_html_extraction,
     "op10_secret_scan": op10_secret_scan,
+    "llm6_media_payload": llm6_media_payload,
+    "llm8_mix_targets": llm8_mix_targets,
     "llm10_secret_ownership": llm10_secret_ownership,
 }
 
@@ -159,6 +189,27 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM marked GROUP BY doc_id
 """
 
+LLM6_SQL = r"""
+WITH r AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+p AS (SELECT doc_id, octet_length(raw) AS n, greatest(64, CAST(ceil(octet_length(raw) / 64.0) AS BIGINT) * 64) AS padded, raw FROM r),
+h AS (SELECT doc_id, n, padded, sha256(raw || encode(repeat(chr(0), CAST(padded - n AS BIGINT)))) AS digest FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(padded AS BIGINT) AS payload_bytes, digest AS payload_sha256, digest AS alaw_payload_sha256, digest AS adpcm_payload_sha256,
+       CAST(padded + 58 AS BIGINT) AS media_bytes FROM h
+"""
+
+LLM8_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+-- the share a weight at which the sources reach 150 % of all sizes: one of the steps where a source is full
+steps AS (SELECT 2.0 * source_size / w AS step FROM s WHERE source_size > 0),
+found AS (
+  SELECT step, (SELECT 1.5 * sum(source_size) FROM s) - coalesce((SELECT sum(2.0 * source_size) FROM s WHERE source_size > 0 AND 2.0 * source_size / w < step), 0) AS rest,
+         (SELECT sum(w) FROM s WHERE source_size > 0 AND 2.0 * source_size / w >= step) AS free FROM steps),
+level AS (SELECT arg_min(rest / free, step) AS share FROM found WHERE rest / free <= step)
+SELECT doc_id, size, source_size, round(CASE WHEN source_size = 0 THEN 0.0 ELSE least(2.0 * source_size, w * (SELECT share FROM level)) END, 3) AS target, true AS near, true AS within
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+"""
+
 #: Kind, pattern, group of the value and its least length; the token pattern's runs are judged one by one.
 _SECRETS = (
     ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, "length(v) >= 12"),
@@ -185,4 +236,4 @@ n AS (SELECT v, count(DISTINCT source) + max((source IS NULL)::INT) AS owners, c
 SELECT doc_id, kind, CAST(place AS INT) AS "start", CAST(place + length(w) AS INT) AS "end", owners, repositories, owners <= 2 AND repositories <= 10 AS live FROM s JOIN n ON s.v = n.v"""
 )
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_line_dedup": OP7_SQL, "llm10_secret_ownership": LLM10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_line_dedup": OP7_SQL, "llm6_media_payload": LLM6_SQL, "llm8_mix_targets": LLM8_SQL, "llm10_secret_ownership": LLM10_SQL}

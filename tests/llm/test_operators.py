@@ -55,13 +55,36 @@ def test_language_edges(spark, edge):
     assert language.predict(edge.limit(0), model).count() == 0
 
 
-def test_bloom_lookup_has_every_learned_gram():
-    table = np.zeros(1 << 12, np.uint8)
-    codes = np.concatenate(list(language.grams(language.letters("some learned words"))))
-    for slot in language._slots(codes, len(table)):
-        table[slot] |= 1
-    a, b, c = (table[s] for s in language._slots(codes, len(table)))
-    assert (a & b & c == 1).all()
+def brute_grams(text):
+    plain = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    plain = f" {' '.join(plain.split())} "
+    return [plain[i : i + n] for n in (2, 3, 4) for i in range(len(plain) - n + 1)] if plain.strip() else []
+
+
+def test_language_against_exact_sets(spark):
+    """Seventy languages: a lookup has all that contain an n-gram, and the counts are those of exact sets."""
+    rng = np.random.default_rng(5)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèñçøåłżğı"
+    rows = []
+    for k in range(70):
+        own = rng.choice(list(letters), 9, replace=False)
+        for j in range(6):
+            words = ["".join(rng.choice(own, int(rng.integers(2, 7)))) for _ in range(40)]
+            rows.append((1000 * k + j, " ".join(words), f"lang{k:02d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    trained = [(t, g) for i, t, g in rows if zlib.crc32(str(i).encode()) % 5]
+    sets = {g: {x for t, h in trained if h == g for x in brute_grams(t)} for g in {g for _, g in trained}}
+    assert model.languages == sorted(sets) and model.table.shape[1] == 9
+    right = 0
+    for i, text, lang in rows[::5]:
+        exact = np.array([sum(x in sets[g] for x in brute_grams(text)) for g in model.languages])
+        hits, total = language.popcounts(model, language.letters(text))
+        assert total == len(brute_grams(text)) and (hits >= exact).all()
+        corrected = (hits / total - model.false_share) / (1 - model.false_share)
+        assert np.abs(corrected - exact / total).max() < 0.05
+        right += language.identify(model, text)[0] == model.languages[int(exact.argmax())]
+    assert right == len(rows[::5])
 
 
 # URLs
@@ -251,32 +274,23 @@ def test_decontamination_empty(spark, edge):
 
 # Media
 
-def test_media_round_trip(spark):
-    rows = [(i, t) for i, t, _ in EDGE] + [(7, "x" * 64), (8, "é" * 33)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("audio", F.lit("clash"))
-    stored = media.encode_texts(docs).select("doc_id", "text", "media.n_bytes", F.col("media.bytes").alias("media"))
-    for r in media.to_pcm(media.describe_media(stored)).collect():
-        raw = (r.text or "").encode()
-        payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
-        assert (r.n_bytes, r.audio.payload_bytes) == (len(raw), len(payload))
-        assert r.audio.payload_sha256 == hashlib.sha256(payload).hexdigest()
-        assert r.audio.tail_crc32 == zlib.crc32(payload[-64:])
-        assert r.audio.media_bytes == len(r.media) and r.audio.media_sha256 == hashlib.sha256(r.media).hexdigest()
-        assert len(media.decode(media.read_wave(r.pcm))) == 2 * len(payload)
-    bad = spark.createDataFrame([(b"junk",), (None,)], "media binary")
-    assert [r.audio.feature for r in media.describe_media(bad).collect()][0].startswith("error")
-
-
-def test_law_tables():
-    assert media.MULAW_TABLE[0xFF] == 0 and media.MULAW_TABLE[0] == -32124 and media.MULAW_TABLE[0x80] == 32124
-    assert media.ALAW_TABLE[0xD5] == 8 and media.ALAW_TABLE[0x55] == -8 and media.ALAW_TABLE[0xAA] == 32256
+def feature_by_hand(samples, rate, to=16000):
+    """Count, RMS, peak, sign changes and CRC of linearly resampled audio, sample by sample."""
+    out = []
+    for k in range(len(samples) * to // rate):
+        low, part = divmod(k * rate, to)
+        a, b = samples[low], samples[min(low + 1, len(samples) - 1)]
+        out.append(a + (b - a) * part // to)
+    turns = sum((x < 0) != (y < 0) for x, y in zip(out, out[1:]))
+    raw = b"".join(int(x).to_bytes(2, "little", signed=True) for x in out)
+    rms = int((sum(x * x for x in out) // len(out)) ** 0.5)
+    return f"pcm16:{to}:{len(out)}:{rms}:{max(map(abs, out))}:{turns}:{zlib.crc32(raw):08x}", raw
 
 
-def test_adpcm_blocks_against_sample_by_sample():
-    data = np.random.default_rng(5).integers(0, 256, 40 * 7, dtype=np.uint8).tobytes()
+def adpcm_by_hand(data, size):
     out = []
-    for at in range(0, len(data), 40):
-        block = data[at : at + 40]
+    for at in range(0, len(data), size):
+        block = data[at : at + size]
         value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
         out.append(value)
         for code in (c for byte in block[4:] for c in (byte & 15, byte >> 4)):
@@ -285,7 +299,53 @@ def test_adpcm_blocks_against_sample_by_sample():
             value = max(-32768, min(32767, value - move if code & 8 else value + move))
             index = max(0, min(88, index + int(media.INDEX_MOVES[code & 7])))
             out.append(value)
-    assert media.decode_adpcm(data, 40).tolist() == out
+    return out
+
+
+def test_media_against_brute_force(spark, tmp_path, monkeypatch):
+    """The query's every column, recomputed from the text."""
+    monkeypatch.setattr(media, "_BLOCKS_AT_ONCE", 2)
+    texts = [None, "", "", "x" * 64, "é" * 33, "some words " * 40, "\U0001d518\n", LONG[:3000]]
+    docs_of(spark, [(i if i != 2 else None, t, "s") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op6_media_columns(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = (texts[2 if r.doc_id is None else r.doc_id] or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        digest = hashlib.sha256(payload).hexdigest()
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(payload), zlib.crc32(payload[-64:]))
+        assert r.payload_sha256 == r.alaw_payload_sha256 == r.adpcm_payload_sha256 == digest
+        wave = media.write_wave(media.Wave(media.MULAW, 8000, 1, payload), len(payload))
+        assert (r.media_bytes, r.media_sha256) == (len(wave), hashlib.sha256(wave).hexdigest())
+        feature, pcm = feature_by_hand([int(media.MULAW_TABLE[x]) for x in payload], 8000)
+        stored = media.write_wave(media.Wave(media.PCM, 16000, 2, pcm), len(pcm) // 2)
+        assert (r.feature, r.pcm_bytes, r.pcm_sha256) == (feature, len(stored), hashlib.sha256(stored).hexdigest())
+        assert r.alaw_feature == feature_by_hand([int(media.ALAW_TABLE[x]) for x in payload], 8000)[0]
+        assert r.adpcm_feature == feature_by_hand(adpcm_by_hand(payload, 64), 8000)[0]
+
+
+def test_media_that_cannot_be_read(spark):
+    wave = lambda **how: media.write_wave(media.Wave(**{"tag": media.MULAW, "rate": 8000, "block": 1, "data": b"ab"} | how), 2)
+    adpcm = wave(tag=media.IMA_ADPCM, block=8)
+    odd = [b"junk", b"", wave(rate=0), wave(rate=1), wave(tag=99), adpcm[:32] + b"\2\0" + adpcm[34:], wave()[:30], None, wave(data=b""), wave()]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i int, media binary").withColumn("pcm", F.lit("clash"))
+    got = sorted(media.to_pcm(media.describe_media(rows)).collect())
+    assert [r.audio.feature and r.audio.feature.startswith("error") for r in got] == [True] * 7 + [None, False, False]
+    assert [r.pcm is None for r in got] == [True] * 8 + [False] * 2
+    assert media.describe_media(rows.limit(0)).count() == 0
+
+
+def test_law_tables():
+    assert media.MULAW_TABLE[0xFF] == 0 and media.MULAW_TABLE[0] == -32124 and media.MULAW_TABLE[0x80] == 32124
+    assert media.ALAW_TABLE[0xD5] == 8 and media.ALAW_TABLE[0x55] == -8 and media.ALAW_TABLE[0xAA] == 32256
+
+
+def test_adpcm_blocks_against_sample_by_sample():
+    data = np.random.default_rng(5).integers(0, 256, 40 * 7, dtype=np.uint8).tobytes()
+    assert media.decode_adpcm(data, 40).tolist() == adpcm_by_hand(data, 40)
+    waves = [media.Wave(media.IMA_ADPCM, 8000, 40, data[:k]) for k in (0, 40, 90, 280)]
+    for wave, found in zip(waves, media.decode_many(waves), strict=True):
+        assert found.tolist() == media.decode(wave).tolist()
 
 
 # Lines
