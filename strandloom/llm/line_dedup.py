@@ -2,8 +2,9 @@
 
 The hashes of repeated lines are placed by a minimal perfect hash, one a shard;
 the slot of a line indexes arrays with its fingerprint, its document count and
-its last document. Documents probe these arrays (loaded shard by shard from the
-shared folder); lines are never joined.
+its last document. Documents probe these arrays, which are read from the shared
+folder; lines are never joined with lines. Where a worker can hold all shards it
+probes them as it reads; a larger index meets the hashes of the lines shard by shard.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .staging import new_path, stage
+from .staging import new_path, small_batches, stage, stage_side
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -27,6 +28,8 @@ MIN_DOCS = 5
 SHARD_KEYS = 1 << 18
 #: Shards a Python worker keeps in memory at once.
 SHARDS_HELD = 16
+#: Tasks among which the probes of one shard are dealt out, so that no line is hot.
+SALTS = 16
 _SPACE = b" \t\n\x0b\x0c\r"
 _GAMMA = 2.0
 _LEVELS = 48
@@ -231,30 +234,90 @@ def _drops(batch: list[tuple], paths: list[str | None]) -> list[np.ndarray]:
     return np.split(gone, np.cumsum(sizes)[:-1]) if sizes else []
 
 
+def _kept(lines: list[bytes], drop: set[int]) -> tuple[int, int, str]:
+    kept = b"\n".join(x for i, x in enumerate(lines) if i not in drop)
+    return len(lines), len(drop), kept.decode("utf-8", "surrogatepass")
+
+
+def _own_id(doc_id) -> int | None:
+    return None if pd.isna(doc_id) else int(doc_id)
+
+
+def _probed(docs: DataFrame, paths: list[str | None], min_chars: int) -> DataFrame:
+    """``__id, __text`` -> ``__lines`` where a worker holds the whole index."""
+
+    @F.pandas_udf(_LINES)
+    def probe(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        split = [_digests(t, min_chars) for t in texts]
+        keys = [(_own_id(i), h) for i, (_, _, h) in zip(ids, split, strict=True)]
+        out = [_kept(lines, set(at[gone].tolist())) for (lines, at, _), gone in zip(split, _drops(keys, paths), strict=True)]
+        return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept"])
+
+    return docs.withColumn("__lines", probe("__id", "__text"))
+
+
+def _probed_by_shard(docs: DataFrame, paths: list[str | None], min_chars: int) -> DataFrame:
+    """The same with each shard read by the tasks that have its probes.
+
+    Only hashes travel, dealt out by shard and document; what comes back are the lines
+    that go, by id and digest of the text.
+    """
+
+    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_digests(t, min_chars)[1:] for t in batch["__text"]]
+            sizes = [len(at) for at, _ in found]
+            both = np.concatenate([np.zeros((0, 2), np.uint64), *(h for _, h in found)]).view(np.int64)
+            repeat = lambda c: np.repeat(batch[c].to_numpy(object), sizes)
+            yield pd.DataFrame({
+                "shard": both[:, 0] % len(paths), "id": repeat("__id"), "key": repeat("__key"), "line": np.concatenate([np.zeros(0, np.int64), *(at for at, _ in found)]),
+                "low": both[:, 0], "high": both[:, 1],
+            })
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes = batch[["low", "high"]].to_numpy(np.int64).view(np.uint64)
+            gone = _drops([(_own_id(i), hashes[k : k + 1]) for k, i in enumerate(batch["id"])], paths)
+            yield batch.loc[[bool(x[0]) for x in gone], ["id", "key", "line"]]
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = docs.withColumn("__key", F.concat_ws(":", F.md5(F.coalesce("__text", F.lit(""))), F.octet_length(F.coalesce("__text", F.lit("")))))
+    sent = keyed.select("__id", "__key", "__text").mapInPandas(probes, "shard long, id string, key string, line long, low long, high long")
+    dealt = sent.repartition(n, "shard", F.pmod(F.xxhash64("key"), F.lit(SALTS))).sortWithinPartitions("shard")
+    drops = dealt.mapInPandas(find, "id string, key string, line long").groupBy("id", "key").agg(F.collect_set("line").alias("drop"))
+    drops = stage_side(drops.select(F.col("id").alias("__d_id"), F.col("key").alias("__d_key"), "drop"), "lines-dropped")
+
+    @F.pandas_udf(_LINES)
+    def cut(texts: pd.Series, drop: pd.Series) -> pd.DataFrame:
+        out = [_kept((t or "").encode("utf-8", "surrogatepass").split(b"\n"), set(() if d is None else d)) for t, d in zip(texts, drop, strict=True)]
+        return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept"])
+
+    met = keyed.join(drops, (F.col("__key") == F.col("__d_key")) & F.col("__id").eqNullSafe(F.col("__d_id")), "left")
+    return met.withColumn("__lines", cut("__text", "drop"))
+
+
+_LINES = "n_lines long, n_dropped long, kept string"
+
+
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS
 ) -> DataFrame:
     """``docs`` with ``__lines``: ``n_lines``, ``n_dropped`` and the ``kept`` text of each row.
 
     A key (line stripped of ASCII space, A-Z lower-cased) of ``min_chars`` code
     points in ``min_docs`` documents keeps its lines in the largest id holding it
-    only, with all its repeats there; a null id never is the largest. Null and
-    empty texts are one empty line. Very long texts are handled whole.
+    only, with all its repeats there; a null id never is the largest. Ids are whole
+    numbers, as any type that casts to long; others raise. Null and empty texts are one
+    empty line. Very long texts are handled whole. Columns of ``docs`` may have any name
+    but ``__lines``, which is replaced.
     """
-    paths = build_index(repeated_lines(docs, id_col, text_col, min_chars, min_docs))
-
-    @F.pandas_udf("n_lines long, n_dropped long, kept string")
-    def probe(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        split = [_digests(t, min_chars) for t in texts]
-        keys = [None if pd.isna(i) else int(i) for i in ids]
-        out = []
-        for (lines, at, _), gone in zip(split, _drops([(k, h) for k, (_, _, h) in zip(keys, split, strict=True)], paths), strict=True):
-            drop = set(at[gone].tolist())
-            kept = b"\n".join(x for i, x in enumerate(lines) if i not in drop)
-            out.append((len(lines), len(drop), kept.decode("utf-8", "surrogatepass")))
-        return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept"])
-
-    return docs.withColumn("__lines", probe(F.col(id_col).cast("long").cast("string"), F.col(text_col)))
+    small_batches(docs.sparkSession)
+    paths = build_index(repeated_lines(docs, id_col, text_col, min_chars, min_docs), shard_keys)
+    own = [c for c in docs.columns if c != "__lines"]
+    # ids travel as text: pandas would turn longs with nulls into doubles
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"), F.col(id_col).cast("long").cast("string").alias("__id"), F.col(text_col).alias("__text"))
+    probed = _probed if len(paths) <= SHARDS_HELD else _probed_by_shard
+    return probed(rows, paths, min_chars).select("__row.*", "__lines")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

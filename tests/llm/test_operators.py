@@ -375,6 +375,21 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.drop_repeated_lines(again.limit(0)).count() == 0
 
 
+def test_an_index_of_many_shards_is_read_by_its_probes(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(9)
+    lines = [f"line number {k} that several documents share, long enough" for k in range(60)]
+    rows = [(i, "\n".join([f"own {i}", *(lines[int(k)] for k in rng.integers(0, 60, 9)), lines[0]]), "s") for i in range(80)]
+    rows += [rows[3], (None, lines[0], "s"), (None, None, "s"), (90, "", None)]
+    docs = docs_of(spark, rows).withColumnRenamed("size", "key").withColumnRenamed("block", "drop")
+    read = line_dedup._probed_by_shard
+    used = []
+    monkeypatch.setattr(line_dedup, "_probed_by_shard", lambda docs, paths, n: used.append(len(paths)) or read(docs, paths, n))
+    got = line_dedup.dedup_lines(docs, shard_keys=2).collect()
+    assert used and used[0] > line_dedup.SHARDS_HELD
+    assert sorted((str(r.doc_id), r["__lines"].n_lines, r["__lines"].kept) for r in got) == brute_lines(rows)
+    assert sorted(map(str, got)) == sorted(map(str, line_dedup.dedup_lines(docs).collect()))
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 50_000).astype(np.uint64))
     hashing = line_dedup.MinimalPerfectHash.build(keys)
