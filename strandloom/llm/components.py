@@ -1,10 +1,10 @@
-"""Connected components by alternating stars, with a staged table a round."""
+"""Connected components by alternating stars, with a staged table a round; each round's are deleted by the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .staging import stage
+from .staging import release, stage
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -19,13 +19,17 @@ def _signature(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = stage(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "cc-least")
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = stage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+    release(least, edges)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = stage(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
+    out = stage(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+    release(least, edges)
+    return out
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -44,7 +48,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = stage(_small_star(stage(_large_star(edges).distinct(), "cc-large")).distinct(), "cc-edges")
+        edges = _small_star(_large_star(edges))
         after = _signature(edges)
         if after == before:
             break

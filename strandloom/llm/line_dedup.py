@@ -16,11 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .staging import new_path, small_batches, stage, stage_side
+from .staging import new_path, open_folder, small_batches, stage, stage_side
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -140,18 +139,12 @@ class Shard:
         return cls(MinimalPerfectHash(levels, ranks, z["rest"]), z["prints"], z["counts"], z["last"])
 
 
-def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    if uri.startswith("file:"):
-        uri = "/" + uri[5:].lstrip("/")
-    return (pyarrow.fs.LocalFileSystem(), uri) if uri.startswith("/") else pyarrow.fs.FileSystem.from_uri(uri)
-
-
 _held: OrderedDict[str, Shard] = OrderedDict()
 
 
 def _shard(uri: str) -> Shard:
     if uri not in _held:
-        fs, path = _open(uri)
+        fs, path = open_folder(uri)
         with fs.open_input_stream(path) as f:
             _held[uri] = Shard.loads(f.read())
         while len(_held) > SHARDS_HELD:
@@ -201,7 +194,7 @@ def build_index(lines: DataFrame, shard_keys: int = SHARD_KEYS) -> list[str]:
         low, high = (part[c].to_numpy(np.int64).view(np.uint64) for c in ("low", "high"))
         raw = Shard.build(low, high, part["n"].to_numpy(np.int64), part["last"].to_numpy(np.int64)).dumps()
         uri = f"{root}/{int(key[0]):06d}-{uuid.uuid4().hex}.npz"  # a second attempt writes its own file
-        fs, path = _open(uri)
+        fs, path = open_folder(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(path) as f:
             f.write(raw)

@@ -8,15 +8,19 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests, a laptop).
+#: Used only where all runs in one process and the session names no folder (tests, a laptop).
 LOCAL_DEFAULT = "/tmp/checkpoints/strandloom"
 
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder of this application's staged tables and index files."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    root = root or LOCAL_DEFAULT
     return f"{root.rstrip('/')}/strandloom-{spark.sparkContext.applicationId}"
 
 
@@ -24,6 +28,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def open_folder(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path of the shared folder, and the path there."""
+    if uri.startswith("file:"):
+        uri = "/" + uri[5:].lstrip("/")
+    return (pyarrow.fs.LocalFileSystem(), uri) if uri.startswith("/") else pyarrow.fs.FileSystem.from_uri(uri)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts go to Python in batches of ``rows``, unless the session has a setting of its own.
 
@@ -41,7 +52,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     small_batches(spark)
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: what was made of them is written too."""
+    for table in tables:
+        fs, place = _folder(table.sparkSession, table._staged_at)
+        fs.delete(place, True)
 
 
 #: Rows and written bytes up to which a side may be broadcast; a staged side is counted first.

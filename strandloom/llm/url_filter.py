@@ -8,8 +8,8 @@ same, so a digest collision never decides.
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -19,6 +19,10 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .staging import new_path, open_folder
+
+_UPPER, _LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWER = str.maketrans(_UPPER, _LOWER_LETTERS)
 ALLOW, BLOCK = "allow", "block"
 _PARTS = ("digests", "offsets", "bytes", "blocks", "lengths")
 
@@ -28,7 +32,7 @@ def host_of(url: Column) -> Column:
     at = F.instr(url, "://")
     rest = F.substring(url, at + 3, F.char_length(url))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
-    return F.when(F.coalesce(at, F.lit(0)) > 0, F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise("")
+    return F.when(F.coalesce(at, F.lit(0)) > 0, F.translate(host, _UPPER, _LOWER_LETTERS)).otherwise("")
 
 
 def path_of(url: Column) -> Column:
@@ -52,11 +56,10 @@ def build_index(rules: Iterable[tuple[str, str, str]], folder: str, prefix: str
     for verdict, host, path in rules:
         if verdict not in (ALLOW, BLOCK):
             raise ValueError(f"unknown verdict {verdict!r}")
-        key = _key(host.lower(), path)
+        key = _key(host.translate(_LOWER), path)
         verdicts[key] = verdicts.get(key, False) or verdict == BLOCK
         lengths.add(len(path))
     keys = sorted(verdicts, key=lambda k: (xxhash.xxh64_intdigest(k), k))
-    os.makedirs(folder, exist_ok=True)
     parts = {
         "digests": np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64),
         "offsets": np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int64),
@@ -64,8 +67,13 @@ def build_index(rules: Iterable[tuple[str, str, str]], folder: str, prefix: str
         "blocks": np.array([verdicts[k] for k in keys], bool),
         "lengths": np.array(sorted(lengths), np.int64),
     }
+    fs, place = open_folder(folder)
+    fs.create_dir(place, recursive=True)
     for name, values in parts.items():
-        np.save(f"{folder}/{prefix}{name}.npy", values)
+        with fs.open_output_stream(f"{place}/{prefix}{name}.npy") as f:
+            raw = io.BytesIO()
+            np.save(raw, values)
+            f.write(raw.getbuffer())
     return folder
 
 
@@ -124,7 +132,7 @@ def _shipped(tag: str) -> DigestIndex:
 def ship_index(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> str:
     """Build the arrays and give every executor, now or later, a local copy to map."""
     tag = f"urls-{uuid.uuid4().hex}-"
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="urls-"))  # stays: the driver serves it to executors that come later
+    folder = new_path(spark, "urls")  # stays: executors that come later fetch it too
     build_index(rules, folder, tag)
     for name in _PARTS:
         spark.sparkContext.addFile(f"{folder}/{tag}{name}.npy")
@@ -132,7 +140,7 @@ def ship_index(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> st
 
 
 def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url_col: str = "url", name: str = "judged", default: str = ALLOW) -> DataFrame:
-    """``pages`` with a struct ``name``: ``host, path, rule, verdict``.
+    """``pages`` with a struct ``name``: ``host, path, rule, verdict``; a column of that name is replaced.
 
     A rule ``(verdict, host, path)`` fits its host and subdomains when the path starts
     with its own; the longest rule (host and path together, then host) wins, whether it

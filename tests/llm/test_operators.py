@@ -90,8 +90,8 @@ def test_language_against_exact_sets(spark):
 # URLs
 
 def test_urls_against_brute_force(spark):
-    rules = [("block", "x.com", "/"), ("allow", "a.x.com", "/ok"), ("block", "net", "/e/"), ("allow", "com", "/okay/then")]
-    urls = ["http://A.X.com/ok/1", "http://x.com", "http://b.x.com/okay/then?q", "s://y.net/e/#t", "s://notnet/e/", None, "no scheme", "", "://.net/e/", "http://x.com/é"]
+    rules = [("block", "x.com", "/"), ("allow", "a.x.com", "/ok"), ("block", "net", "/e/"), ("allow", "com", "/okay/then"), ("block", "É.org", "/")]
+    urls = ["http://A.X.com/ok/1", "http://x.com", "http://b.x.com/okay/then?q", "s://y.net/e/#t", "s://notnet/e/", None, "no scheme", "", "://.net/e/", "http://x.com/é", "http://É.ORG/", "http://é.org/"]
     pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
 
     def brute(url):
