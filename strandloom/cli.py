@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import sys
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,9 +19,17 @@ def _session() -> SparkSession:
 
 
 def _records(spark, args) -> tuple[DataFrame, str]:
-    """Records with NM and MD as columns, and the header."""
-    rows = sam.read_alignments(spark, args.input, args.mode)
-    return rows.withColumns({"md": al.tag("MD"), "nm": al.tag("NM").try_cast("int")}), sam.header_text(args.input[0])
+    """Records with NM and MD as columns, and the header all files agree with.
+
+    In mode SKIP broken records are left out and said on standard error.
+    """
+    header = sam.common_header(args.input)
+    rows = sam.read_alignments(spark, args.input, "PERMISSIVE" if args.mode == "SKIP" else args.mode)
+    if args.mode == "SKIP":
+        rows, broken = sam.split_broken(rows)
+        for r in broken.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min_by("corrupt", "ordinal").alias("first")).orderBy("file").collect():
+            print(f"{r.file}\t{r.n} broken records skipped, the first: {r.first}", file=sys.stderr)
+    return rows.withColumns({"md": al.tag("MD"), "nm": al.tag("NM").try_cast("int")}), header
 
 
 def _write(rows: DataFrame, header: str, path: str, bam: bool) -> None:
@@ -86,13 +95,17 @@ def aggregatestatistics(spark, args) -> None:
 
 def demultiplexsam(spark, args) -> None:
     counter, total = text.read_counter(spark, args.statistics)
-    sets = text.read_reference_set(spark, args.barcodes)
-    split = al.demultiplex(_records(spark, args)[0], sets).persist()
+    sets = text.read_reference_set(spark, args.barcodes) if args.barcodes else bc.reference_set(spark.createDataFrame([], "value string"))
+    rows, header = _records(spark, args)
+    split = al.demultiplex(rows, sets).persist()
+    for r in split.where("error IS NOT NULL").groupBy("file", "error").count().orderBy("file").collect():
+        print(f"{r.file}\t{r['count']} records: {r.error}", file=sys.stderr)
     order = counter.select("key", F.col("file_ordinal").alias("ordinal")).distinct()
     chosen = counts.select_samples(counter, order, "raw", args.number, args.minimum, args.threshold).select("key")
     if args.explicit:
         chosen = chosen.union(text.parse_keys(text._numbered(spark, args.explicit))).distinct()
-    sam.write_by_key(al.selected_records(split, chosen), args.output)
+    written = sam.write_by_key(al.selected_records(split, chosen), header, args.output, args.bam, level=args.compression)
+    print(f"Outputting {len(written)} files", file=sys.stderr)
     _print_counter(al.demultiplex_counts(split, counter), total.first().total, "raw")
 
 
@@ -106,13 +119,16 @@ def samstats(spark, args) -> None:
     rows, _ = _records(spark, args)
     key = spark.range(1).select(text.key_from_path(F.lit(args.input[0]))).first()[0]
     _print_counter(al.class_counts(rows, al.target_classes(spark, args.targets), key, args.min_mapq), 0, None)
-    for r in al.length_histogram(rows, args.min_mapq).orderBy("length").collect() if args.lengths else []:
-        print(r.length, r.n, f"{r.share:.4f}", f"{r.cumulative:.4f}", sep="\t")
+    if args.lengths:
+        with open(args.lengths, "w") as f:
+            f.write(text.histogram_text(al.length_histogram(rows, args.min_mapq).orderBy("length").collect()))
 
 
 def _clipped(spark, args, rows: DataFrame, hard: bool) -> DataFrame:
     headers = sam.read_headers(spark, args.input)
     rows = al.clip_length(rows, sam.read_groups(headers), args.n, args.library1, args.n1, args.library2, args.n2)
+    for r in al.clip_errors(rows, F.col("clip_n")).collect():
+        print(f"{r.n} records cannot be clipped, the first {r.qname}: {r.error}", file=sys.stderr)
     out = al.clip(rows, F.col("clip_n"), sam.sequences(headers).dropDuplicates(["name"]), hard)
     return al.with_tag(al.with_tag(out, "MD", F.col("md")), "NM", F.col("nm"), "i").drop("clip_n", "md", "nm")
 
@@ -152,18 +168,19 @@ def readgrouprewrite(spark, args) -> None:
     given = {"SM": args.sample, "LB": args.library, "CN": args.center, "PL": args.platform}
     if args.platform is not None and args.platform not in al.PLATFORMS:
         raise SystemExit(f"unknown platform {args.platform}")
-    lines, ids, last = [], set(), None
-    for _, _, kind, fields in sam.parse_header("", header):
+    lines, programs = [], []
+    for _, at, kind, fields in sam.parse_header("", header):
         if kind == "RG":
             if fields.get("PL") not in al.PLATFORMS:
                 fields.pop("PL", None)
             fields |= {k: v for k, v in given.items() if v is not None}
         if kind == "PG":
-            ids.add(fields.get("ID"))
-            last = fields.get("ID")
+            programs.append((at, fields.get("ID"), fields.get("PN"), fields.get("VN"), fields.get("CL"), fields.get("PP")))
         lines.append(f"@{kind}\t" + (fields["text"] if kind == "CO" else "\t".join(f"{k}:{v}" for k, v in fields.items())))
-    new = next(f"strandloom.{i}" for i in range(1, len(ids) + 2) if f"strandloom.{i}" not in ids)
-    lines.append(f"@PG\tID:{new}\tPN:ReadGroupRewrite\tVN:{__version__}" + (f"\tPP:{last}" if last else "") + "\tCL:ReadGroupRewrite " + " ".join(sys.argv[2:]))
+    held = spark.createDataFrame(programs, "ordinal int, id string, name string, version string, command string, previous string")
+    added = al.append_program(held, "strandloom", __version__, "ReadGroupRewrite " + " ".join(sys.argv[2:])).orderBy(F.desc("ordinal")).first()
+    names = {"ID": "id", "PN": "name", "VN": "version", "PP": "previous", "CL": "command"}
+    lines.append("@PG\t" + "\t".join(f"{k}:{added[v]}" for k, v in names.items() if added[v] is not None))
     _write(rows, "\n".join(lines) + "\n", args.output, args.bam)
 
 
@@ -186,6 +203,8 @@ def alignmentcomparison(spark, args) -> int:
     read = lambda paths: (sam.read_alignments(spark, paths), sam.sequences(sam.read_headers(spark, paths)))
     (check, cs), (inputs, ns) = read([args.check]), read(args.input)
     found = al.verify_merge(check, inputs, cs, ns, tuple(args.tags)).first()
+    for r in al.unmatched_records(check, inputs, tuple(args.tags)).collect() if found.unmatched else []:
+        print(f"{r.side}\t{r.file}\trecord {r.ordinal}\t{r.record}", file=sys.stderr)
     print(f"Match: {str(found.matches).lower()}")
     return 0 if found.matches else 1
 
@@ -198,47 +217,63 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="strandloom", description=__doc__)
     sub = top.add_subparsers(dest="command")
 
-    def command(f, *specs, inputs: bool = False, output: bool = False):
-        p = sub.add_parser(f.__name__)
+    def command(f, *specs, inputs: str = "", output: bool = False):
+        p = sub.add_parser(f.__name__, add_help=False)
+        p.add_argument("--help", action="help")
         if inputs:
-            p.add_argument("-i", "-f", "--input", nargs="+", required=True)
-            p.add_argument("--mode", default="FAILFAST", choices=("FAILFAST", "DROPMALFORMED"))
+            p.add_argument(*inputs.split(), **{"nargs": "+"} | ({"required": True, "dest": "input"} if inputs.startswith("-") else {}))
+            p.add_argument("--mode", default="FAILFAST", choices=("FAILFAST", "DROPMALFORMED", "SKIP"))
+            p.add_argument("--lenient", dest="mode", action="store_const", const="SKIP")
         if output:
             p.add_argument("-o", "--output", required=True)
-            p.add_argument("-b", "--bam", action="store_true")
+            p.add_argument("-b", "--bam", "--BAM", action="store_true")
         for names, options in specs:
             p.add_argument(*names.split(), **options)
+        p.add_argument("--stdoutFile")
+        p.add_argument("--stderrFile")
         p.set_defaults(run=f)
 
     number = lambda n: {"type": int, "default": n}
     flag = {"action": "store_true"}
+    needed, some = {"required": True}, {"nargs": "*", "default": []}
     pairs = [
-        ("files", {"nargs": "+"}), ("--i5-indices", {"required": True}), ("--i7-indices", {"required": True}), ("--barcodes", {"required": True}),
-        ("--hamming-distance", number(1)), ("--reverse-complement-i5", flag), ("--fixed-i5", {}), ("--fixed-i7", {}),
+        ("files", {"nargs": "+"}), ("-h --hamming-distance", number(1)), ("-y --reverse-complement-i5", flag), ("--fixed-i5", {}), ("--fixed-i7", {}),
+    ]
+    clip = [
+        ("-n --numBases", {"dest": "n"} | number(0)), ("-x --n1 --numBasesSpecial1", {"dest": "n1"} | number(0)), ("-s --library1 --libraries1", {"dest": "library1"} | some),
+        ("-y --n2 --numBasesSpecial2", {"dest": "n2"} | number(0)), ("-t --library2 --libraries2", {"dest": "library2"} | some),
     ]
-    clip = [("-n", number(0)), ("--n1", number(0)), ("--library1", {"nargs": "*", "default": []}), ("--n2", number(0)), ("--library2", {"nargs": "*", "default": []})]
-    command(barcodecount, *pairs)
+    records = "-i --input --input-filename --input_BAM"
+    command(barcodecount, *pairs, ("-i --i5-indices", needed), ("-j --i7-indices", needed), ("-b --barcodes", needed))
     command(
-        indexandbarcodescreener, *pairs, ("--max-penalty", number(3)), ("--penalty-high", number(3)), ("--penalty-low", number(1)), ("--quality-threshold", number(20)),
-        ("--min-overlap", number(15)), ("--min-length", number(30)), ("--outputs", number(25)), ("--prior-counts", {}), ("--sample-sheet", {}),
-        ("--threshold", {"type": float, "default": 0.05}), ("--oligo", {}), ("--read-group-file", {}), ("--disable-flowcell-lane-check", flag),
+        indexandbarcodescreener, *pairs, ("--i5-indices", needed), ("--i7-indices", needed), ("-b --barcodes", needed),
+        ("-m --max-penalty --mismatch-penalty-max", {"dest": "max_penalty"} | number(3)), ("-j --penalty-high --mismatch-penalty-high", {"dest": "penalty_high"} | number(3)),
+        ("-k --penalty-low --mismatch-penalty-low", {"dest": "penalty_low"} | number(1)), ("-q --quality-threshold --mismatch-quality-threshold", {"dest": "quality_threshold"} | number(20)),
+        ("-o --min-overlap --minimum-overlap", {"dest": "min_overlap"} | number(15)), ("-l --min-length --minimum-length", {"dest": "min_length"} | number(30)),
+        ("-n --outputs --number-output-files", {"dest": "outputs"} | number(25)), ("-c --prior-counts --barcode-count", {"dest": "prior_counts"}),
+        ("-x --sample-sheet --index-barcode-keys", {"dest": "sample_sheet"}), ("-t --threshold --barcode-threshold", {"dest": "threshold", "type": float, "default": 0.05}),
+        ("-z --oligo --positive-oligo", {"dest": "oligo"}), ("-r --read-group-file", {}), ("--disable-flowcell-lane-check", flag), ("--threads", number(1)),
     )
     command(aggregatestatistics, ("files", {"nargs": "+"}), ("-s --sort", {"default": "raw"}), ("-k --key", {}), ("-l --label", {"default": "raw"}))
-    command(demultiplexsam, ("-s --statistics", {"required": True}), ("--barcodes", {"required": True}), ("-n --number", number(1000)), ("-r --minimum", number(1)),
-            ("-t --threshold", number(-1)), ("-e --explicit", {}), ("-o --output", {"default": "demultiplexed"}), inputs=True)
-    command(readmarkduplicatesstatistics, ("-l --label", {"default": "duplicates"}), inputs=True)
-    command(samstats, ("-t --targets", {"required": True}), ("-q --min-mapq", number(0)), ("-l --lengths", flag), inputs=True)
-    command(softclip, *clip, ("--hard", flag), inputs=True, output=True)
-    command(hardclip, *clip, inputs=True, output=True)
-    command(filtersam, *clip, ("-p --bed", {"required": True}), ("-m --min-mapq", number(0)), ("-q --min-base-quality", number(0)), inputs=True, output=True)
-    command(assignreadgroups, ("-s --sample", {"required": True}), ("-d --date", {"required": True}), ("-x --label", {"default": ""}), ("-l --library", {}),
-            ("-q --center", {}), ("-p --platform", {"default": "ILLUMINA"}), inputs=True, output=True)
-    command(duplicateshistogram, inputs=True)
-    command(readgrouprewrite, ("-s --sample", {}), ("-l --library", {}), ("-q --center", {}), ("-p --platform", {}), inputs=True, output=True)
-    command(duplicatestagrewrite, ("-l --p5-tag", {}), ("-k --p7-tag", {}), inputs=True, output=True)
-    command(barcodemover, ("-t --tag", {"default": "XD"}), inputs=True, output=True)
-    command(damagerestrict, ("-d --damage", {"type": float, "required": True}), ("-t --tag", {"default": "ds"}), inputs=True, output=True)
-    command(alignmentcomparison, ("-c --check", {"required": True}), ("tags", {"nargs": "*"}), inputs=True)
+    command(demultiplexsam, ("-s --statistics --statisticsFilename", {"dest": "statistics"} | needed), ("-f --barcodes --barcodeFile", {"dest": "barcodes"}),
+            ("-n --number --numSamples", {"dest": "number"} | number(1000)), ("-r --minimum --minimumReads", {"dest": "minimum"} | number(1)),
+            ("-t --threshold --thresholdReads", {"dest": "threshold"} | number(-1)), ("-e --explicit", {}), ("-b --bam --BAM", {"dest": "bam"} | flag),
+            ("-c --compression", number(5)), ("-o --output --outputDirectory", {"dest": "output", "default": "."}), inputs="input")
+    command(readmarkduplicatesstatistics, ("-l --label", {"default": "duplicates"}), inputs="input")
+    command(samstats, ("-t --targets", needed), ("-q --min-mapq --mapping-quality", {"dest": "min_mapq"} | number(0)), ("-l --lengths --length-histogram", {"dest": "lengths"}), inputs="-f -i --filename --input")
+    command(softclip, *clip, ("--hard", flag), inputs=records, output=True)
+    command(hardclip, *clip, inputs=records, output=True)
+    command(filtersam, *clip, ("-p --bed --positions", {"dest": "bed"} | needed), ("-m --min-mapq --minimum_mapping_quality", {"dest": "min_mapq"} | number(0)),
+            ("-q --min-base-quality --minimum_base_quality", {"dest": "min_base_quality"} | number(0)), inputs=records, output=True)
+    command(assignreadgroups, ("-s --sample", needed), ("-d --date", needed), ("-x --label", {"default": ""}), ("-l --library", {}),
+            ("-q --center --sequencing-center", {"dest": "center"}), ("-p --platform --sequencing-platform", {"dest": "platform", "default": "ILLUMINA"}), inputs=records, output=True)
+    command(duplicateshistogram, inputs=records)
+    command(readgrouprewrite, ("-s --sample", {}), ("-l --library", {}), ("-q --center --sequencing-center", {"dest": "center"}),
+            ("-p --platform --sequencing-platform", {"dest": "platform"}), inputs=records, output=True)
+    command(duplicatestagrewrite, ("-l --p5-tag --p5-barcode-tag", {"dest": "p5_tag"}), ("-k --p7-tag --p7-barcode-tag", {"dest": "p7_tag"}), inputs=records, output=True)
+    command(barcodemover, ("-t --tag", {"default": "XD"}), inputs=records, output=True)
+    command(damagerestrict, ("-d --damage", {"type": float} | needed), ("-t --tag", {"default": "ds"}), inputs=records, output=True)
+    command(alignmentcomparison, ("-c --check", needed), ("tags", {"nargs": "*"}), inputs="-i --input")
     command(version)
     return top
 
@@ -246,7 +281,12 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     argv = sys.argv[1:] if argv is None else argv
     args = parser().parse_args([argv[0].lower(), *argv[1:]] if argv else ["version"])
-    return args.run(None if args.command == "version" else _session(), args) or 0
+    with contextlib.ExitStack() as files:
+        if args.stdoutFile:
+            files.enter_context(contextlib.redirect_stdout(files.enter_context(open(args.stdoutFile, "w"))))
+        if args.stderrFile:
+            files.enter_context(contextlib.redirect_stderr(files.enter_context(open(args.stderrFile, "w"))))
+        return args.run(None if args.command == "version" else _session(), args) or 0
 
 
 if __name__ == "__main__":

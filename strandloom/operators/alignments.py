@@ -85,6 +85,12 @@ def clip(records: DataFrame, n: Column, sequences: DataFrame, hard: bool = False
     return clipped.join(sizes, F.col("rname") == F.col("__sq")).where(is_non_empty("cigar", "pos", "__sq_length")).drop("__sq", "__sq_length")
 
 
+def clip_errors(records: DataFrame, n: Column) -> DataFrame:
+    """``error, n, qname``: why records cannot be clipped, how many, and the first by name."""
+    bad = clip_both_ends(records, n).where("clip_error IS NOT NULL")
+    return bad.groupBy(F.col("clip_error").alias("error")).agg(F.count(F.lit(1)).alias("n"), F.min("qname").alias("qname")).orderBy("error")
+
+
 #: Targets of up to so many positions share a width of bins (a power of two).
 _WIDTHS = tuple(range(12, 32, 3))
 
@@ -341,5 +347,15 @@ def verify_merge(check: DataFrame, inputs: DataFrame, check_sequences: DataFrame
     return out.select(((lost_n == 0) & (turned_n == 0) & (F.col("kinds") <= 1)).alias("matches"), lost_n.alias("unmatched"), turned_n.alias("disordered"))
 
 
+def unmatched_records(check: DataFrame, inputs: DataFrame, tags_checked: tuple[str, ...] = (), most: int = 10) -> DataFrame:
+    """``side, file, ordinal, record``: the first ``most`` records (a report) that have no partner on the other side."""
+    record = F.to_json(F.struct(*_identity(tags_checked))).alias("record")
+    sides = [t.select(F.lit(name).alias("side"), "file", "ordinal", record) for name, t in (("check", check), ("input", inputs))]
+    copy = F.row_number().over(Window.partitionBy("side", "record").orderBy("file", "ordinal"))
+    each = sides[0].unionByName(sides[1]).withColumn("copy", copy)
+    alone = each.groupBy("record", "copy").agg(F.count(F.lit(1)).alias("n"), F.first("side").alias("side"), F.first("file").alias("file"), F.first("ordinal").alias("ordinal")).where("n = 1")
+    return alone.select("side", "file", "ordinal", "record").orderBy("side", "file", "ordinal").limit(most)
+
+
 def record_counts(records: DataFrame, key: str = "key", label: str = "label") -> DataFrame:
     return count_labels(records, key, label)

@@ -185,7 +185,7 @@ class AlignmentReader(DataSourceReader):
                 while size := data.take(4):
                     yield data.take(_int(size)), lambda raw: _bam_record(raw, names)
             else:
-                for line in io.TextIOWrapper(f, encoding="ascii", newline="\n"):
+                for line in io.TextIOWrapper(f, encoding="utf-8", newline="\n"):
                     if line.strip() and not line.startswith("@"):
                         yield line.rstrip("\r\n"), _sam_record
 
@@ -223,13 +223,28 @@ def header_text(path: str) -> str:
         if packed:
             return _bam_header(_Bytes(f))[0]
         lines = []
-        for line in io.TextIOWrapper(f, encoding="ascii"):
+        for line in io.TextIOWrapper(f, encoding="utf-8"):
             if not line.startswith("@"):
                 break
             lines.append(line)
         return "".join(lines)
 
 
+def common_header(paths: list[str]) -> str:
+    """The header of the first file; raises if another has a different sequence dictionary."""
+    texts = [header_text(p) for p in paths]
+    dictionaries = [[(f.get("SN"), f.get("LN")) for _, _, kind, f in parse_header(p, t) if kind == "SQ"] for p, t in zip(paths, texts, strict=True)]
+    for path, own in zip(paths, dictionaries, strict=True):
+        if own != dictionaries[0]:
+            raise ValueError(f"{path} has other reference sequences than {paths[0]}")
+    return texts[0]
+
+
+def split_broken(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records read in mode ``PERMISSIVE``: the good ones, and ``file, ordinal, corrupt`` of the broken."""
+    return records.where("corrupt IS NULL"), records.where("corrupt IS NOT NULL").select("file", "ordinal", "corrupt")
+
+
 def parse_header(path: str, text: str) -> list[tuple]:
     rows = []
     for i, line in enumerate(x for x in text.splitlines() if x):
@@ -324,69 +339,119 @@ def _line(r) -> bytes:
     return ("\t".join(map(str, [r.qname, r.flag, r.rname, r.pos, r.mapq, r.cigar, r.rnext, r.pnext, r.tlen, r.seq, r.qual, *tags])) + "\n").encode()
 
 
-def write_alignments(records: DataFrame, header: str, path: str, bam: bool | None = None, sort: bool = True, level: int = 5) -> str:
-    """Write one SAM or BAM file (``.bam`` names: BAM) under ``header``.
-
-    With ``sort`` records come in coordinate order if the header says so, else in that of
-    ``file, ordinal``. Tasks write parts beside the target; the driver joins them byte by
-    byte, holding none in memory.
-    """
-    unsupported_cram(path)
-    as_bam = is_bam_name(path) if bam is None else bam
-    rows = parse_header(path, header)
-    index = {f["SN"]: i for i, (_, _, kind, f) in enumerate(x for x in rows if x[2] == "SQ") if "SN" in f}
-    lengths = [int(f["LN"]) for _, _, kind, f in rows if kind == "SQ"]
-    by_place = sort and any(kind == "HD" and f.get("SO") == "coordinate" for _, _, kind, f in rows)
-    spark = records.sparkSession
+def _write_parts(records: DataFrame, header: str, as_bam: bool, sort: bool, level: int) -> list:
+    """Write runs of records (with ``__target``) beside their targets; ``target, at, part`` of each."""
+    rows = parse_header("", header)
+    index = {f["SN"]: i for i, f in enumerate(f for _, _, kind, f in rows if kind == "SQ") if "SN" in f}
     order = ["file", "ordinal"]
-    if by_place:
+    if sort and any(kind == "HD" and f.get("SO") == "coordinate" for _, _, kind, f in rows):
         place = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in index.items() for x in (F.lit(k), F.lit(v))]), "rname"), F.lit(1 << 30)) if index else F.lit(1 << 30)
         records, order = records.withColumn("__place", place), ["__place", "pos", "file", "ordinal"]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = records.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    tag = uuid.uuid4().hex
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = records.repartitionByRange(n, "__target", *order).sortWithinPartitions("__target", *order)
 
     def write(batches):
         import pandas as pd
         from pyspark import TaskContext
 
-        system, target = open_uri(path)
-        part, out = f"{target}.{tag}.{uuid.uuid4().hex}", None
+        target = out = part = None
+        held: list[bytes] = []
+
+        def flush() -> None:
+            raw = b"".join(held)
+            out.write(_bgzf(raw, level) if as_bam else raw)
+            held.clear()
+
+        def done() -> pd.DataFrame:
+            flush()
+            out.close()
+            return pd.DataFrame({"target": [target], "at": [TaskContext.get().partitionId()], "part": [part]})
+
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                if out is None:
-                    out, held = system.open_output_stream(part), []
+            for r in batch.rename(columns={"__target": "target"}).itertuples(index=False):
+                if r.target != target:
+                    if out is not None:
+                        yield done()
+                    target = r.target
+                    system, place = open_uri(target)
+                    system.create_dir(place.rpartition("/")[0] or ".", recursive=True)
+                    part = f"{target}.{uuid.uuid4().hex}.part"
+                    out = system.open_output_stream(open_uri(part)[1])
                 held.append(_pack(r, index) if as_bam else _line(r))
                 if len(held) >= 2000:
-                    raw = b"".join(held)
-                    out.write(_bgzf(raw, level) if as_bam else raw)
-                    held = []
+                    flush()
         if out is not None:
-            raw = b"".join(held)
-            out.write(_bgzf(raw, level) if as_bam else raw)
-            out.close()
-            yield pd.DataFrame({"at": [TaskContext.get().partitionId()], "part": [part]})
+            yield done()
 
-    parts = ranged.mapInPandas(write, "at int, part string").collect()
-    system, target = open_uri(path)
+    return ranged.mapInPandas(write, "target string, at int, part string").collect()  # a row a task and target
+
+
+def _file_start(header: str, as_bam: bool, level: int) -> bytes:
     text = header.encode()
-    with system.open_output_stream(f"{target}.{tag}") as out:
-        if as_bam:
-            names = b"".join(struct.pack("<i", len(k) + 1) + k.encode() + b"\0" + struct.pack("<i", n) for k, n in zip(index, lengths, strict=True))
-            out.write(_bgzf(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(index)) + names, level))
-        else:
-            out.write(text)
-        for row in sorted(parts, key=lambda r: r["at"]):
-            with system.open_input_stream(row.part, compression=None) as f:
+    if not as_bam:
+        return text
+    sq = [f for _, _, kind, f in parse_header("", header) if kind == "SQ"]
+    names = b"".join(struct.pack("<i", len(f["SN"].encode()) + 1) + f["SN"].encode() + b"\0" + struct.pack("<i", int(f["LN"])) for f in sq)
+    return _bgzf(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(sq)) + names, level)
+
+
+def _join_parts(target: str, parts: list[str], start: bytes, as_bam: bool) -> None:
+    """One file of a start and the bytes of its parts, under its name when whole."""
+    system, place = open_uri(target)
+    whole = f"{place}.{uuid.uuid4().hex}"
+    with system.open_output_stream(whole) as out:
+        out.write(start)
+        for part in parts:
+            with system.open_input_stream(open_uri(part)[1], compression=None) as f:
                 while raw := f.read(1 << 20):
                     out.write(raw)
-            system.delete_file(row.part)
         if as_bam:
             out.write(_EOF_BLOCK)
-    system.move(f"{target}.{tag}", target)
+    system.move(whole, place)
+
+
+def _assemble(spark: SparkSession, parts: list, header: str, as_bam: bool, level: int) -> list[str]:
+    """Join the parts of each target in a task of its own; the targets."""
+    start = _file_start(header, as_bam, level)
+    held: dict[str, list[str]] = {}
+    for row in sorted(parts, key=lambda r: (r.target, r["at"])):
+        held.setdefault(row.target, []).append(row.part)
+    if not held:
+        return []
+    rows = spark.createDataFrame(list(held.items()), "target string, parts array<string>").repartition(min(len(held), 10_000))
+
+    def join(batches):
+        for batch in batches:
+            for target, own in zip(batch["target"], batch["parts"], strict=True):
+                _join_parts(target, list(own), start, as_bam)
+            yield batch[["target"]]
+
+    done = sorted(r.target for r in rows.mapInPandas(join, "target string").collect())
+    for row in parts:  # a lost task may have needed them again
+        system, place = open_uri(row.part)
+        system.delete_file(place)
+    return done
+
+
+def write_alignments(records: DataFrame, header: str, path: str, bam: bool | None = None, sort: bool = True, level: int = 5) -> str:
+    """Write one SAM or BAM file (``.bam`` names: BAM) under ``header``.
+
+    With ``sort`` records come in coordinate order if the header says so, else in that of
+    ``file, ordinal``. Tasks write parts beside the target; one more joins their bytes.
+    """
+    unsupported_cram(path)
+    as_bam = is_bam_name(path) if bam is None else bam
+    parts = _write_parts(records.withColumn("__target", F.lit(path)), header, as_bam, sort, level)
+    if not _assemble(records.sparkSession, parts, header, as_bam, level):
+        _join_parts(path, [], _file_start(header, as_bam, level), as_bam)
     return path
 
 
-def write_by_key(selected: DataFrame, path: str) -> None:
-    """Records partitioned by ``file_name`` as Parquet; keys without records leave nothing."""
-    selected.write.partitionBy("file_name").parquet(path)
+def write_by_key(selected: DataFrame, header: str, folder: str, bam: bool = False, sort: bool = True, level: int = 5) -> list[str]:
+    """A SAM or BAM file for each ``file_name`` of the records, all under ``header``; the paths.
+
+    Keys without records leave nothing. Any number of files is written in one pass.
+    """
+    target = F.concat(F.lit(folder.rstrip("/") + "/"), F.col("file_name"), F.lit(".bam" if bam else ".sam"))
+    parts = _write_parts(selected.withColumn("__target", target), header, bam, sort, level)
+    return _assemble(selected.sparkSession, parts, header, bam, level)

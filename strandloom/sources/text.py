@@ -85,6 +85,13 @@ def parse_metrics(lines: DataFrame, column: str = "UNPAIRED_READ_DUPLICATES") ->
     return both.select(F.when(F.col("names").isNull(), 0).when(at == 0, -1).otherwise(F.get("values", (at - 1).cast("int")).cast("long")).cast("long").alias("n"))
 
 
+def histogram_text(rows: list) -> str:
+    """A histogram file: ``length``, ``n`` and whole percents, by themselves and summed up."""
+    percent = lambda x: f"{round(100 * x)}%"
+    lines = [f"{r.length}\t{r.n}\t{percent(r.share)}\t{percent(r.cumulative)}\n" for r in rows]
+    return "".join(["Value \t Freq. \t Pct. \t Cum Pct. \n", *lines])
+
+
 def key_from_path(path):
     """The file name cut at its first ``.bam`` (not at its start), else the whole name."""
     from ..functions.dna import _col

@@ -80,6 +80,60 @@ def test_command_line(spark, tmp_path, capsys):
         cli.main(["nothing"])
 
 
+def sam_lines(rows):
+    return "".join("\t".join(map(str, r)) + "\n" for r in rows)
+
+
+def test_demultiplexing_writes_a_file_a_key(spark, tmp_path, capsys):
+    record = lambda i, key, pos, flag=0: (f"n{i};{key}", flag, "chr1" if flag == 0 else "*", pos, 30, "4M", "*", 0, 0, "ACGT", "IIII", "MD:Z:4")
+    inputs = [tmp_path / "a.sam", tmp_path / "b.sam"]
+    rows = [[record(1, "1_2_Q1.1_Q2", 30), record(2, "1_2_Q1.2_Q2", 20), record(3, "3_4__", 5)], [record(4, "1_2_Q1_Q2", 10, 4), record(5, "9_9__", 7), ("nokey", 0, "chr1", 1, 0, "4M", "*", 0, 0, "ACGT", "IIII")]]
+    for path, own in zip(inputs, rows, strict=True):
+        path.write_text(HEADER + sam_lines(own))
+    (tmp_path / "counts").write_text("9\n1_2_Q1_Q2\traw\t5\n3_4__\traw\t2\n9_9__\traw\t1\n")
+    (tmp_path / "sets").write_text("AAAA:CCCC Q1\nGGGG Q2\n")
+    (tmp_path / "more").write_text("not a key\n9_9__\textra\n")
+    for flag, kind in (([], "sam"), (["-b", "-c", "9"], "bam")):
+        out = tmp_path / kind
+        assert cli.main(["DemultiplexSAM", "-s", f"{tmp_path}/counts", "-f", f"{tmp_path}/sets", "-n", "1", "-e", f"{tmp_path}/more", "-o", str(out), *flag, *map(str, inputs)]) == 0
+        said = capsys.readouterr()
+        assert "1_2_Q1_Q2\traw\t5\tdemultiplexed\t3\taligned\t2" in said.out and "b.sam\t1 records: no key" in said.err and "Outputting 2 files" in said.err
+        assert sorted(x.name for x in out.iterdir()) == [f"1_2_Q1_Q2.{kind}", f"9_9__.{kind}"]
+        path = f"{out}/1_2_Q1_Q2.{kind}"
+        got = [(r.qname, r.pos, r.tags["XD"].value) for r in sam.read_alignments(spark, [path]).orderBy("ordinal").collect()]
+        assert sam.header_text(path) == HEADER and set(got) == {("n1", 30, "AAAA_GGGG_4"), ("n2", 20, "CCCC_GGGG_4"), ("n4", 10, "_GGGG_4")}
+    inputs[1].write_text(HEADER.replace("LN:", "LN:7") + sam_lines(rows[1]))
+    with pytest.raises(ValueError, match="other reference sequences"):
+        sam.common_header([str(p) for p in inputs])
+
+
+def test_broken_records_are_skipped_and_said(spark, tmp_path, capsys):
+    path = tmp_path / "x.bam.sam"
+    good = "n\t0\tchr1\t1\t30\t4M\t*\t0\t0\tACGT\tIIII\tMD:Z:4\n"
+    path.write_text(HEADER + "@CO\tgrün\n" + good + "broken\tline\n" + good.replace("4M", "2M") .replace("ACGT\tIIII", "AC\tII"))
+    assert "grün" in sam.header_text(str(path))
+    assert cli.main(["samstats", "-f", str(path), "-t", '{"one": "chr1"}', "-l", f"{tmp_path}/hist", "-q", "10", "--lenient", "--stdoutFile", f"{tmp_path}/out"]) == 0
+    assert "1 broken records skipped" in capsys.readouterr().err
+    assert (tmp_path / "hist").read_text() == "Value \t Freq. \t Pct. \t Cum Pct. \n2\t1\t50%\t50%\n4\t1\t50%\t100%\n"
+    assert (tmp_path / "out").read_text() == "0\nx\tone\t2\tone-coverageLength\t6\n"
+
+
+def test_diagnostics_name_the_records(spark, tmp_path, capsys):
+    path, other = tmp_path / "x.sam", tmp_path / "y.sam"
+    line = lambda i, md="\tMD:Z:4": f"n{i}\t0\tchr1\t{i}\t30\t4M\t*\t0\t0\tACGT\tIIII{md}\n"
+    path.write_text(HEADER + line(1) + line(2, ""))
+    other.write_text(HEADER + line(1) + line(3))
+    assert cli.main(["alignmentcomparison", "-c", str(path), "-i", str(other)]) == 1
+    said = capsys.readouterr()
+    assert "Match: false" in said.out and "check\t" in said.err and '"n2"' in said.err and "input\t" in said.err and '"n3"' in said.err and '"n1"' not in said.err
+    assert cli.main(["softclip", "-i", str(path), "-o", f"{tmp_path}/z.sam", "-n", "1", "-x", "2", "-s", "Lib9"]) == 0
+    assert "1 records cannot be clipped, the first n2: no valid MD" in capsys.readouterr().err
+    assert cli.main(["readgrouprewrite", "-i", str(path), "-o", f"{tmp_path}/w.sam", "-s", "S"]) == 0
+    assert cli.main(["readgrouprewrite", "-i", f"{tmp_path}/w.sam", "-o", f"{tmp_path}/v.sam", "-s", "S"]) == 0
+    programs = [r.fields for r in sam.read_headers(spark, [f"{tmp_path}/v.sam"]).where("record_type = 'PG'").collect()]
+    assert [(f["ID"], f.get("PP")) for f in programs[-2:]] == [("strandloom.1", programs[-2].get("PP")), ("strandloom.2", "strandloom.1")]
+
+
 def test_running_counts(spark, tmp_path):
     rows = queries.QUERIES["c01_barcode_count"](spark, SF).select("key", "label").limit(20)
     rows.write.parquet(f"{tmp_path}/in")
