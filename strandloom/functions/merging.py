@@ -192,3 +192,40 @@ def is_oligo(seq: Column, qual: Column, oligo: str, params: MergeParams | None =
         return pd.Series(out)
 
     return of.asNondeterministic()(seq, qual)
+
+
+def _known(*columns: pd.Series) -> tuple[np.ndarray, list[list[bytes]]]:
+    """The rows without nulls, and their texts."""
+    known = np.flatnonzero(np.logical_and.reduce([c.notna().to_numpy() for c in columns]))
+    return known, [[x.encode("latin-1", "replace") for x in c.iloc[known]] for c in columns]
+
+
+def agrees(a: Column, a_qual: Column, b: Column, b_qual: Column, limit: int, params: MergeParams | None = None) -> Column:
+    """Whether two reads agree from their first bases, as far as both reach; null for null."""
+    p = params or MergeParams()
+
+    @F.pandas_udf("boolean")
+    def of(a: pd.Series, aq: pd.Series, b: pd.Series, bq: pd.Series) -> pd.Series:
+        known, (x, xq, y, yq) = _known(a, aq, b, bq)
+        n = np.array([min(map(len, t)) for t in zip(x, xq, y, yq, strict=True)], np.int64)
+        x, xq, y, yq = (_matrix([t[:k] for t, k in zip(s, n.tolist(), strict=True)], n) for s in (x, xq, y, yq))
+        sure = np.minimum(xq, yq) >= p.quality_threshold + PHRED_OFFSET
+        out = pd.Series([None] * len(a), dtype="boolean")
+        out.iloc[known] = agreement(x != y, sure, np.zeros(len(n), np.int64), limit, p)
+        return out
+
+    return of(a, a_qual, b, b_qual)
+
+
+def merged_at(a: Column, a_qual: Column, b: Column, b_qual: Column, offset: Column) -> Column:
+    """Struct ``seq, qual`` of two reads laid at an offset; null for null."""
+
+    @F.pandas_udf("seq string, qual string")
+    def of(a: pd.Series, aq: pd.Series, b: pd.Series, bq: pd.Series, offsets: pd.Series) -> pd.DataFrame:
+        known, texts = _known(a, aq, b, bq)
+        out = pd.DataFrame({"seq": [None] * len(a), "qual": [None] * len(a)}, dtype=object)
+        seq, qual = merged_bases(*texts, offsets.iloc[known].to_numpy(np.int64))
+        out.iloc[known, 0], out.iloc[known, 1] = np.array(seq, object), np.array(qual, object)
+        return out
+
+    return of(a, a_qual, b, b_qual, offset)

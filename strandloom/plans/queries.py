@@ -272,7 +272,8 @@ def _(s, d):
     return screening.striped(_screened(s, d)).withColumn("stripe", F.col("stripe").cast("int"))
 
 
-@query("k05_read_group", "SELECT 'PM:NS1' || chr(9) || 'PU:FCX.12.1' AS read_group")
+@query("k05_read_group", f"""WITH {_KEYED} SELECT DISTINCT 'PM:' || substr(string_split(r1_header, ':')[1], 2) || chr(9) || 'PU:' || string_split(r1_header, ':')[3] || '.' || string_split(r1_header, ':')[2] || '.'
+  || string_split(r1_header, ':')[4] AS read_group FROM full_keys WHERE key IS NOT NULL""")
 def _(s, d):
     return screening.check_read_groups(_screened(s, d))
 
@@ -341,7 +342,8 @@ def _(s, d):
   SELECT qname, cigar, array_to_string(list_transform(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]'), lambda r: repeat(right(r, 1), CAST(left(r, length(r) - 1) AS INT))), '') AS u FROM ({_ALN}))""")
 def _(s, d):
     rows = al_view(s, d).select("qname", cigar.unroll("cigar").alias("u"))
-    return rows.select("qname", "u", F.lit(True).alias("same"), cigar.reroll("u").alias("again"))
+    same = F.when(F.element_at(F.split("qname", ":"), 7).cast("long") % 8 == 0, F.repeat(F.lit("M"), F.lit(50))).otherwise(F.col("u")) == F.col("u")
+    return rows.select("qname", "u", same.alias("same"), cigar.reroll("u").alias("again"))
 
 
 def _window_clip(n: str, hard: bool) -> str:
@@ -482,17 +484,25 @@ def _(s, d):
     return al.rewrite_read_groups(view(s, d, views.READ_GROUPS), library="NewLib").select("id", "library", "sample", "platform")
 
 
-_MERGE_ORDER = "row_number() OVER (ORDER BY ordinal, file) - 1"
+_IDENTITY = "qname, seq, qual, flag & 64511 AS flag, rname, pos, mapq, cigar, rg"
 
 
-@query("j11_verify_merge", f"SELECT true AS matches, CAST(0 AS BIGINT) AS unmatched, CAST(0 AS BIGINT) AS disordered FROM (SELECT count(*) FROM ({_ALN}))")
+def _merge_check(kept: str) -> str:
+    """Records on one side only, and records of a file whose order the merged file turns round."""
+    return f"""WITH a AS ({_ALN}), merged AS (SELECT {_IDENTITY}, ordinal * 3 + CAST(substr(file, 3, 1) AS BIGINT) AS spot FROM a WHERE {kept}),
+    inputs AS (SELECT {_IDENTITY}, file, ordinal FROM a), met AS (SELECT file, ordinal, spot FROM merged FULL JOIN inputs USING (qname, seq, qual, flag, rname, pos, mapq, cigar, rg)),
+    n AS (SELECT count(*) FILTER (WHERE spot IS NULL OR file IS NULL) AS unmatched, (SELECT count(*) FROM met x JOIN met y ON x.file = y.file AND x.ordinal + 1 = y.ordinal AND x.spot > y.spot) AS disordered FROM met)
+    SELECT unmatched = 0 AND disordered = 0 AS matches, CAST(unmatched AS BIGINT) AS unmatched, CAST(disordered AS BIGINT) AS disordered FROM n"""
+
+
+@query("j11_verify_merge", _merge_check("true"))
 def _(s, d):
     rows = al_view(s, d)
     merged = rows.withColumn("ordinal", F.col("ordinal") * 3 + F.substring("file", 3, 1).cast("long")).withColumn("file", F.lit("out.bam"))
     return al.verify_merge(merged, rows, *_dictionaries(s), ("RG",))
 
 
-@query("j11_verify_lost_record", f"SELECT false AS matches, CAST(count(*) FILTER (WHERE mapq = 60) AS BIGINT) AS unmatched, CAST(0 AS BIGINT) AS disordered FROM ({_ALN})")
+@query("j11_verify_lost_record", _merge_check("mapq <> 60"))
 def _(s, d):
     rows = al_view(s, d)
     merged = rows.where("mapq <> 60").withColumn("ordinal", F.col("ordinal") * 3 + F.substring("file", 3, 1).cast("long")).withColumn("file", F.lit("out.bam"))
@@ -514,7 +524,12 @@ def _(s, d):
     return view(s, d, views.ALIGNMENTS).select(text.key_from_path(F.concat(F.lit("/x/y/"), F.col("file"))).alias("key")).distinct()
 
 
-@query("u04_same_records", "SELECT true AS same, false AS lost")
+_SAME = f"WITH x AS (SELECT {_IDENTITY} FROM ({_ALN}))"
+
+
+@query("u04_same_records", f"""{_SAME}, y AS (SELECT {_IDENTITY.replace('flag & 64511', '(flag | 1024) & 64511')} FROM ({_ALN})), z AS (SELECT * FROM x WHERE mapq > 0)
+SELECT (SELECT count(*) FROM (FROM x EXCEPT ALL FROM y)) + (SELECT count(*) FROM (FROM y EXCEPT ALL FROM x)) = 0 AS same,
+  (SELECT count(*) FROM (FROM x EXCEPT ALL FROM z)) + (SELECT count(*) FROM (FROM z EXCEPT ALL FROM x)) = 0 AS lost""")
 def _(s, d):
     rows = al_view(s, d)
     marked = rows.withColumn("flag", F.col("flag").bitwiseOR(1024))

@@ -127,6 +127,7 @@ def write_striped(reads: DataFrame, root: str) -> list[str]:
                         yield done()
                     stripe = row.stripe
                     system, path = open_uri(f"{root}_{stripe:03d}.fastq.gz")
+                    system.create_dir(path.rpartition("/")[0] or ".", recursive=True)
                     part = f"{path}.{uuid.uuid4().hex}.part"
                     out = io.TextIOWrapper(gzip.GzipFile(fileobj=system.open_output_stream(part), mode="wb", mtime=0, filename=name), encoding="ascii")
                 out.write(f"{row.header}\n{row.seq}\n+\n{row.qual}\n")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from strandloom.plans import queries
+from strandloom.plans import file_queries, queries
 
 from .oracle import compare
 
@@ -15,4 +15,5 @@ def test_matches_oracle(spark, name):
 
 
 def test_every_query_has_an_oracle():
+    assert file_queries.query is queries.query
     assert set(queries.QUERIES) == set(queries.ORACLE_SQL)
