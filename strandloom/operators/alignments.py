@@ -10,6 +10,7 @@ from ..functions.cigar import clip_both_ends, is_non_empty, sure_stretches
 from ..functions.dna import is_dna
 from ..functions.keys import flatten_key, parse_key
 from .counts import combine, count_labels
+from .sizes import sized
 
 UNMAPPED, DUPLICATE = 0x4, 0x400
 
@@ -41,7 +42,7 @@ def demultiplex(records: DataFrame, barcodes: DataFrame) -> DataFrame:
     full = F.get(F.split("qname", ";"), F.lit(1))
     parts = parse_key(full)
     out = records.withColumns({"__key": full, "__p5": parts["p5"], "__p7": parts["p7"], "error": F.when(parts.isNull(), F.lit("no key in the read name"))})
-    known = F.broadcast(barcodes.select(F.col("augmented_label").alias("__l"), F.col("barcode").alias("__b")))
+    known = sized(barcodes.select(F.col("augmented_label").alias("__l"), F.col("barcode").alias("__b")))
     for side in ("5", "7"):
         side_known = known.select(F.col("__l").alias(f"__l{side}"), F.col("__b").alias(f"__b{side}"))
         out = out.join(side_known, F.col(f"__p{side}") == F.col(f"__l{side}"), "left")
@@ -64,7 +65,7 @@ def demultiplex_counts(split: DataFrame, before: DataFrame | None = None) -> Dat
 
 def selected_records(split: DataFrame, keys: DataFrame) -> DataFrame:
     """The records of the chosen keys, with ``file_name``: the key, ``:`` as ``-``."""
-    chosen = split.where("error IS NULL").join(F.broadcast(keys.select("key").distinct()), "key", "left_semi")
+    chosen = split.where("error IS NULL").join(sized(keys.select("key").distinct()), "key", "left_semi")
     return chosen.withColumn("file_name", F.replace(F.col("key"), F.lit(":"), F.lit("-")))
 
 
@@ -72,7 +73,7 @@ def selected_records(split: DataFrame, keys: DataFrame) -> DataFrame:
 
 def clip_length(records: DataFrame, read_groups: DataFrame, default: int, libraries1=(), n1: int = 0, libraries2=(), n2: int = 0) -> DataFrame:
     """``records`` with ``clip_n`` by the library of their read group; the second list overrides."""
-    library = F.broadcast(read_groups.select(F.col("id").alias("__rg"), F.col("library").alias("__lb")))
+    library = sized(read_groups.select(F.col("id").alias("__rg"), F.col("library").alias("__lb")))
     out = records.join(library, tag("RG") == F.col("__rg"), "left")
     n = F.when(F.col("__lb").isin(*libraries2), n2).when(F.col("__lb").isin(*libraries1), n1).otherwise(default)
     return out.withColumn("clip_n", n).drop("__rg", "__lb")
@@ -81,7 +82,7 @@ def clip_length(records: DataFrame, read_groups: DataFrame, default: int, librar
 def clip(records: DataFrame, n: Column, sequences: DataFrame, hard: bool = False) -> DataFrame:
     """Clipped records that keep a match within their sequence; those that can't be clipped go."""
     clipped = clip_both_ends(records, n, hard).where("clip_error IS NULL").drop("clip_error")
-    sizes = F.broadcast(sequences.select(F.col("name").alias("__sq"), F.col("length").alias("__sq_length")))
+    sizes = sized(sequences.select(F.col("name").alias("__sq"), F.col("length").alias("__sq_length")))
     return clipped.join(sizes, F.col("rname") == F.col("__sq")).where(is_non_empty("cigar", "pos", "__sq_length")).drop("__sq", "__sq_length")
 
 
@@ -194,7 +195,7 @@ def target_classes(spark: SparkSession, json: str) -> DataFrame:
 def class_counts(records: DataFrame, classes: DataFrame, key: str, min_mapq: int = 0) -> DataFrame:
     """Counters of each class: reads, and ``class-coverageLength``, the bases they have."""
     good = records.where(is_mapped() & (F.col("mapq") >= min_mapq)).select("rname", F.char_length("seq").alias("n"))
-    each = good.join(F.broadcast(classes), F.col("rname") == F.col("reference")).groupBy("class").agg(F.count(F.lit(1)).alias("reads"), F.sum("n").cast("long").alias("bases"))
+    each = good.join(sized(classes), F.col("rname") == F.col("reference")).groupBy("class").agg(F.count(F.lit(1)).alias("reads"), F.sum("n").cast("long").alias("bases"))
     rows = each.select(F.explode(F.array(F.struct(F.col("class").alias("label"), F.col("reads").alias("n")), F.struct(F.concat(F.col("class"), F.lit("-coverageLength")).alias("label"), F.col("bases").alias("n")))).alias("x"))
     order = Window.partitionBy("key").orderBy("label")
     return rows.select(F.lit(key).alias("key"), "x.label", "x.n").withColumn("label_ordinal", F.row_number().over(order))
@@ -220,12 +221,23 @@ def duplicate_depths(records: DataFrame) -> DataFrame:
     return span.join(counted, "depth", "left").select("depth", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def sorted_duplicate_depths(records: DataFrame) -> DataFrame:
-    """The same where only adjacent equal places (by ``ordinal``) form a group, as in a sorted file."""
-    lane = Window.partitionBy("file").orderBy("ordinal")
-    new = F.when((F.lag("rname").over(lane) == F.col("rname")) & (F.lag("pos").over(lane) == F.col("pos")), 0).otherwise(1)
-    runs = records.where(is_mapped()).withColumn("__new", new).withColumn("__run", F.sum("__new").over(lane))
-    groups = runs.groupBy("file", "__run", F.coalesce(tag("XD"), F.lit("null")).alias("xd")).agg(F.count(F.lit(1)).alias("depth"))
+def sorted_duplicate_depths(records: DataFrame, stretch: int = 1 << 20) -> DataFrame:
+    """The same where only adjacent equal places (by ``ordinal``) form a group, as in a sorted file.
+
+    Runs are numbered inside stretches of so many ordinals; a stretch's first run goes on
+    that of the one before if the places are equal, so no task sorts a file.
+    """
+    own = records.where(is_mapped()).withColumn("__at", F.floor(F.col("ordinal") / stretch))
+    inside = Window.partitionBy("file", "__at").orderBy("ordinal")
+    same = F.lag("rname").over(inside).eqNullSafe(F.col("rname")) & F.lag("pos").over(inside).eqNullSafe(F.col("pos")) & (F.row_number().over(inside) > 1)
+    runs = own.withColumn("__new", F.when(same, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(inside))
+    place = F.struct("rname", "pos")
+    ends = runs.groupBy("file", "__at").agg(F.max("__run").alias("runs"), F.min_by(place, "ordinal").alias("first"), F.max_by(place, "ordinal").alias("last"))
+    order = Window.partitionBy("file").orderBy("__at")  # a row a stretch
+    ends = ends.withColumn("on", F.coalesce(F.lag("last").over(order) == F.col("first"), F.lit(False)).cast("long"))
+    upto = F.sum(F.col("runs") - F.col("on")).over(order) - F.col("runs")
+    runs = runs.join(sized(ends.select("file", "__at", upto.alias("__before"))), ["file", "__at"])
+    groups = runs.groupBy("file", F.col("__before") + F.col("__run"), F.coalesce(tag("XD"), F.lit("null")).alias("xd")).agg(F.count(F.lit(1)).alias("depth"))
     return groups.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 

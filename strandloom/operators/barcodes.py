@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dna import hamming, is_dna
 from ..functions.keys import key_text
-
-#: Sides of at most this many rows are broadcast; their size is counted first.
-BROADCAST_ROWS = 2_000_000
+from .sizes import localized, sized
 
 
 def require(df: DataFrame, ok: Column, message: str) -> DataFrame:
@@ -45,12 +43,6 @@ def reference_set(lines: DataFrame, text_col: str = "value") -> DataFrame:
     return localized(out)
 
 
-def localized(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """A dimension table as rows of the plan itself, if counted to be small; else ``df``."""
-    held = df.limit(rows + 1).collect()
-    return df.sparkSession.createDataFrame(held, df.schema) if len(held) <= rows else df
-
-
 def hamming_ball(reference: DataFrame, max_distance: int = 1, alphabet: str = "ACGTN") -> DataFrame:
     """``query, label``: every text within the distance, with its nearest augmented label.
 
@@ -76,12 +68,6 @@ def hamming_ball(reference: DataFrame, max_distance: int = 1, alphabet: str = "A
     )
 
 
-def _sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A join side with a broadcast hint if it is counted to be small."""
-    held = localized(df)
-    return F.broadcast(held) if held is not df or df.limit(rows + 1).count() <= rows else df
-
-
 def nearest_label(reads: DataFrame, query: Column, reference: DataFrame, name: str, max_distance: int = 1) -> DataFrame:
     """``reads`` with the augmented label in ``name`` of the nearest barcode, or null.
 
@@ -89,7 +75,7 @@ def nearest_label(reads: DataFrame, query: Column, reference: DataFrame, name: s
     Queries are upper-case ``ACGTN``; others find nothing, like too distant ones.
     """
     ball = hamming_ball(reference, max_distance).select(F.col("query").alias("__query"), F.col("label").alias(name))
-    return reads.join(_sized(ball), query == F.col("__query"), "left").drop("__query")
+    return reads.join(sized(ball), query == F.col("__query"), "left").drop("__query")
 
 
 def nearest_label_by_search(reads: DataFrame, query: str, reference: DataFrame, name: str, max_distance: int = 1) -> DataFrame:
@@ -100,7 +86,7 @@ def nearest_label_by_search(reads: DataFrame, query: str, reference: DataFrame,
     """
     ref = reference.select("augmented_label", "barcode", "length")
     queries = reads.select(F.col(query).alias("__query")).distinct()
-    near = queries.join(_sized(ref), F.char_length("__query") == F.col("length"))
+    near = queries.join(sized(ref), F.char_length("__query") == F.col("length"))
     near = near.withColumn("__d", hamming("__query", "barcode")).where(F.col("__d") <= max_distance)
     best = near.groupBy("__query").agg(F.min(F.struct("__d", F.col("augmented_label").alias("label"))).alias("__best"))
     return reads.join(best, F.col(query).eqNullSafe(F.col("__query")), "left").withColumn(name, F.col("__best.label")).drop("__query", "__best")
@@ -114,7 +100,7 @@ def lengths_descending(reference: DataFrame) -> list[int]:
 def label_length(labels: DataFrame, label: str, reference: DataFrame, name: str) -> DataFrame:
     """Barcode length of a (flattened) label; 0 for an unknown one."""
     known = reference.where("ordinal = 1").select(F.col("label").alias("__label"), F.col("length").alias("__length"))
-    return labels.join(F.broadcast(known), F.substring_index(F.col(label), ".", 1) == F.col("__label"), "left").withColumn(
+    return labels.join(sized(known), F.substring_index(F.col(label), ".", 1) == F.col("__label"), "left").withColumn(
         name, F.coalesce("__length", F.lit(0))
     ).drop("__label", "__length")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import WITHOUT_BARCODES, flatten_key, index_only, parse_key
+from .sizes import sized
 
 
 def count_labels(rows: DataFrame, key: str = "key", label: str = "label", ordinal: Column | None = None) -> DataFrame:
@@ -56,7 +57,7 @@ def barcode_lengths_from_counts(counter: DataFrame, lengths: DataFrame, threshol
     last = counter.groupBy("key", "n").agg(F.max_by("label", "label_ordinal").alias("label"))
     sides = last.select("key", "n", "label", F.split("label", "_").alias("sides"))
     for side in (0, 1):
-        known = F.broadcast(lengths.select(F.col("label").alias(f"__l{side}"), F.col("length").alias(f"__n{side}")))
+        known = sized(lengths.select(F.col("label").alias(f"__l{side}"), F.col("length").alias(f"__n{side}")))
         sides = sides.join(known, F.get("sides", F.lit(side)) == F.col(f"__l{side}"), "left")
     pair = F.coalesce("__n0", F.lit(0))
     same = F.when(pair == F.coalesce("__n1", F.lit(0)), pair).otherwise(F.raise_error(F.lit("barcodes of a pair differ in length")).cast("int"))

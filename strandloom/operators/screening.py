@@ -8,8 +8,10 @@ from ..functions.dna import let
 from ..functions.headers import header_text, parse_header, read_group, same_but_read
 from ..functions.keys import flatten_key, index_only, parse_key
 from ..functions.merging import MergeParams, is_oligo, merge_pairs
+from ..sources.places import written
 from .barcodes import experiment_keys, label_length
 from .counts import count_labels
+from .sizes import sized
 
 
 def check_headers(pairs: DataFrame) -> DataFrame:
@@ -36,9 +38,9 @@ def decide_lengths(keyed: DataFrame, sheet: DataFrame | None, prior: DataFrame |
     if prior is None:
         return keyed.withColumn("length", F.lit(-1))
     known = prior.select("key", F.col("length").alias("__prior"))
-    out = keyed.join(F.broadcast(known), "key", "left")
+    out = keyed.join(sized(known), "key", "left")
     if sheet is not None:
-        out = out.join(F.broadcast(sheet.select("key", F.col("length").alias("__sheet"))), "key", "left")
+        out = out.join(sized(sheet.select("key", F.col("length").alias("__sheet"))), "key", "left")
     else:
         out = out.withColumn("__sheet", F.lit(None).cast("int"))
     return out.withColumn("length", F.coalesce("__sheet", "__prior", F.lit(-1))).drop("__sheet", "__prior")
@@ -96,13 +98,23 @@ def check_read_groups(screened: DataFrame) -> DataFrame:
     return found.select(F.when(F.coalesce(F.col("a") == F.col("b"), F.lit(True)), F.coalesce("read_group", F.lit("null"))).otherwise(F.raise_error(F.lit("several read groups")).cast("string")).alias("read_group"))
 
 
-def striped(screened: DataFrame, stripes: int = 25) -> DataFrame:
-    """Written reads ``stripe, lane_id, ordinal, header, seq, qual``, dealt out in turn in each lane."""
-    kept = screened.where(F.col("merged_seq").isNotNull() & ~F.col("h1.filtered"))
-    turn = (F.row_number().over(Window.partitionBy("lane_id").orderBy("ordinal")) - 1) % stripes
-    return kept.select(
-        (turn + 1).alias("stripe"), "lane_id", "ordinal", header_text(F.col("h1"), F.col("full_key")).alias("header"), F.col("merged_seq").alias("seq"), F.col("merged_qual").alias("qual")
+def striped(screened: DataFrame, stripes: int = 25, stretch: int = 1 << 20) -> DataFrame:
+    """Written reads ``stripe, lane_id, ordinal, header, seq, qual``, dealt out in turn in each lane.
+
+    A read's turn is its place among the written ones of its lane. Places are counted by
+    stretches of so many ordinals first, so no task sorts a lane; the reads are written
+    once in between, so that none is merged twice.
+    """
+    kept = screened.where(F.col("merged_seq").isNotNull() & ~F.col("h1.filtered")).select(
+        "lane_id", "ordinal", header_text(F.col("h1"), F.col("full_key")).alias("header"), F.col("merged_seq").alias("seq"), F.col("merged_qual").alias("qual")
+    )
+    kept = written(kept, "striped").withColumn("__stretch", F.floor(F.col("ordinal") / stretch))
+    upto = Window.partitionBy("lane_id").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = kept.groupBy("lane_id", "__stretch").agg(F.count(F.lit(1)).alias("n")).select(
+        "lane_id", "__stretch", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__before")
     )
+    place = F.row_number().over(Window.partitionBy("lane_id", "__stretch").orderBy("ordinal")) - 1 + F.col("__before")
+    return kept.join(sized(before), ["lane_id", "__stretch"]).select((place % stripes + 1).alias("stripe"), "lane_id", "ordinal", "header", "seq", "qual")
 
 
 def total(rows: DataFrame) -> DataFrame:

@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import merging
 from ..functions.keys import parse_key
 from ..operators import alignments as al, barcodes as bc, counts, screening
 from ..sources import fastq, sam, text
+from ..sources.places import new_folder
 from . import views
 from .queries import _ALN, _COUNTS, _FLAT, _KEYED, _MERGED, RC, READS, _counter, _dictionaries, _oligo_hit, _reference, _screened, _sets, al_view, query
 from .views import duck, view
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can write."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    root = root or "/tmp/strandloom-files"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # Sources and sinks
 
 _PAIRS = duck(views.PAIRS)
@@ -31,7 +21,7 @@ _PAIRS = duck(views.PAIRS)
 
 def _fastq_pairs(s: SparkSession, d: str) -> DataFrame:
     """The pairs written as four gzip files a lane and read back; lane L3 lacks the later half of its second reads."""
-    pairs, root = view(s, d, views.PAIRS), _folder(s, "fastq")
+    pairs, root = view(s, d, views.PAIRS), new_folder(s, "fastq")
     half = pairs.agg(F.max("ordinal") / 2).first()[0] or 0
     for read in ("r1", "r2", "i1", "i2"):
         own = pairs if read != "r2" else pairs.where((F.col("lane_id") != "L3") | (F.col("ordinal") <= half))
@@ -59,7 +49,7 @@ _SORTED = f"""SELECT row_number() OVER (ORDER BY CAST(substr(rname, 4) AS INT),
 
 
 def _written(s: SparkSession, d: str, kind: str) -> DataFrame:
-    path = sam.write_alignments(al_view(s, d), _HEADER, f"{_folder(s, kind)}.{kind}")
+    path = sam.write_alignments(al_view(s, d), _HEADER, f"{new_folder(s, kind)}.{kind}")
     return sam.read_alignments(s, [path]).select("ordinal", "qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual", al.tag("MD").alias("md"), al.tag("XD").alias("xd"))
 
 
@@ -77,13 +67,13 @@ def _(s, d):
 def _(s, d):
     rows = al_view(s, d)
     lengths = rows.groupBy("rname").agg((F.max("pos") + 100).alias("n")).orderBy("rname").collect()  # a row a reference sequence
-    path = sam.write_alignments(rows.limit(0), "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{r.rname}\tLN:{r.n}\n" for r in lengths), f"{_folder(s, 'header')}.bam")
+    path = sam.write_alignments(rows.limit(0), "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{r.rname}\tLN:{r.n}\n" for r in lengths), f"{new_folder(s, 'header')}.bam")
     return sam.sequences(sam.read_headers(s, [path])).select("name", "length", F.col("ordinal").cast("long").alias("place"))
 
 
 def _lines_file(df: DataFrame, name: str) -> str:
     """One text file of a view's lines in order."""
-    s, folder = df.sparkSession, _folder(df.sparkSession, name)
+    s, folder = df.sparkSession, new_folder(df.sparkSession, name)
     df.orderBy("at").select("value").coalesce(1).write.text(folder)
     return s.read.text(folder).select(F.input_file_name()).first()[0].replace("%20", " ")
 
@@ -144,7 +134,7 @@ def _(s, d):
 def _(s, d):
     named = al_view(s, d).withColumn("qname", F.concat_ws(";", "qname", "full_key"))
     split = al.demultiplex(named, _sets(s, d)[2])
-    paths = sam.write_by_key(al.selected_records(split, split.select("key")), _HEADER, _folder(s, "keys"), bam=True)
+    paths = sam.write_by_key(al.selected_records(split, split.select("key")), _HEADER, new_folder(s, "keys"), bam=True)
     got = sam.read_alignments(s, paths)
     return got.groupBy(text.key_from_path("file").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"), F.countDistinct(al.tag("XD")).alias("marks"))
 
@@ -253,7 +243,7 @@ g AS (SELECT *, sum(fresh) OVER (PARTITION BY file ORDER BY ordinal) AS run FROM
 SELECT depth, count(*) AS n FROM sizes GROUP BY depth""")
 def _(s, d):
     rows = al_view(s, d).withColumns({"rname": F.expr("'chr' || CAST(1 + CAST(floor(ordinal / 4E1) AS BIGINT) % 3 AS STRING)"), "pos": F.expr("CAST(floor(ordinal / 4E0) AS BIGINT) % 7")})
-    return al.sorted_duplicate_depths(rows)
+    return al.sorted_duplicate_depths(rows, 50)
 
 
 @query("f10_tag_equality", f"""SELECT t.n = 0 AS same, t.n AS unmatched, CAST(0 AS BIGINT) AS disordered FROM (

@@ -269,7 +269,7 @@ def _(s, d):
 SELECT CAST((row_number() OVER (PARTITION BY lane_id ORDER BY k) - 1) % 25 + 1 AS INT) AS stripe, lane_id, k AS ordinal,
   string_split(r1_header, ' ')[1] || ';' || full_key || ' ' || string_split(r1_header, ' ')[2] AS header, merged_seq AS seq, merged_qual AS qual FROM w""")
 def _(s, d):
-    return screening.striped(_screened(s, d)).withColumn("stripe", F.col("stripe").cast("int"))
+    return screening.striped(_screened(s, d), stretch=1000).withColumn("stripe", F.col("stripe").cast("int"))
 
 
 @query("k05_read_group", f"""WITH {_KEYED} SELECT DISTINCT 'PM:' || substr(string_split(r1_header, ':')[1], 2) || chr(9) || 'PU:' || string_split(r1_header, ':')[3] || '.' || string_split(r1_header, ':')[2] || '.'

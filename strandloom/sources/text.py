@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.keys import index_only, parse_key
 from ..operators.barcodes import reference_set
+from ..operators.sizes import sized
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -49,7 +50,7 @@ def parse_sample_sheet(lines: DataFrame, lengths: DataFrame) -> DataFrame:
     parts = parse_key(F.get(F.split("value", "\t"), F.lit(0)))
     one = lambda c: F.coalesce(F.char_length(F.substring_index(F.col("k")[c], ":", 1)), F.lit(0))
     rows = rows.select(parts.alias("k"), F.get(F.split("value", "\t"), F.lit(0)).alias("whole")).select(index_only("whole").alias("key"), one("p5").alias("a"), one("p7").alias("b"))
-    known = F.broadcast(lengths.select(F.col("length").alias("__length")).distinct())
+    known = sized(lengths.select(F.col("length").alias("__length")).distinct())
     rows = rows.join(known, F.col("a") == F.col("__length"), "left")
     found = rows.groupBy("key").agg(F.min("a").alias("length"), F.max("a").alias("high"), F.max((F.col("a") != F.col("b")).cast("int")).alias("uneven"), F.max(((F.col("a") > 0) & F.col("__length").isNull()).cast("int")).alias("unknown"))
     ok = (F.col("length") == F.col("high")) & (F.col("uneven") == 0) & (F.col("unknown") == 0)
