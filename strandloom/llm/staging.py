@@ -24,8 +24,27 @@ def shared_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/strandloom-{spark.sparkContext.applicationId}"
 
 
+#: Paths given out by this driver, in order.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def mark() -> int:
+    """A point in time for ``release_since``."""
+    return len(_made)
+
+
+def release_since(spark: SparkSession, point: int, keep: DataFrame) -> None:
+    """Delete what was staged since, but for one table, for which all the rest was made."""
+    fs, _ = _folder(spark, shared_root(spark))
+    for path in _made[point:]:
+        if path != keep._staged_at:
+            fs.delete(_folder(spark, path)[1], True)
+    _made[point:] = [keep._staged_at]
 
 
 def open_folder(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
