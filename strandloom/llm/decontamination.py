@@ -130,7 +130,8 @@ def find_contamination(
     texts = base.withColumn("text_key", key).join(hit_texts, F.xxhash64("text_key") == F.col("__hit"), "left_semi")
     texts = texts.groupBy("text_key").agg(F.min("text").alias("text"))
     with_items = laid.join(items.withColumn("item_key", F.xxhash64("item")), ["item_id", "item_key"])
-    # A text and its candidate items meet in one row; both are bounded by the text itself.
+    # A text and its candidate items meet in one row: distinct shifts only, at most as many
+    # for an item as the two have words together; an item that shares no print isn't there.
     per_text = with_items.groupBy("text_key").agg(F.collect_list(F.struct("item_id", "item", "shift")).alias("laid"))
     tokens = texts.join(per_text, "text_key").select("text_key", words(F.col("text")).alias("tokens"), "laid")
     aligned = F.transform(

@@ -242,7 +242,8 @@ def near_duplicates(
     """One row a document: ``doc_id, text_key, fp, component_id, keeper``.
 
     ``component_id`` is the smallest id among all documents reachable by links of
-    ``radius`` or fewer bits. Wordless texts (null, empty) share fingerprint zero
+    ``radius`` or fewer bits. Ids are whole numbers, as any type that casts to long; others
+    raise. Wordless texts (null, empty) share fingerprint zero
     and link like others. Null ids are kept as rows but never name a component (a
     component of null ids only has a null id). Repeated rows give repeated rows.
     ``keeper`` marks the rows whose id and text are the least of the component.
