@@ -50,8 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the tables between them are staged as Parquet."""
+    """All stages over ``documents``; the tables between them are staged as Parquet.
+
+    What a stage staged for itself goes when its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    point = staging.mark()
     for name, step in STAGES[:-1]:
         docs = staging.stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        staging.release_since(spark, point, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
