@@ -39,12 +39,15 @@ def same_counts(a: DataFrame, b: DataFrame) -> bool:
 def barcode_pair_counts(keyed: DataFrame) -> DataFrame:
     """First pass: of each index pair the counts of its barcode pairs.
 
-    Labels are ``p5_p7`` or ``without_barcodes``; pairs without a key count in the total only.
+    Labels are ``p5_p7`` or ``without_barcodes``, in the order in which pairs with a
+    ``lane_id`` and ``ordinal`` show them; pairs without a key count in the total only.
     """
+    seen = F.struct("lane_id", "ordinal") if {"lane_id", "ordinal"} <= set(keyed.columns) else F.lit(None).cast("long")
     flat = flatten_key("key")
     parts = parse_key(flat)
     label = F.when(parts["p5"].isNotNull() & parts["p7"].isNotNull(), F.concat_ws("_", parts["p5"], parts["p7"])).otherwise(WITHOUT_BARCODES)
-    return count_labels(keyed.where(F.col("key").isNotNull()).select(index_only(flat).alias("key"), label.alias("label")))
+    rows = keyed.where(F.col("key").isNotNull()).select(index_only(flat).alias("key"), label.alias("label"), seen.alias("seen"))
+    return count_labels(rows, ordinal=F.col("seen"))
 
 
 def barcode_lengths_from_counts(counter: DataFrame, lengths: DataFrame, threshold: float = 0.05) -> DataFrame:

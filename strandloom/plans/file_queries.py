@@ -282,3 +282,19 @@ def _(s, d):
     top = counts.select_samples(counter, order, "click", 20, 2).select("key")
     lines = s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("u"), (F.col("p_partkey") % 7).cast("string"), F.lit("_v__\tx")).alias("value"))
     return top.union(text.parse_keys(lines)).distinct()
+
+
+@query("w03_pair_label_order", f"""WITH {_KEYED} SELECT key, label, CAST(row_number() OVER (PARTITION BY key ORDER BY lane_id, seen) AS INT) AS label_ordinal, n FROM (
+  SELECT key, label, n, lane_id, ordinal AS seen FROM (
+    SELECT *, count(*) OVER (PARTITION BY key, label) AS n, row_number() OVER (PARTITION BY key, label ORDER BY lane_id, ordinal) AS turn FROM (
+      SELECT i5 || '_' || i7 || '__' AS key, CASE WHEN p5 IS NULL THEN 'without_barcodes' ELSE {_FLAT.format('p5')} || '_' || {_FLAT.format('p7')} END AS label, lane_id, ordinal FROM full_keys WHERE key IS NOT NULL))
+  WHERE turn = 1)""")
+def _(s, d):
+    return counts.barcode_pair_counts(bc.experiment_keys(view(s, d, views.PAIRS), *_sets(s, d))).select("key", "label", "label_ordinal", "n")
+
+
+@query("p32_file_names", f"SELECT file, ordinal, replace('a:' || rname || ':' || xd, ':', '-') AS file_name FROM ({_ALN}) WHERE CAST(substr(rname, 4) AS INT) > 12 AND xd IS NOT NULL")
+def _(s, d):
+    split = al_view(s, d).withColumns({"key": F.concat(F.lit("a:"), "rname", F.lit(":"), al.tag("XD")), "error": F.lit(None).cast("string")})
+    keys = split.where(F.substring("rname", 4, 2).cast("int") > 12).select("key").where("key IS NOT NULL")
+    return al.selected_records(split, keys).select("file", "ordinal", "file_name")

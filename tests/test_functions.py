@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import cigar, dna, headers, keys, merging
 from strandloom.functions.merging import MergeParams, merge_pairs
-from strandloom.operators import alignments as al, barcodes as bc, counts
+from strandloom.operators import alignments as al, barcodes as bc, counts, screening
 from strandloom.sources import text
 
 from . import merge_columns
@@ -147,6 +147,15 @@ def test_targets_of_any_length(spark):
     assert 0 < len(wanted) < 300 and al.filter_to_targets(records, bed.limit(0), 20, 25).isEmpty()
 
 
+def test_several_read_groups_raise(spark):
+    rows = [("L", 0, "a", "g1"), ("L", 1, None, "g2"), ("L", 2, "b", "g1")]
+    screened = spark.createDataFrame(rows, "lane_id string, ordinal long, key string, read_group string")
+    assert screening.check_read_groups(screened).first().read_group == "g1"
+    assert screening.check_read_groups(screened.limit(0)).first().read_group == "null"
+    with pytest.raises(Exception, match="several read groups"):
+        screening.check_read_groups(screened.withColumn("key", F.lit("a"))).collect()
+
+
 def test_reference_sets_are_checked(spark):
     good = bc.reference_set(lines(spark, ["acgt:TTTT Q1 9", "", "GGGG  Q2"])).collect()
     assert {(r.augmented_label, r.barcode) for r in good} == {("Q1.1", "ACGT"), ("Q1.2", "TTTT"), ("Q2", "GGGG")}
