@@ -11,7 +11,10 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
+from pyarrow import RecordBatch, array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -21,6 +24,15 @@ SCHEMA = (
     "file string, ordinal bigint, qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, "
     "seq string, qual string, tags map<string, struct<type: string, value: string>>, corrupt string"
 )
+_NUMBERS = ("flag", "pos", "mapq", "pnext", "tlen")
+_TAG = pa.struct([("type", pa.string()), ("value", pa.string())])
+_ARROW = pa.schema(
+    [
+        (n, pa.int64() if n == "ordinal" else pa.int32() if n in _NUMBERS else pa.map_(pa.string(), _TAG) if n == "tags" else pa.string())
+        for n in "file ordinal qname flag rname pos mapq cigar rnext pnext tlen seq qual tags corrupt".split()
+    ]
+)
+_BATCH = 4096
 HEADER_SCHEMA = "file string, line_no int, record_type string, fields map<string, string>"
 # Fixed values of the BAM format.
 _BASES = "=ACMGRSVTWYHKDBN"
@@ -141,7 +153,11 @@ def _sam_record(line: str) -> tuple:
     for t in f[11:]:
         name, kind, value = t.split(":", 2)
         tags[name] = (kind, value)
-    return f[0], int(f[1]), f[2], int(f[3]), int(f[4]), f[5], f[6], int(f[7]), int(f[8]), f[9], f[10], tags
+    numbers = [int(f[i]) for i in (1, 3, 4, 7, 8)]
+    if any(not -(1 << 31) <= n < 1 << 31 for n in numbers):
+        raise ValueError("a number is out of range")
+    flag, pos, mapq, pnext, tlen = numbers
+    return f[0], flag, f[2], pos, mapq, f[5], f[6], pnext, tlen, f[9], f[10], tags
 
 
 class _Part(InputPartition):
@@ -159,14 +175,21 @@ class AlignmentReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_Part(p) for p in self.paths]
 
-    def read(self, part: _Part) -> Iterator[tuple]:
+    def read(self, part: _Part) -> Iterator[RecordBatch]:
+        rows = self._rows(part)
+        while chunk := list(islice(rows, _BATCH)):
+            columns = [array(list(c), type=f.type) for c, f in zip(zip(*chunk, strict=True), _ARROW, strict=True)]
+            yield RecordBatch.from_arrays(columns, schema=_ARROW)
+
+    def _rows(self, part: _Part) -> Iterator[tuple]:
         system, path = open_uri(part.path)
         with system.open_input_stream(path, compression=None) as f:
             magic = f.read(2)
         at = 0
         for raw, parse in self._raw(system, path, magic == b"\x1f\x8b"):
             try:
-                row = parse(raw)
+                *row, tags = parse(raw)
+                row = (*row, [(name, {"type": kind, "value": value}) for name, (kind, value) in tags.items()])
             except (ValueError, IndexError, KeyError, struct.error) as e:
                 if self.mode == "FAILFAST":
                     raise ValueError(f"broken record {at} in {part.path}: {e}") from e
