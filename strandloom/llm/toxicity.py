@@ -29,7 +29,7 @@ _PAIR = np.uint64(0x9E3779B97F4A7C15)
 #: Stands before the first word of a text.
 _START = np.uint64(1)
 #: Distinct pairs that a task gathers before it gives them out, and words of labelled documents.
-_GATHERED, _COUNTED = 1 << 22, 1 << 20
+_GATHERED, _COUNTED = 3 << 20, 1 << 20
 #: Rows that a task gives out at a time.
 _ROWS = 1 << 15
 #: Bits of a context's hash: a word of a million contexts is short by about seven.
@@ -169,7 +169,9 @@ def _context_codes(words: Lookup, buckets: int):
         codes = codes[np.concatenate(([True], codes[1:] != codes[:-1]))]
         starts = np.array([-(-(b << 32) // buckets) << 32 for b in range(buckets)], np.uint64)
         ends = [*np.searchsorted(codes, starts).tolist(), len(codes)]
-        rows = [(b, _packed(codes[ends[b] : ends[b + 1]])) for b in range(buckets) if ends[b] < ends[b + 1]]
+        # inside a bucket the word comes first: the contexts of common words lie close together
+        turned = lambda x: np.sort((x << np.uint64(_CONTEXT_BITS)) | (x >> low))
+        rows = [(b, _packed(turned(codes[ends[b] : ends[b + 1]]))) for b in range(buckets) if ends[b] < ends[b + 1]]
         return pd.DataFrame(rows, columns=["bucket", "codes"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +211,7 @@ def context_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]
 
     def counted(part: pd.DataFrame) -> pd.DataFrame:
         codes = _distinct(np.concatenate([_unpacked(x) for x in part["codes"]]))
-        n = np.bincount((codes & np.uint64((1 << 64 - _CONTEXT_BITS) - 1)).astype(np.int64))
+        n = np.bincount((codes >> np.uint64(_CONTEXT_BITS)).astype(np.int64))
         place = np.flatnonzero(n)
         return pd.DataFrame({"place": place, "n": n[place]})
 
