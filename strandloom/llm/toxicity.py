@@ -252,18 +252,28 @@ def _norms(pairs: DataFrame, words: np.ndarray, toxic: np.ndarray, plain: np.nda
 def differences(model: ToxicityModel, texts) -> np.ndarray:
     """For each text the difference of its length-normalised log-likelihoods, and of the part beyond ``STRIKING`` nats a word.
 
-    Both also times the root of the number of words; zeros without words.
+    Both also times the root of the number of different words (of the model), which says
+    how much they vary by chance: a text that repeats itself tells no more than once.
+    Zeros without words.
     """
-    total, beyond, n = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
+    total, beyond, n, different = np.zeros((4, len(texts)))
     if len(model.words.keys):
+        spanning, known = -1, np.zeros(0, np.uint64)  # the words so far of a text that goes on
         for before, word, owner in _in_context(texts):
+            at = model.words.find(word)
             context = np.where(before == _START, len(model.of_context) - 2, model.words.find(before))
-            ratio = model.of_word[model.words.find(word)] - model.of_context[context]  # -1 is the last
+            ratio = model.of_word[at] - model.of_context[context]  # -1 is the last
             total += np.bincount(owner, ratio, len(texts))
             beyond += np.bincount(owner, np.maximum(ratio - STRIKING, 0), len(texts))
             n += np.bincount(owner, minlength=len(texts))
+            held = _distinct((owner.astype(np.uint64) << np.uint64(32)) | (at + 1).astype(np.uint64))
+            if owner[0] == spanning:
+                held = held[~np.isin(held, known)]
+            different += np.bincount((held >> np.uint64(32)).astype(np.int64), minlength=len(texts))
+            last = held[held >> np.uint64(32) == np.uint64(owner[-1])]
+            spanning, known = int(owner[-1]), np.concatenate((known, last)) if owner[-1] == spanning else last
     out = np.stack((total, beyond)) / np.maximum(n, 1)
-    return np.concatenate((out, out * np.sqrt(n))).T
+    return np.concatenate((out, out * np.sqrt(different))).T
 
 
 def probabilities(model: ToxicityModel, texts) -> np.ndarray:

@@ -138,13 +138,18 @@ def test_toxicity_edges(spark, edge):
     assert toxicity.reject_toxic(edge.limit(0), labels).count() == 0
 
 
-def test_toxicity_counts_every_occurrence(spark):
+def test_toxicity_of_a_text_that_repeats_itself(spark):
+    """Scores neither shrink nor grow when a text is repeated, also over several stretches of words."""
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
-    texts = [r.text for r in docs.join(labels.where("toxic = 1"), "doc_id").select("text").collect()]
-    found = [t for t in texts if toxicity.probabilities(model, [t])[0] >= 0.5]
-    assert len(found) > len(texts) / 2 and (toxicity.probabilities(model, [f"{t} " * 40 for t in found]) >= 0.5).all()
+    for toxic in (0, 1):
+        texts = [r.text for r in docs.join(labels.where(f"toxic = {toxic}"), "doc_id").select("text").collect() if len(words_of(r.text)) > 20][:60]
+        once = toxicity.probabilities(model, texts)
+        assert np.abs(toxicity.probabilities(model, [f"{t} " * 40 for t in texts]) - once).max() < 0.1
+        assert ((once >= 0.5) == toxic).mean() > 0.6
+        long = toxicity.probabilities(model, ["x", f"{texts[0]} " * (700_000 // len(texts[0])), "y"])
+        assert abs(long[1] - once[0]) < 0.1
 
 
 def words_of(text):
