@@ -11,13 +11,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .staging import stage, stage_side
+from .staging import BROADCAST_ROWS, stage, stage_side
 
 #: Words of a window: the shortest span that counts (a shorter item counts whole).
 WINDOW = 13
 #: Words of a gram and grams of a run; K + W - 1 = WINDOW.
 K = 5
 W = WINDOW - K + 1
+#: The bitmap of a large benchmark's prints has 16 MB at most; more prints only let more pass.
+SIEVE_BITS = 27
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A packed print holds the upper 33 bits of the hash over a 31-bit position, as
@@ -88,8 +90,22 @@ def _hit_words(same: Column, shift: Column) -> Column:
     return F.flatten(F.transform(starts, lambda j: F.sequence(shift + j, shift + j + width - 1)))
 
 
+def _sieve(prints: DataFrame, bits: int) -> DataFrame:
+    """One row ``__sieve``: a bitmap of ``2 ** bits`` bits as longs, set where a print of an item falls."""
+    place = F.pmod(F.xxhash64("n", "digest"), F.lit(1 << bits))
+    words = prints.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("b"))
+    dense = prints.sparkSession.range(1 << (bits - 6)).join(words, F.col("id") == F.col("w"), "left")
+    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")))), lambda x: x["b"]).alias("__sieve"))
+
+
+def _passes(bits: int) -> Column:
+    place = F.pmod(F.xxhash64("n", "digest"), F.lit(1 << bits))
+    word = F.get("__sieve", F.shiftright(place, 6).cast("int"))
+    return F.call_function("shiftright", word, F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """One row a document: ``doc_id, text_key, n_words, n_hit, n_items, items``.
 
@@ -97,7 +113,10 @@ def find_contamination(
     of a whole shorter item. ``items`` are the ids (as strings, sorted, distinct) of
     items with a hit. Null texts have no words; items without words or without id match
     nothing; repeated documents and items count alike each time, a repeated item id
-    once. Equal texts are compared once: ``text_key`` (MD5 and length) stands for them.
+    once. Equal texts are compared once, of documents (``text_key``, MD5 and length, stands
+    for them) and of items. The prints of a benchmark that is counted to be small are
+    broadcast; a larger one first sends a bitmap of bounded size, so that of the
+    documents' prints only those travel that may meet one.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = stage(
@@ -105,52 +124,59 @@ def find_contamination(
         .where("item_id IS NOT NULL AND size(item) > 0").distinct(),
         "benchmark-words",
     )
+    key_of = F.xxhash64("item").alias("item_key")
+    texts_of = stage(items.groupBy("item").agg(F.min("item_id").alias("first_id")), "benchmark-texts")
+    members = stage_side(items.join(texts_of, "item").select("first_id", key_of, "item_id"), "benchmark-members")
     lengths = items.where(F.size("item") < WINDOW).select(F.size("item").alias("n")).distinct()
     short = sorted(r.n for r in lengths.collect())  # at most WINDOW - 1 numbers
-    of_item = _with_prints(items.withColumn("tokens", F.col("item")), short)
-    of_item = of_item.select("item_id", "item", F.explode("prints").alias("p")).where(
+    of_item = _with_prints(texts_of.withColumn("tokens", F.col("item")), short)
+    of_item = of_item.select("first_id", "item", F.explode("prints").alias("p")).where(
         F.col("p.n") == F.when(F.size("item") < WINDOW, F.size("item")).otherwise(0)
     )
-    of_item = stage(
-        of_item.select("p.n", "p.digest", F.col("p.at").alias("item_at"), "item_id", F.xxhash64("item").alias("item_key")), "benchmark-prints"
-    )
+    of_item = stage_side(of_item.select("p.n", "p.digest", F.col("p.at").alias("item_at"), "first_id", key_of), "benchmark-prints", broadcast_rows)
+    n_prints = of_item.count()
     key = F.concat_ws(":", F.md5(F.coalesce("text", F.lit(""))), F.octet_length(F.coalesce("text", F.lit(""))))
     marker = F.array(F.struct(F.lit(-1).alias("n"), F.xxhash64("text_key").alias("digest"), F.lit(0).alias("at")))
     # One pass over the texts: a row that stands for the document and one for each print.
     read = _with_prints(base.select("doc_id", key.alias("text_key"), words(F.col("text")).alias("tokens")), short)
     read = read.select("doc_id", "text_key", F.size("tokens").alias("n_words"), F.explode(F.concat(marker, "prints")).alias("p"))
     read = read.select("doc_id", "text_key", "n_words", "p.n", "p.digest", "p.at")
+    if n_prints > broadcast_rows:
+        bits = min(SIEVE_BITS, max(10, (32 * n_prints).bit_length()))
+        read = read.crossJoin(F.broadcast(stage(_sieve(of_item, bits), "benchmark-sieve"))).where((F.col("n") == -1) | _passes(bits)).drop("__sieve")  # one row
     seen = stage(
-        read.join(of_item, ["n", "digest"], "left").where("n = -1 OR item_id IS NOT NULL")
-        .select("doc_id", "text_key", "n_words", "n", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift")),
+        read.join(of_item, ["n", "digest"], "left").where("n = -1 OR first_id IS NOT NULL")
+        .select("doc_id", "text_key", "n_words", "n", "first_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift")),
         "contamination-seen",
     )
-    laid = stage(seen.where("n >= 0").select("text_key", "item_id", "item_key", "shift").distinct(), "contamination-laid")
+    laid = stage(seen.where("n >= 0").select("text_key", "first_id", "item_key", "shift").distinct(), "contamination-laid")
     hit_texts = stage_side(laid.select(F.xxhash64("text_key").alias("__hit")).distinct(), "contamination-texts")
     texts = base.withColumn("text_key", key).join(hit_texts, F.xxhash64("text_key") == F.col("__hit"), "left_semi")
     texts = texts.groupBy("text_key").agg(F.min("text").alias("text"))
-    with_items = laid.join(items.withColumn("item_key", F.xxhash64("item")), ["item_id", "item_key"])
+    with_items = laid.join(texts_of.withColumn("item_key", F.xxhash64("item")), ["first_id", "item_key"])
     # A text and its candidate items meet in one row: distinct shifts only, at most as many
     # for an item as the two have words together; an item that shares no print isn't there.
-    per_text = with_items.groupBy("text_key").agg(F.collect_list(F.struct("item_id", "item", "shift")).alias("laid"))
+    per_text = with_items.groupBy("text_key").agg(F.collect_list(F.struct("first_id", "item_key", "item", "shift")).alias("laid"))
     tokens = texts.join(per_text, "text_key").select("text_key", words(F.col("text")).alias("tokens"), "laid")
     aligned = F.transform(
-        "laid", lambda x: F.struct(x["item_id"].alias("item_id"), x["shift"].alias("shift"), _along(F.col("tokens"), x["item"], x["shift"]).alias("same"))
+        "laid", lambda x: F.struct(F.struct(x["first_id"].alias("first_id"), x["item_key"].alias("item_key")).alias("item"), x["shift"].alias("shift"), _along(F.col("tokens"), x["item"], x["shift"]).alias("same"))
     )
     marked = tokens.select("text_key", aligned.alias("aligned")).select(
         "text_key",
         F.filter(
-            F.transform("aligned", lambda x: F.struct(x["item_id"].alias("item_id"), _hit_words(x["same"], x["shift"]).alias("at"))),
+            F.transform("aligned", lambda x: F.struct(x["item"].alias("item"), _hit_words(x["same"], x["shift"]).alias("at"))),
             lambda x: F.size(x["at"]) > 0,
         ).alias("hits"),
     )
     found = stage(
         marked.select(
             "text_key", F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["at"])))).cast("long").alias("n_hit"),
-            F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item_id"]))).alias("items"),
+            F.array_distinct(F.transform("hits", lambda x: x["item"])).alias("met"),
         ),
         "contamination-found",
     )
+    each = found.select("text_key", F.explode("met").alias("i")).select("text_key", "i.first_id", "i.item_key").join(members, ["first_id", "item_key"])
+    found = found.drop("met").join(each.groupBy("text_key").agg(F.array_sort(F.collect_set("item_id")).alias("items")), "text_key")
     out = seen.where("n = -1").select("doc_id", "text_key", F.col("n_words").cast("long").alias("n_words")).join(found, "text_key", "left")
     return out.select(
         "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
