@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import merging
 from ..functions.keys import parse_key
+from ..functions.reads import make_read, same_keys, same_merged, same_reads
 from ..operators import alignments as al, barcodes as bc, counts, screening
 from ..sources import fastq, sam, text
 from ..sources.places import new_folder
@@ -298,3 +299,26 @@ def _(s, d):
     split = al_view(s, d).withColumns({"key": F.concat(F.lit("a:"), "rname", F.lit(":"), al.tag("XD")), "error": F.lit(None).cast("string")})
     keys = split.where(F.substring("rname", 4, 2).cast("int") > 12).select("key").where("key IS NOT NULL")
     return al.selected_records(split, keys).select("file", "ordinal", "file_name")
+
+
+@query("s15_read_construction", f"SELECT ordinal AS k, '12' AS run, r1_seq AS seq, CAST(length(r1_qual) AS INT) AS n, true AS bare FROM ({_PAIRS})")
+def _(s, d):
+    rows = view(s, d, views.PAIRS).select(F.col("ordinal").alias("k"), make_read("r1_header", "r1_seq", "r1_qual").alias("r"), make_read(F.substring("r1_header", 2, 99), "r1_seq", "r1_qual").alias("b"))
+    return rows.select("k", F.col("r.header.run").cast("string").alias("run"), "r.seq", F.char_length("r.qual").alias("n"), F.col("b.header").isNull().alias("bare"))
+
+
+@query("f12_value_equality", f"""WITH p AS ({_PAIRS}), x AS (SELECT *, i5 || '_' || i7 || '_' AS a, CASE WHEN ordinal % 3 = 0 THEN i5 || '_' || i7 || '__' WHEN ordinal % 3 = 1 THEN i5 || '_' || i7 || '_Q' ELSE 'none' END AS b
+  FROM (SELECT *, 'a' || CAST(ordinal % 5 AS VARCHAR) AS i5, 'b' || CAST(ordinal % 7 AS VARCHAR) AS i7 FROM p))
+SELECT ordinal AS k, r1_header = i1_header AND r1_seq = i1_seq AS with_index, r1_header = r1_header AND r1_seq = r1_seq AND (ordinal % 2 = 0 OR r1_qual = reverse(r1_qual)) AS with_turned,
+  ordinal % 3 = 0 AS keys, ordinal % 3 = 0 AND (ordinal % 2 = 0 OR r1_qual = reverse(r1_qual)) AS merged FROM x""")
+def _(s, d):
+    rows = view(s, d, views.PAIRS).withColumns({"i5": F.concat(F.lit("a"), F.col("ordinal") % 5), "i7": F.concat(F.lit("b"), F.col("ordinal") % 7)})
+    pair = F.concat_ws("_", "i5", "i7")
+    other = F.when(F.col("ordinal") % 3 == 0, F.concat(pair, F.lit("__"))).when(F.col("ordinal") % 3 == 1, F.concat(pair, F.lit("_Q"))).otherwise("none")
+    turned = F.when(F.col("ordinal") % 2 == 0, F.col("r1_qual")).otherwise(F.reverse("r1_qual"))
+    rows = rows.select(
+        F.col("ordinal").alias("k"), F.concat(pair, F.lit("_")).alias("a"), other.alias("b"), make_read("r1_header", "r1_seq", "r1_qual").alias("r"),
+        make_read("i1_header", "i1_seq", "i1_qual").alias("i"), make_read("r1_header", "r1_seq", turned).alias("t"),
+    )
+    r, i, t = F.col("r"), F.col("i"), F.col("t")
+    return rows.select("k", same_reads(r, i).alias("with_index"), same_reads(r, t).alias("with_turned"), same_keys("a", "b").alias("keys"), same_merged(F.col("a"), r, F.col("b"), t).alias("merged"))

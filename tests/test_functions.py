@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import cigar, dna, headers, keys, merging
 from strandloom.functions.merging import MergeParams, merge_pairs
+from strandloom.functions.reads import make_read
 from strandloom.operators import alignments as al, barcodes as bc, counts, screening
 from strandloom.sources import text
 
@@ -147,6 +148,15 @@ def test_targets_of_any_length(spark):
     assert 0 < len(wanted) < 300 and al.filter_to_targets(records, bed.limit(0), 20, 25).isEmpty()
 
 
+def test_reads_are_checked_when_made(spark):
+    rows = spark.createDataFrame([("@I:1:F:1:1:1:1 1:N:0:A", "ACG", "III"), ("free text", "", ""), (None, None, None)], "h string, s string, q string")
+    got = [r.x for r in rows.select(make_read("h", "s", "q").alias("x")).collect()]
+    assert got[0].header.flowcell == "F" and got[1].header is None and got[1].seq == "" and got[2] is None
+    for seq, qual in (("ACG", "II"), ("AXG", "III"), ("ACG", None)):
+        with pytest.raises(Exception, match="not a read"):
+            spark.createDataFrame([("@x", seq, qual)], "h string, s string, q string").select(make_read("h", "s", "q").alias("x")).collect()
+
+
 def test_several_read_groups_raise(spark):
     rows = [("L", 0, "a", "g1"), ("L", 1, None, "g2"), ("L", 2, "b", "g1")]
     screened = spark.createDataFrame(rows, "lane_id string, ordinal long, key string, read_group string")
