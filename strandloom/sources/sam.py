@@ -1,12 +1,14 @@
 """SAM and BAM as a Python data source, and writers for both.
 
-Header and records are separate tables. A file is a partition, so that records keep
-their number in the file; BAM is BGZF read with ``zlib`` alone, a block at a time.
+Header and records are separate tables. Records keep their number in the file, also where
+a large file is read as several partitions; BAM is BGZF read with ``zlib`` alone, a block
+at a time.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import struct
 import uuid
 import zlib
@@ -18,6 +20,8 @@ from pyarrow import RecordBatch, array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import bgzf
+from .bgzf import BlockReader
 from .fastq import open_uri
 
 SCHEMA = (
@@ -52,42 +56,11 @@ def is_bam_name(path: str) -> bool:
 
 # Reading
 
-def _blocks(f) -> Iterator[bytes]:
-    """Uncompressed BGZF blocks."""
-    while head := f.read(18):
-        if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
-            raise ValueError("not a BGZF block")
-        extra = struct.unpack("<H", head[10:12])[0]
-        size = struct.unpack("<H", head[16:18])[0] if extra == 6 and head[12:14] == b"BC" else None
-        if size is None:
-            raise ValueError("a BGZF block without its size")
-        rest = f.read(size + 1 - 18)
-        yield zlib.decompress(rest[:-8], -15)
-
-
-class _Bytes:
-    """A reader of exact byte counts over BGZF blocks."""
-
-    def __init__(self, f):
-        self.blocks, self.held, self.at = _blocks(f), b"", 0
-
-    def take(self, n: int) -> bytes:
-        while len(self.held) - self.at < n:
-            block = next(self.blocks, None)
-            if block is None:
-                if len(self.held) == self.at:
-                    return b""
-                raise ValueError("the BAM file is cut off")
-            self.held, self.at = self.held[self.at :] + block, 0
-        self.at += n
-        return self.held[self.at - n : self.at]
-
-
 def _int(raw: bytes) -> int:
     return struct.unpack("<i", raw)[0]
 
 
-def _bam_header(data: _Bytes) -> tuple[str, list[str]]:
+def _bam_header(data: BlockReader) -> tuple[str, list[str]]:
     if data.take(4) != b"BAM\1":
         raise ValueError("not a BAM file")
     text = data.take(_int(data.take(4))).rstrip(b"\0").decode()
@@ -161,19 +134,26 @@ def _sam_record(line: str) -> tuple:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """``n`` records of a file from a place on, the first of number ``ordinal``; all if ``n`` is negative."""
+
+    def __init__(self, path: str, place: tuple[int, int] = (0, 0), n: int = -1, ordinal: int = 0):
+        self.path, self.place, self.n, self.ordinal = path, place, n, ordinal
+
+
+def _is_packed(system, path: str) -> bool:
+    with system.open_input_stream(path, compression=None) as f:
+        return f.read(2) == b"\x1f\x8b"
 
 
 class AlignmentReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = [p for p in options["paths"].split(";") if p]
+        self.parts = [(path, (c, u), n, at) for path, c, u, n, at in json.loads(options["parts"])]
         self.mode = options.get("mode", "FAILFAST").upper()
-        for path in self.paths:
+        for path, *_ in self.parts:
             unsupported_cram(path)
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(p) for p in self.paths]
+        return [_Part(*p) for p in self.parts]
 
     def read(self, part: _Part) -> Iterator[RecordBatch]:
         rows = self._rows(part)
@@ -183,10 +163,8 @@ class AlignmentReader(DataSourceReader):
 
     def _rows(self, part: _Part) -> Iterator[tuple]:
         system, path = open_uri(part.path)
-        with system.open_input_stream(path, compression=None) as f:
-            magic = f.read(2)
-        at = 0
-        for raw, parse in self._raw(system, path, magic == b"\x1f\x8b"):
+        raws = self._raw(system, path, part)
+        for at, (raw, parse) in enumerate(raws if part.n < 0 else islice(raws, part.n), part.ordinal):
             try:
                 *row, tags = parse(raw)
                 row = (*row, [(name, {"type": kind, "value": value}) for name, (kind, value) in tags.items()])
@@ -195,26 +173,104 @@ class AlignmentReader(DataSourceReader):
                     raise ValueError(f"broken record {at} in {part.path}: {e}") from e
                 if self.mode == "PERMISSIVE":
                     yield (part.path, at, *[None] * 12, f"{e}")
-                    at += 1
                 continue
             yield (part.path, at, *row, None)
-            at += 1
 
-    def _raw(self, system, path: str, packed: bool):
-        with system.open_input_stream(path, compression=None) as f:
-            if packed:
-                data = _Bytes(f)
+    def _raw(self, system, path: str, part: _Part):
+        if _is_packed(system, path):
+            with system.open_input_file(path) as f:
+                data = BlockReader(f)
                 _, names = _bam_header(data)
+                if part.n >= 0:
+                    data = BlockReader(f, part.place)
                 while size := data.take(4):
                     yield data.take(_int(size)), lambda raw: _bam_record(raw, names)
-            else:
+        else:
+            with system.open_input_file(path) as f:
+                f.seek(part.place[0])
                 for line in io.TextIOWrapper(f, encoding="utf-8", newline="\n"):
                     if line.strip() and not line.startswith("@"):
                         yield line.rstrip("\r\n"), _sam_record
 
 
+def _scan_text(f, low: int, high: int) -> tuple:
+    """First line, the place behind the last, and how many records' lines begin from ``low`` and before ``high``."""
+    at = low
+    if low:
+        f.seek(low - 1)
+        while True:
+            held = f.read(1 << 16)
+            if not held:
+                return None, None, 0
+            if (cut := held.find(b"\n")) >= 0:
+                at += cut
+                break
+            at += len(held)
+    if at >= high:
+        return None, None, 0
+    f.seek(at)
+    first, n = (at, 0), 0
+    for line in io.BufferedReader(f, 1 << 20):
+        if at >= high:
+            break
+        n += bool(line.strip()) and not line.startswith(b"@")
+        at += len(line)
+    return first, (at, 0), n
+
+
+def _chained(path: str, place: tuple[int, int] | None, found: list[tuple]) -> list[list]:
+    """The ranges ``c, u, c2, u2, n`` as partitions if each begins where the one before ends, else the file as one."""
+    parts, ordinal = [], 0
+    for c, u, c2, u2, n in found:
+        if c < 0:
+            continue
+        if place is not None and (c, u) != place:
+            return [[path, 0, 0, -1, 0]]
+        parts.append([path, c, u, n, ordinal])
+        place, ordinal = (c2, u2), ordinal + n
+    return parts or [[path, 0, 0, -1, 0]]
+
+
+def _ranges(spark: SparkSession, path: str, size: int, split_bytes: int) -> list[list]:
+    """The partitions of a large file: ranges of bytes, whose records are counted first.
+
+    A range's first record is guessed from what follows; the guess holds only if the range
+    before ends exactly there. If one doesn't, the file is one partition.
+    """
+    system, name = open_uri(path)
+    packed, begin, references = _is_packed(system, name), None, 0
+    if packed:
+        with system.open_input_file(name) as f:
+            data = BlockReader(f)
+            references = len(_bam_header(data)[1])
+            begin = data.place()
+    lows = list(range(0, size, split_bytes))
+
+    def scan_ranges(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            system, name = open_uri(path)
+            for low in batch["low"].tolist():
+                with system.open_input_file(name) as f:
+                    high = min(size, low + split_bytes)
+                    if not packed:
+                        first, end, n = _scan_text(f, low, high)
+                    elif begin[0] >= high:  # only the header
+                        first, end, n = None, None, 0
+                    else:
+                        first, end, n = bgzf.scan(f, low, high, references, begin if begin[0] >= low else None)
+                out.append((low, *(first or (-1, -1)), *(end or (-1, -1)), n))
+            yield pd.DataFrame(out, columns=["low", "c", "u", "c2", "u2", "n"])
+
+    rows = spark.createDataFrame([(x,) for x in lows], "low long").repartition(len(lows), "low")
+    found = sorted(rows.mapInPandas(scan_ranges, "low long, c long, u long, c2 long, u2 long, n long").collect())  # a row a range
+    return _chained(path, begin, [tuple(r)[1:] for r in found])
+
+
 class SamSource(DataSource):
-    """``format("alignments")``; options ``paths`` (``;`` between) and ``mode``:
+    """``format("alignments")``; options ``parts`` (as ``read_alignments`` finds them) and ``mode``:
 
     ``FAILFAST`` (default), ``DROPMALFORMED`` or ``PERMISSIVE`` (a row with ``corrupt``).
     """
@@ -230,21 +286,30 @@ class SamSource(DataSource):
         return AlignmentReader(self.options)
 
 
-def read_alignments(spark: SparkSession, paths: list[str], mode: str = "FAILFAST") -> DataFrame:
-    """Records of SAM and BAM files (told apart by content), a file a partition, in file order."""
+def read_alignments(spark: SparkSession, paths: list[str], mode: str = "FAILFAST", split_bytes: int = 256 << 20) -> DataFrame:
+    """Records of SAM and BAM files (told apart by content), numbered in file order.
+
+    A file of at most ``split_bytes`` is a partition; of a larger one the records of each
+    range are counted first, so that ranges are read side by side and numbers have no gaps.
+    """
     spark.dataSource.register(SamSource)
-    return spark.read.format("alignments").option("paths", ";".join(paths)).option("mode", mode).load()
+    parts = []
+    for path in paths:
+        unsupported_cram(path)
+        system, name = open_uri(path)
+        size = system.get_file_info(name).size or 0
+        parts += [[path, 0, 0, -1, 0]] if size <= split_bytes else _ranges(spark, path, size, split_bytes)
+    return spark.read.format("alignments").option("parts", json.dumps(parts)).option("mode", mode).load()
 
 
 def header_text(path: str) -> str:
     """The header lines of one file."""
     unsupported_cram(path)
     system, name = open_uri(path)
-    with system.open_input_stream(name, compression=None) as f:
-        packed = f.read(2) == b"\x1f\x8b"
-    with system.open_input_stream(name, compression=None) as f:
-        if packed:
-            return _bam_header(_Bytes(f))[0]
+    with system.open_input_file(name) as f:
+        if f.read(2) == b"\x1f\x8b":
+            return _bam_header(BlockReader(f))[0]
+        f.seek(0)
         lines = []
         for line in io.TextIOWrapper(f, encoding="utf-8"):
             if not line.startswith("@"):

@@ -55,6 +55,29 @@ def test_alignment_round_trip(spark, tmp_path, kind):
     assert sam.sequences(sam.read_headers(spark, [path])).count() == 24
 
 
+@pytest.mark.parametrize("kind", ["sam", "bam"])
+def test_large_files_are_read_in_ranges(spark, tmp_path, kind):
+    rows = views.alignments(spark, "/root/testdata/sf0.01").drop("md", "rg", "xd", "ds", "full_key", "nm")
+    long = rows.limit(1).withColumns({"qname": F.lit("long"), "seq": F.repeat(F.lit("ACGT"), F.lit(60_000)), "qual": F.lit("*"), "cigar": F.lit("240000M"), "pos": F.lit(9000)})
+    path = sam.write_alignments(rows.unionByName(long), HEADER, f"{tmp_path}/x.{kind}")
+    whole = sam.read_alignments(spark, [path])
+    for size in (30_000, 200_000):
+        ranged = sam.read_alignments(spark, [path], split_bytes=size)
+        assert ranged.rdd.getNumPartitions() > 1
+        columns = [c for c in whole.columns if c != "tags"] + [F.to_json("tags").alias("tags")]
+        a, b = whole.select(*columns), ranged.select(*columns)
+        assert a.count() == b.count() == 15_001 and a.exceptAll(b).isEmpty()
+    (tmp_path / "empty.sam").write_text(HEADER)
+    assert sam.read_alignments(spark, [f"{tmp_path}/empty.sam"], split_bytes=10).isEmpty()
+
+
+def test_ranges_that_do_not_meet_are_not_trusted():
+    good = [(100, 5, 300, 7, 4), (-1, -1, -1, -1, 0), (300, 7, 1 << 62, 0, 9)]
+    assert sam._chained("x", (100, 5), good) == [["x", 100, 5, 4, 0], ["x", 300, 7, 9, 4]]
+    whole = [["x", 0, 0, -1, 0]]
+    assert sam._chained("x", (100, 4), good) == sam._chained("x", (100, 5), [good[0], (300, 8, 1 << 62, 0, 9)]) == sam._chained("x", None, []) == whole
+
+
 def test_malformed_records(spark, tmp_path):
     path = tmp_path / "x.sam"
     far = f"far\t0\tc\t{1 << 40}\t0\t1M\t*\t0\t0\tA\tI\n"
