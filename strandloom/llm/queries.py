@@ -118,6 +118,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def llm10_secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that the base patterns fix."""
+    return op10_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def llm10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates of op10 that SQL can find, each with the distinct owners and repositories of its value."""
     found = secrets.explode_spans(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
@@ -137,6 +142,7 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "llm6_media_payload": llm6_media_payload,
     "llm8_mix_targets": llm8_mix_targets,
+    "llm10_secret_base": llm10_secret_base,
     "llm10_secret_ownership": llm10_secret_ownership,
 }
 
@@ -217,7 +223,7 @@ _SECRETS = (
     ("hex", "[0-9a-f]{16,}", 0, "true"),
     ("token", "[A-Za-z0-9+/_=-]{24,}", 0, "regexp_full_match(v, '[A-Za-z0-9+/_-]{24,}={0,2}') AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]')"),
 )
-LLM10_SQL = (
+_SPANS_SQL = (
     "WITH "
     + ", ".join(
         f"""{kind}_m AS (
@@ -231,9 +237,20 @@ LLM10_SQL = (
     )
     + ",\ns AS ("
     + " UNION ALL ".join(f"SELECT * FROM {kind}_s WHERE {least}" for kind, _, _, least in _SECRETS)
-    + """),
+    + ")"
+)
+LLM10_SQL = (
+    _SPANS_SQL
+    + """,
 n AS (SELECT v, count(DISTINCT source) + max((source IS NULL)::INT) AS owners, count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) AS repositories FROM s GROUP BY v)
 SELECT doc_id, kind, CAST(place AS INT) AS "start", CAST(place + length(w) AS INT) AS "end", owners, repositories, owners <= 2 AND repositories <= 10 AS live FROM s JOIN n ON s.v = n.v"""
 )
+LLM10_BASE_SQL = (
+    _SPANS_SQL
+    + """
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || CAST(place AS BIGINT) || ':' || CAST(place + length(w) AS BIGINT), ',' ORDER BY place, list_position(['assign', 'access', 'hex'], kind)), '')) AS base_sha256
+FROM documents d LEFT JOIN (SELECT * FROM s WHERE kind <> 'token') b ON d.doc_id = b.doc_id GROUP BY d.doc_id"""
+)
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_line_dedup": OP7_SQL, "llm6_media_payload": LLM6_SQL, "llm8_mix_targets": LLM8_SQL, "llm10_secret_ownership": LLM10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_line_dedup": OP7_SQL, "llm6_media_payload": LLM6_SQL, "llm8_mix_targets": LLM8_SQL, "llm10_secret_base": LLM10_BASE_SQL, "llm10_secret_ownership": LLM10_SQL}
