@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .staging import small_batches, stage
+from .staging import small_batches, stage, stage_side
 from .toxicity import training_fold
 
 ORDERS = (2, 3, 4)
@@ -96,13 +96,13 @@ def fit(
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(training_fold(F.col("__id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    held = stage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")
+    held = stage_side(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")
     share = F.least(F.lit(1.0), F.lit(sample_per_language) / F.col("n"))
     wanted = held.select(F.col("lang").alias("__lang"), "n", (share * 1_000_000).cast("long").alias("share"), F.ceil(rare * share * F.col("n")).alias("least"))
-    drawn = rows.join(F.broadcast(wanted), F.col("lang") == F.col("__lang")).where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < F.col("share"))
+    drawn = rows.join(wanted, F.col("lang") == F.col("__lang")).where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < F.col("share"))
     counted = drawn.select("lang", "text").mapInPandas(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("count"))
     kept = stage(
-        counted.join(F.broadcast(wanted), F.col("lang") == F.col("__lang")).where(F.col("count") >= F.col("least")).select("lang", "code"), "language-grams"
+        counted.join(wanted, F.col("lang") == F.col("__lang")).where(F.col("count") >= F.col("least")).select("lang", "code"), "language-grams"
     )
     most = kept.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
     slots = 1 << max(16, (most * SLOTS_PER_GRAM - 1).bit_length())
