@@ -176,7 +176,8 @@ def find_contamination(
         "contamination-found",
     )
     each = found.select("text_key", F.explode("met").alias("i")).select("text_key", "i.first_id", "i.item_key").join(members, ["first_id", "item_key"])
-    found = found.drop("met").join(each.groupBy("text_key").agg(F.array_sort(F.collect_set("item_id")).alias("items")), "text_key")
+    ids = each.groupBy("text_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    found = stage_side(found.drop("met").join(ids, "text_key"), "contamination-items")
     out = seen.where("n = -1").select("doc_id", "text_key", F.col("n_words").cast("long").alias("n_words")).join(found, "text_key", "left")
     return out.select(
         "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
