@@ -72,18 +72,11 @@ def _(s, d):
     return sam.sequences(sam.read_headers(s, [path])).select("name", "length", F.col("ordinal").cast("long").alias("place"))
 
 
-def _lines_file(df: DataFrame, name: str) -> str:
-    """One text file of a view's lines in order."""
-    s, folder = df.sparkSession, new_folder(df.sparkSession, name)
-    df.orderBy("at").select("value").coalesce(1).write.text(folder)
-    return s.read.text(folder).select(F.input_file_name()).first()[0].replace("%20", " ")
-
-
 @query("s12_broken_records", f"""SELECT kind, count(*) AS n, CAST(sum(ordinal) AS BIGINT) AS places FROM (
   SELECT CASE WHEN mapq % 7 = 0 THEN 'broken' ELSE 'good' END AS kind, row_number() OVER (ORDER BY ordinal, file) - 1 AS ordinal FROM ({_ALN})) GROUP BY kind""")
 def _(s, d):
     text_of = F.concat_ws("\t", "qname", "flag", "rname", F.when(F.col("mapq") % 7 == 0, "x").otherwise(F.col("pos").cast("string")), "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
-    path = _lines_file(al_view(s, d).select(F.struct("ordinal", "file").alias("at"), text_of.alias("value")), "broken")
+    path = text.write_lines(al_view(s, d).select("ordinal", "file", text_of.alias("value")), ["ordinal", "file"], f"{new_folder(s, 'broken')}.sam")
     good, broken = sam.split_broken(sam.read_alignments(s, [path], "PERMISSIVE"))
     each = good.select(F.lit("good").alias("kind"), "ordinal").unionByName(broken.select(F.lit("broken").alias("kind"), "ordinal"))
     return each.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("ordinal").alias("places"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions.keys import index_only, parse_key
 from ..operators.barcodes import reference_set
 from ..operators.sizes import sized
+from .parts import assemble, join_parts, write_parts
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -15,6 +16,14 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.posexplode("lines").alias("ordinal", "value"))
 
 
+def write_lines(lines: DataFrame, order: list[str], path: str) -> str:
+    """One text file of the column ``value`` in the order of other columns: parts by all tasks, their bytes joined."""
+    encode = lambda batch: "".join([f"{x}\n" for x in batch.column("value").to_pylist()]).encode()
+    if not assemble(lines.sparkSession, write_parts(lines.withColumn("__target", F.lit(path)), order, encode)):
+        join_parts(path, [])
+    return path
+
+
 def read_reference_set(spark: SparkSession, path: str) -> DataFrame:
     """``label, ordinal, augmented_label, barcode, length`` of a barcode file."""
     return reference_set(_numbered(spark, path).select("value"))

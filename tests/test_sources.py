@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandloom import cli
 from strandloom.operators import screening
 from strandloom.plans import queries, views
-from strandloom.sources import fastq, sam
+from strandloom.sources import fastq, parts, sam, text
 from strandloom.streaming.counts import stream_counts, write_counts
 
 SF = "/root/testdata/sf0.001"
@@ -34,6 +34,14 @@ def test_fastq_lanes_are_read_in_lockstep(spark, tmp_path):
         fastq.read_pairs(spark, {"a": [f"{tmp_path}/bad.gz"] * 2}).collect()
 
 
+def test_lines_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(text, "assemble", lambda s, found: sizes.append(len(found)) or parts.assemble(s, found))
+    text.write_lines(spark.range(1000).select(F.col("id").alias("value"), (-F.col("id")).alias("at")), ["at"], f"{tmp_path}/lines")
+    assert (tmp_path / "lines").read_text() == "".join(f"{i}\n" for i in reversed(range(1000)))
+    assert sizes[0] > 1 and [x.name for x in tmp_path.iterdir()] == ["lines"]
+
+
 def test_striped_output(spark, tmp_path):
     rows = spark.createDataFrame([(1 + i % 3, "L", i, f"@h{i}", "ACGT", "IIII") for i in range(7)], "stripe int, lane_id string, ordinal long, header string, seq string, qual string")
     paths = fastq.write_striped(rows, f"{tmp_path}/out")
