@@ -10,10 +10,10 @@ from __future__ import annotations
 import io
 import json
 import struct
-import uuid
-import zlib
+from binascii import hexlify, unhexlify
 from collections.abc import Iterator
-from itertools import islice
+from functools import lru_cache
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyarrow import RecordBatch, array
@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import bgzf
 from .bgzf import BlockReader
-from .fastq import open_uri
+from .parts import assemble, join_parts, open_uri, write_parts
 
 SCHEMA = (
     "file string, ordinal bigint, qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, "
@@ -41,7 +41,12 @@ HEADER_SCHEMA = "file string, line_no int, record_type string, fields map<string
 # Fixed values of the BAM format.
 _BASES = "=ACMGRSVTWYHKDBN"
 _OPS = "MIDNSHP=X"
-_EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+_FIXED = struct.Struct("<iiBBHHHiiii")
+# A base as a hexadecimal digit and back; other letters give no digit. Scores as letters and back, without a check.
+_TO_DIGIT = bytes(b"0123456789abcdef"[_BASES.index(chr(i).upper())] if i < 128 and chr(i).upper() in _BASES else 33 for i in range(256))
+_TO_BASE = bytes.maketrans(b"0123456789abcdef", _BASES.encode())
+_TO_LETTER = bytes(min(i + 33, 255) for i in range(256))
+_TO_SCORE = bytes(max(i - 33, 0) for i in range(256))
 _TYPES = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
 
@@ -76,11 +81,11 @@ def _bam_tags(raw: bytes) -> dict:
     while at + 3 <= len(raw):
         name, kind = raw[at : at + 2].decode(), chr(raw[at + 2])
         at += 3
-        if kind == "A":
-            value, at = chr(raw[at]), at + 1
-        elif kind in "ZH":
+        if kind in "ZH":
             end = raw.index(b"\0", at)
             value, at = raw[at:end].decode(), end + 1
+        elif kind == "A":
+            value, at = chr(raw[at]), at + 1
         elif kind == "B":
             inner, n = chr(raw[at]), _int(raw[at + 1 : at + 5])
             form = f"<{n}{_TYPES[inner]}"
@@ -99,20 +104,24 @@ def _number(x) -> str:
     return str(x) if isinstance(x, int) else f"{x:g}"
 
 
+@lru_cache(4096)
+def _cigar_text(raw: bytes) -> str:
+    return "".join(f"{o >> 4}{_OPS[o & 15]}" for o in struct.unpack(f"<{len(raw) // 4}I", raw)) or "*"
+
+
 def _bam_record(raw: bytes, names: list[str]) -> tuple:
-    ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, next_ref, next_pos, tlen = struct.unpack("<iiBBHHHiiii", raw[:32])
+    ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, next_ref, next_pos, tlen = _FIXED.unpack_from(raw)
     at = 32 + n_name
     qname = raw[32 : at - 1].decode()
-    ops = struct.unpack(f"<{n_cigar}I", raw[at : at + 4 * n_cigar])
+    cigar = _cigar_text(raw[at : at + 4 * n_cigar])
     at += 4 * n_cigar
     packed = raw[at : at + (n_seq + 1) // 2]
-    seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:n_seq] or "*"
+    seq = hexlify(packed).translate(_TO_BASE)[:n_seq].decode() or "*"
     at += (n_seq + 1) // 2
     qual = raw[at : at + n_seq]
-    text = "*" if not n_seq or qual[:1] == b"\xff" else bytes(q + 33 for q in qual).decode()
+    text = "*" if not n_seq or qual[:1] == b"\xff" else qual.translate(_TO_LETTER).decode("ascii")
     rname = names[ref] if ref >= 0 else "*"
     rnext = "*" if next_ref < 0 else "=" if next_ref == ref else names[next_ref]
-    cigar = "".join(f"{o >> 4}{_OPS[o & 15]}" for o in ops) or "*"
     return qname, flag, rname, pos + 1, mapq, cigar, rnext, next_pos + 1, tlen, seq, text, _bam_tags(raw[at + n_seq :])
 
 
@@ -145,6 +154,15 @@ def _is_packed(system, path: str) -> bool:
         return f.read(2) == b"\x1f\x8b"
 
 
+def _tag_array(tags: tuple[dict | None, ...]) -> pa.MapArray:
+    """Parsed tags as a map column, null for None."""
+    ends = list(accumulate((len(t or ()) for t in tags), initial=0))
+    pairs = [p for t in tags if t for p in t.values()]
+    values = pa.StructArray.from_arrays([array([p[0] for p in pairs], pa.string()), array([p[1] for p in pairs], pa.string())], fields=list(_TAG))
+    offsets = array([None if t is None else e for t, e in zip(tags, ends)] + ends[-1:], pa.int32())
+    return pa.MapArray.from_arrays(offsets, array([k for t in tags if t for k in t], pa.string()), values)
+
+
 class AlignmentReader(DataSourceReader):
     def __init__(self, options: dict):
         self.parts = [(path, (c, u), n, at) for path, c, u, n, at in json.loads(options["parts"])]
@@ -158,7 +176,7 @@ class AlignmentReader(DataSourceReader):
     def read(self, part: _Part) -> Iterator[RecordBatch]:
         rows = self._rows(part)
         while chunk := list(islice(rows, _BATCH)):
-            columns = [array(list(c), type=f.type) for c, f in zip(zip(*chunk, strict=True), _ARROW, strict=True)]
+            columns = [_tag_array(c) if f.name == "tags" else array(c, type=f.type) for c, f in zip(zip(*chunk, strict=True), _ARROW, strict=True)]
             yield RecordBatch.from_arrays(columns, schema=_ARROW)
 
     def _rows(self, part: _Part) -> Iterator[tuple]:
@@ -166,8 +184,7 @@ class AlignmentReader(DataSourceReader):
         raws = self._raw(system, path, part)
         for at, (raw, parse) in enumerate(raws if part.n < 0 else islice(raws, part.n), part.ordinal):
             try:
-                *row, tags = parse(raw)
-                row = (*row, [(name, {"type": kind, "value": value}) for name, (kind, value) in tags.items()])
+                row = parse(raw)
             except (ValueError, IndexError, KeyError, struct.error) as e:
                 if self.mode == "FAILFAST":
                     raise ValueError(f"broken record {at} in {part.path}: {e}") from e
@@ -183,8 +200,9 @@ class AlignmentReader(DataSourceReader):
                 _, names = _bam_header(data)
                 if part.n >= 0:
                     data = BlockReader(f, part.place)
-                while size := data.take(4):
-                    yield data.take(_int(size)), lambda raw: _bam_record(raw, names)
+                parse = lambda raw: _bam_record(raw, names)
+                for raw in data.records():
+                    yield raw, parse
         else:
             with system.open_input_file(path) as f:
                 f.seek(part.place[0])
@@ -231,42 +249,44 @@ def _chained(path: str, place: tuple[int, int] | None, found: list[tuple]) -> li
     return parts or [[path, 0, 0, -1, 0]]
 
 
-def _ranges(spark: SparkSession, path: str, size: int, split_bytes: int) -> list[list]:
-    """The partitions of a large file: ranges of bytes, whose records are counted first.
+def _ranges(spark: SparkSession, files: list[tuple[str, int]], split_bytes: int) -> list[list]:
+    """The partitions of large files (``path, size``): ranges of bytes, whose records are counted first in one job.
 
     A range's first record is guessed from what follows; the guess holds only if the range
     before ends exactly there. If one doesn't, the file is one partition.
     """
-    system, name = open_uri(path)
-    packed, begin, references = _is_packed(system, name), None, 0
-    if packed:
+    begins, rows = {}, []
+    for path, size in files:
+        system, name = open_uri(path)
+        begins[path], references = None, 0
+        if packed := _is_packed(system, name):
+            with system.open_input_file(name) as f:
+                data = BlockReader(f)
+                references = len(_bam_header(data)[1])
+                begins[path] = data.place()
+        rows += [(path, low, min(size, low + split_bytes), packed, *(begins[path] or (-1, -1)), references) for low in range(0, size, split_bytes)]
+
+    def scan_range(path, low, high, packed, c, u, references):
+        system, name = open_uri(path)
         with system.open_input_file(name) as f:
-            data = BlockReader(f)
-            references = len(_bam_header(data)[1])
-            begin = data.place()
-    lows = list(range(0, size, split_bytes))
+            if not packed:
+                first, end, n = _scan_text(f, low, high)
+            elif c >= high:  # only the header
+                first, end, n = None, None, 0
+            else:
+                first, end, n = bgzf.scan(f, low, high, references, (c, u) if c >= low else None)
+        return (path, low, *(first or (-1, -1)), *(end or (-1, -1)), n)
 
     def scan_ranges(batches):
-        import pandas as pd
-
         for batch in batches:
-            out = []
-            system, name = open_uri(path)
-            for low in batch["low"].tolist():
-                with system.open_input_file(name) as f:
-                    high = min(size, low + split_bytes)
-                    if not packed:
-                        first, end, n = _scan_text(f, low, high)
-                    elif begin[0] >= high:  # only the header
-                        first, end, n = None, None, 0
-                    else:
-                        first, end, n = bgzf.scan(f, low, high, references, begin if begin[0] >= low else None)
-                out.append((low, *(first or (-1, -1)), *(end or (-1, -1)), n))
-            yield pd.DataFrame(out, columns=["low", "c", "u", "c2", "u2", "n"])
-
-    rows = spark.createDataFrame([(x,) for x in lows], "low long").repartition(len(lows), "low")
-    found = sorted(rows.mapInPandas(scan_ranges, "low long, c long, u long, c2 long, u2 long, n long").collect())  # a row a range
-    return _chained(path, begin, [tuple(r)[1:] for r in found])
+            found = [scan_range(*x.values()) for x in batch.to_pylist()]
+            yield RecordBatch.from_arrays([array(c) for c in zip(*found, strict=True)], ["path", "low", "c", "u", "c2", "u2", "n"])
+
+    ranges = spark.createDataFrame(rows, "path string, low long, high long, packed boolean, c long, u long, references int").repartition(len(rows))
+    found: dict[str, list] = {}
+    for path, _, *own in sorted(map(tuple, ranges.mapInArrow(scan_ranges, "path string, low long, c long, u long, c2 long, u2 long, n long").collect())):  # a row a range
+        found.setdefault(path, []).append(tuple(own))
+    return [part for path, _ in files for part in _chained(path, begins[path], found[path])]
 
 
 class SamSource(DataSource):
@@ -286,19 +306,23 @@ class SamSource(DataSource):
         return AlignmentReader(self.options)
 
 
-def read_alignments(spark: SparkSession, paths: list[str], mode: str = "FAILFAST", split_bytes: int = 256 << 20) -> DataFrame:
+def read_alignments(spark: SparkSession, paths: list[str], mode: str = "FAILFAST", split_bytes: int = 32 << 20) -> DataFrame:
     """Records of SAM and BAM files (told apart by content), numbered in file order.
 
     A file of at most ``split_bytes`` is a partition; of a larger one the records of each
     range are counted first, so that ranges are read side by side and numbers have no gaps.
     """
     spark.dataSource.register(SamSource)
-    parts = []
+    sizes = []
     for path in paths:
         unsupported_cram(path)
         system, name = open_uri(path)
-        size = system.get_file_info(name).size or 0
-        parts += [[path, 0, 0, -1, 0]] if size <= split_bytes else _ranges(spark, path, size, split_bytes)
+        sizes.append((path, system.get_file_info(name).size or 0))
+    large = list(dict.fromkeys(x for x in sizes if x[1] > split_bytes))
+    ranged: dict[str, list] = {}
+    for part in _ranges(spark, large, split_bytes) if large else []:
+        ranged.setdefault(part[0], []).append(part)
+    parts = [part for path in paths for part in ranged.get(path, [[path, 0, 0, -1, 0]])]
     return spark.read.format("alignments").option("parts", json.dumps(parts)).option("mode", mode).load()
 
 
@@ -361,18 +385,6 @@ def read_groups(headers: DataFrame) -> DataFrame:
 
 # Writing
 
-def _bgzf(data: bytes, level: int = 5) -> bytes:
-    """One or more BGZF blocks of ``data``."""
-    out = []
-    for at in range(0, len(data), 0xFF00):
-        raw = data[at : at + 0xFF00]
-        z = zlib.compressobj(level, zlib.DEFLATED, -15)
-        body = z.compress(raw) + z.flush()
-        head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25)
-        out.append(head + body + struct.pack("<II", zlib.crc32(raw), len(raw)))
-    return b"".join(out)
-
-
 def _bin(start: int, end: int) -> int:
     """The smallest index bin that holds the 0-based half-open interval."""
     end -= 1
@@ -382,10 +394,9 @@ def _bin(start: int, end: int) -> int:
     return 0
 
 
-def _pack_tags(tags: dict) -> bytes:
+def _pack_tags(tags: list[tuple[str, str, str]]) -> bytes:
     out = b""
-    for name, t in tags.items():
-        kind, value = t["type"], t["value"]
+    for name, kind, value in tags:
         out += name.encode()
         if kind in "ZH":
             out += kind.encode() + value.encode() + b"\0"
@@ -400,31 +411,54 @@ def _pack_tags(tags: dict) -> bytes:
     return out
 
 
-def _pack(r, index: dict[str, int]) -> bytes:
-    ops = []
-    number = ""
-    for c in "" if r.cigar == "*" else r.cigar:
+@lru_cache(4096)
+def _pack_cigar(cigar: str) -> tuple[bytes, int, int]:
+    """The packed operations, their number, and how far they reach on the reference."""
+    ops, number = [], ""
+    for c in "" if cigar == "*" else cigar:
         if c.isdigit():
             number += c
         else:
             ops.append(int(number) << 4 | _OPS.index(c))
             number = ""
-    seq = "" if r.seq == "*" else r.seq
-    span = sum(o >> 4 for o in ops if _OPS[o & 15] in "MDN=X") or 1
-    codes = [_BASES.index(b) for b in seq.upper()] + [0] * (len(seq) % 2)
-    packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2))
-    qual = b"\xff" * len(seq) if r.qual == "*" else bytes(ord(q) - 33 for q in r.qual)
-    ref = index.get(r.rname, -1)
-    mate = ref if r.rnext == "=" else index.get(r.rnext, -1)
-    name = r.qname.encode() + b"\0"
-    body = struct.pack("<iiBBHHHiiii", ref, r.pos - 1, len(name), r.mapq, _bin(max(r.pos - 1, 0), max(r.pos - 1, 0) + span), len(ops), r.flag, len(seq), mate, r.pnext - 1, r.tlen)
-    body += name + struct.pack(f"<{len(ops)}I", *ops) + packed + qual + _pack_tags(r.tags or {})
+    return struct.pack(f"<{len(ops)}I", *ops), len(ops), sum(o >> 4 for o in ops if _OPS[o & 15] in "MDN=X") or 1
+
+
+def _pack(qname, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, tags, index: dict[str, int]) -> bytes:
+    ops, n_ops, span = _pack_cigar(cigar)
+    bases = b"" if seq == "*" else seq.encode()
+    packed = unhexlify(bases.translate(_TO_DIGIT) + b"0" * (len(bases) % 2))
+    scores = b"\xff" * len(bases)
+    if qual != "*":
+        letters = qual.encode("ascii")
+        if letters and min(letters) < 33:
+            raise ValueError(f"a quality of {qname} is below zero")
+        scores = letters.translate(_TO_SCORE)
+    ref = index.get(rname, -1)
+    mate = ref if rnext == "=" else index.get(rnext, -1)
+    name = qname.encode() + b"\0"
+    start = max(pos - 1, 0)
+    body = b"".join((
+        _FIXED.pack(ref, pos - 1, len(name), mapq, _bin(start, start + span), n_ops, flag, len(bases), mate, pnext - 1, tlen), name, ops, packed, scores, _pack_tags(tags),
+    ))
     return struct.pack("<i", len(body)) + body
 
 
-def _line(r) -> bytes:
-    tags = [f"{n}:{t['type']}:{t['value']}" for n, t in (r.tags or {}).items()]
-    return ("\t".join(map(str, [r.qname, r.flag, r.rname, r.pos, r.mapq, r.cigar, r.rnext, r.pnext, r.tlen, r.seq, r.qual, *tags])) + "\n").encode()
+def _line(*fields) -> bytes:
+    *columns, tags, _ = fields
+    return ("\t".join([*map(str, columns), *[":".join(t) for t in tags]]) + "\n").encode()
+
+
+_WRITTEN = "qname flag rname pos mapq cigar rnext pnext tlen seq qual".split()
+
+
+def _tag_lists(tags: pa.MapArray) -> list[list[tuple[str, str, str]]]:
+    """Name, type and value of the tags of each row."""
+    ends = tags.offsets.to_pylist()
+    low, n = ends[0], ends[-1] - ends[0]
+    values = tags.items.slice(low, n)
+    flat = list(zip(tags.keys.slice(low, n).to_pylist(), values.field("type").to_pylist(), values.field("value").to_pylist(), strict=True))
+    return [flat[a - low : b - low] for a, b in zip(ends, ends[1:])]
 
 
 def _write_parts(records: DataFrame, header: str, as_bam: bool, sort: bool, level: int) -> list:
@@ -435,43 +469,15 @@ def _write_parts(records: DataFrame, header: str, as_bam: bool, sort: bool, leve
     if sort and any(kind == "HD" and f.get("SO") == "coordinate" for _, _, kind, f in rows):
         place = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in index.items() for x in (F.lit(k), F.lit(v))]), "rname"), F.lit(1 << 30)) if index else F.lit(1 << 30)
         records, order = records.withColumn("__place", place), ["__place", "pos", "file", "ordinal"]
-    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = records.repartitionByRange(n, "__target", *order).sortWithinPartitions("__target", *order)
-
-    def write(batches):
-        import pandas as pd
-        from pyspark import TaskContext
 
-        target = out = part = None
-        held: list[bytes] = []
+    def encode(batch: pa.RecordBatch) -> bytes:
+        rows = zip(*[batch.column(c).to_pylist() for c in _WRITTEN], _tag_lists(batch.column("tags")), strict=True)
+        if not as_bam:
+            return b"".join(_line(*r, index) for r in rows)
+        return bgzf.packed(b"".join(_pack(*r, index) for r in rows), level)
 
-        def flush() -> None:
-            raw = b"".join(held)
-            out.write(_bgzf(raw, level) if as_bam else raw)
-            held.clear()
-
-        def done() -> pd.DataFrame:
-            flush()
-            out.close()
-            return pd.DataFrame({"target": [target], "at": [TaskContext.get().partitionId()], "part": [part]})
-
-        for batch in batches:
-            for r in batch.rename(columns={"__target": "target"}).itertuples(index=False):
-                if r.target != target:
-                    if out is not None:
-                        yield done()
-                    target = r.target
-                    system, place = open_uri(target)
-                    system.create_dir(place.rpartition("/")[0] or ".", recursive=True)
-                    part = f"{target}.{uuid.uuid4().hex}.part"
-                    out = system.open_output_stream(open_uri(part)[1])
-                held.append(_pack(r, index) if as_bam else _line(r))
-                if len(held) >= 2000:
-                    flush()
-        if out is not None:
-            yield done()
-
-    return ranged.mapInPandas(write, "target string, at int, part string").collect()  # a row a task and target
+    held = dict.fromkeys(["__target", *order, *_WRITTEN, "tags"])
+    return write_parts(records.select(*held), order, encode)
 
 
 def _file_start(header: str, as_bam: bool, level: int) -> bytes:
@@ -480,45 +486,11 @@ def _file_start(header: str, as_bam: bool, level: int) -> bytes:
         return text
     sq = [f for _, _, kind, f in parse_header("", header) if kind == "SQ"]
     names = b"".join(struct.pack("<i", len(f["SN"].encode()) + 1) + f["SN"].encode() + b"\0" + struct.pack("<i", int(f["LN"])) for f in sq)
-    return _bgzf(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(sq)) + names, level)
-
-
-def _join_parts(target: str, parts: list[str], start: bytes, as_bam: bool) -> None:
-    """One file of a start and the bytes of its parts, under its name when whole."""
-    system, place = open_uri(target)
-    whole = f"{place}.{uuid.uuid4().hex}"
-    with system.open_output_stream(whole) as out:
-        out.write(start)
-        for part in parts:
-            with system.open_input_stream(open_uri(part)[1], compression=None) as f:
-                while raw := f.read(1 << 20):
-                    out.write(raw)
-        if as_bam:
-            out.write(_EOF_BLOCK)
-    system.move(whole, place)
-
-
-def _assemble(spark: SparkSession, parts: list, header: str, as_bam: bool, level: int) -> list[str]:
-    """Join the parts of each target in a task of its own; the targets."""
-    start = _file_start(header, as_bam, level)
-    held: dict[str, list[str]] = {}
-    for row in sorted(parts, key=lambda r: (r.target, r["at"])):
-        held.setdefault(row.target, []).append(row.part)
-    if not held:
-        return []
-    rows = spark.createDataFrame(list(held.items()), "target string, parts array<string>").repartition(min(len(held), 10_000))
-
-    def join(batches):
-        for batch in batches:
-            for target, own in zip(batch["target"], batch["parts"], strict=True):
-                _join_parts(target, list(own), start, as_bam)
-            yield batch[["target"]]
+    return bgzf.packed(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(sq)) + names, level)
+
 
-    done = sorted(r.target for r in rows.mapInPandas(join, "target string").collect())
-    for row in parts:  # a lost task may have needed them again
-        system, place = open_uri(row.part)
-        system.delete_file(place)
-    return done
+def _end(as_bam: bool) -> bytes:
+    return bgzf.EOF_BLOCK if as_bam else b""
 
 
 def write_alignments(records: DataFrame, header: str, path: str, bam: bool | None = None, sort: bool = True, level: int = 5) -> str:
@@ -530,8 +502,9 @@ def write_alignments(records: DataFrame, header: str, path: str, bam: bool | Non
     unsupported_cram(path)
     as_bam = is_bam_name(path) if bam is None else bam
     parts = _write_parts(records.withColumn("__target", F.lit(path)), header, as_bam, sort, level)
-    if not _assemble(records.sparkSession, parts, header, as_bam, level):
-        _join_parts(path, [], _file_start(header, as_bam, level), as_bam)
+    start = _file_start(header, as_bam, level)
+    if not assemble(records.sparkSession, parts, start, _end(as_bam)):
+        join_parts(path, [], start, _end(as_bam))
     return path
 
 
@@ -542,4 +515,4 @@ def write_by_key(selected: DataFrame, header: str, folder: str, bam: bool = Fals
     """
     target = F.concat(F.lit(folder.rstrip("/") + "/"), F.col("file_name"), F.lit(".bam" if bam else ".sam"))
     parts = _write_parts(selected.withColumn("__target", target), header, bam, sort, level)
-    return _assemble(selected.sparkSession, parts, header, bam, level)
+    return assemble(selected.sparkSession, parts, _file_start(header, bam, level), _end(bam))

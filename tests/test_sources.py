@@ -1,6 +1,7 @@
 """Files written and read back."""
 
 import gzip
+import io
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from strandloom import cli
 from strandloom.operators import screening
 from strandloom.plans import queries, views
-from strandloom.sources import fastq, parts, sam, text
+from strandloom.sources import bgzf, fastq, parts, sam, text
 from strandloom.streaming.counts import stream_counts, write_counts
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +43,18 @@ def test_lines_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
     assert sizes[0] > 1 and [x.name for x in tmp_path.iterdir()] == ["lines"]
 
 
+def test_bam_pieces_as_before():
+    tags = [("NM", "i", "3"), ("XB", "B", "s,1,-2"), ("XF", "f", "0.5"), ("XA", "A", "c"), ("XD", "Z", "AC_GT")]
+    row = ("n1", 16, "chr2", 7, 30, "2S3M1D2M", "=", 9, -4, "ACGTNAC", "!I~5A?J", tags)
+    (raw,) = bgzf.BlockReader(io.BytesIO(bgzf.packed(sam._pack(*row, {"chr1": 0, "chr2": 1})))).records()
+    assert sam._bam_record(raw, ["chr1", "chr2"]) == (*row[:11], {k: (t, v) for k, t, v in tags})
+    for seq, qual in (("AXA", "III"), ("ACA", "I I")):
+        with pytest.raises(ValueError):
+            sam._pack("n", 0, "chr1", 1, 0, "3M", "*", 0, 0, seq, qual, [], {})
+    held = sam._tag_array(({"A": ("Z", "x"), "B": ("i", "1")}, None, {}))
+    assert held.to_pylist() == [[("A", {"type": "Z", "value": "x"}), ("B", {"type": "i", "value": "1"})], None, []] and sam._tag_lists(held.slice(2)) == [[]]
+
+
 def test_striped_output(spark, tmp_path):
     rows = spark.createDataFrame([(1 + i % 3, "L", i, f"@h{i}", "ACGT", "IIII") for i in range(7)], "stripe int, lane_id string, ordinal long, header string, seq string, qual string")
     paths = fastq.write_striped(rows, f"{tmp_path}/out")
