@@ -9,7 +9,7 @@ from ..functions.keys import parse_key
 from ..functions.reads import make_read, same_keys, same_merged, same_reads
 from ..operators import alignments as al, barcodes as bc, counts, screening
 from ..sources import fastq, sam, text
-from ..sources.places import new_folder
+from ..sources.places import new_folder, written
 from . import views
 from .queries import _ALN, _COUNTS, _FLAT, _KEYED, _MERGED, RC, READS, _counter, _dictionaries, _oligo_hit, _reference, _screened, _sets, al_view, query
 from .views import duck, view
@@ -22,12 +22,12 @@ _PAIRS = duck(views.PAIRS)
 
 def _fastq_pairs(s: SparkSession, d: str) -> DataFrame:
     """The pairs written as four gzip files a lane and read back; lane L3 lacks the later half of its second reads."""
-    pairs, root = view(s, d, views.PAIRS), new_folder(s, "fastq")
+    pairs, root = written(view(s, d, views.PAIRS), "pairs"), new_folder(s, "fastq")
     half = pairs.agg(F.max("ordinal") / 2).first()[0] or 0
     for read in ("r1", "r2", "i1", "i2"):
         own = pairs if read != "r2" else pairs.where((F.col("lane_id") != "L3") | (F.col("ordinal") <= half))
         stripe = F.substring("lane_id", 2, 1).cast("int") + 1
-        fastq.write_striped(own.select(stripe.alias("stripe"), "lane_id", "ordinal", *[F.col(f"{read}_{c}").alias(c) for c in ("header", "seq", "qual")]), f"{root}/{read}")
+        fastq.write_striped(own.select(stripe.alias("stripe"), "lane_id", "ordinal", *[F.col(f"{read}_{c}").alias(c) for c in ("header", "seq", "qual")]), f"{root}/{read}", is_table=True)
     return fastq.read_pairs(s, {f"L{k}": [f"{root}/{r}_{k + 1:03d}.fastq.gz" for r in ("r1", "r2", "i1", "i2")] for k in range(4)})
 
 

@@ -1,38 +1,39 @@
 """FASTQ read pairs as a Python data source, and the striped gzip writer.
 
 The two to four files of a lane are read in lockstep in one partition, so pairing
-costs no shuffle and keeps the file order; gzip cannot be split anyway. Lanes are
-the unit of parallelism.
+costs no shuffle and keeps the file order. Plain gzip cannot be split: such lanes are
+one partition each. Large files of BGZF blocks, which is gzip too (what is written here,
+and by most sequencers' software), are read in ranges of records, whose lines are counted first.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
-import os
-import uuid
+import json
 from collections.abc import Iterator
 from itertools import islice
 
-from pyarrow import RecordBatch, array, schema as arrow_schema, string, int64, fs
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import RecordBatch, array, schema as arrow_schema, string, int64
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import bgzf
+from .parts import assemble, open_uri, write_parts
+
 READS = ("r1", "r2", "i1", "i2")
 SCHEMA = "lane_id string, ordinal bigint, " + ", ".join(f"{r}_{c} string" for r in READS for c in ("header", "seq", "qual"))
 _BATCH = 4096
 
 
-def open_uri(uri: str) -> tuple[fs.FileSystem, str]:
-    """A file system and path for a plain path or URI."""
-    if uri.startswith("file:"):
-        uri = "/" + uri[5:].lstrip("/")
-    return (fs.LocalFileSystem(), uri) if "://" not in uri else fs.FileSystem.from_uri(uri)
-
-
-def open_gzip(uri: str) -> io.TextIOBase:
+def open_gzip(uri: str, start: int = 0) -> io.TextIOBase:
+    """The lines of a gzip file, from the member that begins at ``start`` on."""
     system, path = open_uri(uri)
-    return io.TextIOWrapper(gzip.GzipFile(fileobj=system.open_input_stream(path, compression=None)), encoding="ascii", newline="\n")
+    held = system.open_input_file(path) if start else system.open_input_stream(path, compression=None)
+    if start:
+        held.seek(start)
+    return io.TextIOWrapper(gzip.GzipFile(fileobj=held), encoding="ascii", newline="\n")
 
 
 def records(lines: Iterator[str], name: str = "") -> Iterator[tuple[str, str, str]]:
@@ -46,41 +47,68 @@ def records(lines: Iterator[str], name: str = "") -> Iterator[tuple[str, str, st
         yield header, seq, qual
 
 
+def _clean(lines: list[str]) -> tuple[list[str], list[str], list[str]] | None:
+    """Headers, sequences and qualities of whole records; None if anything is odd."""
+    lines = [x.rstrip("\r\n") for x in lines]
+    header, seq, plus, qual = (lines[k::4] for k in range(4))
+    if len(lines) % 4 or {x[:1] for x in header} - {"@"} or {x[:1] for x in plus} - {"+"} or list(map(len, seq)) != list(map(len, qual)) or "".join(seq).strip("ACGTNacgtn"):
+        return None
+    return header, seq, qual
+
+
 class _Lane(InputPartition):
-    def __init__(self, lane_id: str, paths: list[str], strict: bool):
-        self.lane_id, self.paths, self.strict = lane_id, paths, strict
+    """``n`` pairs of a lane from the one of number ``ordinal`` on, all if negative; each file from a block on, some lines behind it."""
+
+    def __init__(self, lane_id: str, paths: list[str], strict: bool, ordinal: int = 0, n: int = -1, places: list[tuple[int, int]] | None = None):
+        self.lane_id, self.paths, self.strict, self.ordinal, self.n = lane_id, paths, strict, ordinal, n
+        self.places = places or [(0, 0)] * len(paths)
 
 
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.lanes = [lane.split("|") for lane in options["lanes"].split(";") if lane]
+        self.lanes = json.loads(options["lanes"])
         self.strict = options.get("strict_lengths", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [_Lane(lane[0], lane[1:], self.strict) for lane in self.lanes]
+        return [_Lane(lane, paths, self.strict, *part) for lane, paths, *part in self.lanes]
 
     def read(self, lane: _Lane) -> Iterator[RecordBatch]:
         names = [n for n in SCHEMA.replace(" string", "").replace(" bigint", "").split(", ")]
         kinds = arrow_schema([(n, int64() if n == "ordinal" else string()) for n in names])
-        files = [open_gzip(p) for p in lane.paths]
+        files = [open_gzip(p, start) for p, (start, _) in zip(lane.paths, lane.places, strict=True)]
         try:
-            # The shortest file ends the lane; strict lanes must be of one length.
-            rows = zip(*(records(f, p) for f, p in zip(files, lane.paths, strict=True)), strict=lane.strict)
-            at = 0
-            while chunk := list(islice(rows, _BATCH)):
-                columns = [array([lane.lane_id] * len(chunk)), array(range(at, at + len(chunk)), int64())]
-                for k in range(len(READS)):
-                    for c in range(3):
-                        columns.append(array([x[k][c] for x in chunk] if k < len(files) else [None] * len(chunk), string()))
-                at += len(chunk)
-                yield RecordBatch.from_arrays(columns, schema=kinds)
+            for f, (_, skipped) in zip(files, lane.places, strict=True):
+                next(islice(f, skipped, skipped), None)
+            at, left = lane.ordinal, lane.n
+            while n := _BATCH if left < 0 else min(left, _BATCH):
+                held = self._next(files, lane, n)
+                m = len(held[0][0])
+                if m:
+                    columns = [array([lane.lane_id] * m), array(range(at, at + m), int64())]
+                    for k in range(len(READS)):
+                        columns += [array(c, string()) for c in (held[k] if k < len(files) else [[None] * m] * 3)]
+                    yield RecordBatch.from_arrays(columns, schema=kinds)
+                if m < n:
+                    break
+                at, left = at + m, left - m if left > 0 else left
         finally:
             for f in files:
                 f.close()
 
+    def _next(self, files: list, lane: _Lane, n: int) -> list[tuple]:
+        """The next ``n`` records of each file, fewer at the end; columns by file."""
+        lines = [list(islice(f, 4 * n)) for f in files]
+        held = [_clean(x) for x in lines]
+        # The shortest file ends the lane; strict lanes must be of one length.
+        if None not in held and (len({len(x[0]) for x in held}) == 1 or not lane.strict):
+            m = min(len(x[0]) for x in held)
+            return [tuple(c[:m] for c in x) for x in held]
+        rows = list(zip(*(records(iter(x), p) for x, p in zip(lines, lane.paths, strict=True)), strict=lane.strict))
+        return [tuple([x[k][c] for x in rows] for c in range(3)) for k in range(len(files))]
+
 
 class FastqSource(DataSource):
-    """``format("fastq_pairs")``; option ``lanes``: ``id|r1|r2[|i1|i2];...``, ``strict_lengths``."""
+    """``format("fastq_pairs")``; options ``lanes`` (as ``read_pairs`` finds them) and ``strict_lengths``."""
 
     @classmethod
     def name(cls) -> str:
@@ -93,46 +121,105 @@ class FastqSource(DataSource):
         return FastqReader(self.options)
 
 
-def read_pairs(spark: SparkSession, lanes: dict[str, list[str]], strict_lengths: bool = False) -> DataFrame:
-    """Read pairs of ``{lane_id: [r1, r2(, i1, i2)]}``; gzip only."""
-    for files in lanes.values():
+def _line_places(f, low: int, high: int, step: int) -> list[tuple[int, int, int, bool, bool]]:
+    """The blocks from ``low`` and before ``high`` in stretches: where each begins and ends, its lines, if blank lines make it odd, if its last line is whole."""
+    start = bgzf.find_block(f, low)
+    if start is None or start >= high:
+        return []
+    reader, found = bgzf.BlockReader(f, (start, 0)), []
+    place = reader.place()
+    while place < (high, 0):
+        begin, limit, n, odd, seen = place[0], (min(high, place[0] + step), 0), 0, False, b""
+        while place < limit:
+            n += reader.block.count(b"\n")
+            edge = seen + reader.block
+            odd |= b"\n\n\n" in edge or not seen and edge.startswith(b"\n\n")
+            seen, reader.at = edge[-2:], len(reader.block)
+            place = reader.place()
+        found.append((begin, place[0], n, odd or seen == b"\n\n", seen.endswith(b"\n")))
+    return found
+
+
+def _by_records(lane: str, paths: list[str], found: list[list[tuple]], n_parts: int, strict: bool) -> list[list]:
+    """Partitions of equally many pairs if the stretches of each file meet and hold whole records, else the lane as one."""
+    whole, totals = [[lane, paths]], []
+    for own in found:
+        met = own and own[0][0] == 0 and all(a[1] == b[0] for a, b in zip(own, own[1:])) and own[-1][1] == bgzf.END[0] and own[-1][4] and not any(x[3] for x in own)
+        totals.append(sum(x[2] for x in own))
+        if not met or totals[-1] % 4:
+            return whole
+    if strict and len(set(totals)) > 1:
+        return whole
+    n, parts = min(totals) // 4, []
+    bounds = [n * i // n_parts for i in range(n_parts + 1)]
+    held = [iter(x) for x in found]
+    now = [[next(x), 0] for x in held]  # the stretch of each file that holds the line, and the lines before it
+    for low, high in zip(bounds, bounds[1:]):
+        for k, own in enumerate(held):
+            while low < high and now[k][1] + now[k][0][2] <= 4 * low:
+                now[k] = [next(own), now[k][1] + now[k][0][2]]
+        if low < high:
+            parts.append([lane, paths, low, high - low, [(x[0], 4 * low - before) for x, before in now]])
+    return parts or whole
+
+
+def _ranges(spark: SparkSession, lanes: dict[str, list[str]], sizes: dict[str, int], split_bytes: int, strict: bool) -> dict[str, list[list]]:
+    """The partitions of large lanes; the lines of all their files are counted in one job."""
+    rows = [(p, low, min(sizes[p], low + split_bytes)) for p in dict.fromkeys(p for own in lanes.values() for p in own) for low in range(0, sizes[p], split_bytes)]
+
+    def scan(batches):
+        for batch in batches:
+            for path, low, high in zip(*(batch.column(c).to_pylist() for c in ("path", "low", "high")), strict=True):
+                system, name = open_uri(path)
+                with system.open_input_file(name) as f:
+                    found = [(path, low, *x) for x in _line_places(f, low, high, max(split_bytes // 8, 1))]
+                if found:
+                    yield RecordBatch.from_arrays([array(c) for c in zip(*found, strict=True)], ["path", "low", "begin", "until", "n", "odd", "whole"])
+
+    ranges = spark.createDataFrame(rows, "path string, low long, high long").repartition(len(rows))
+    found: dict[str, list] = {p: [] for p in sizes}
+    for path, _, *own in sorted(map(tuple, ranges.mapInArrow(scan, "path string, low long, begin long, until long, n long, odd boolean, whole boolean").collect())):  # a row a stretch
+        found[path].append(tuple(own))
+    return {lane: _by_records(lane, paths, [found[p] for p in paths], -(-sum(sizes[p] for p in paths) // split_bytes), strict) for lane, paths in lanes.items()}
+
+
+def read_pairs(spark: SparkSession, lanes: dict[str, list[str]], strict_lengths: bool = False, split_bytes: int = 32 << 20) -> DataFrame:
+    """Read pairs of ``{lane_id: [r1, r2(, i1, i2)]}``; gzip only.
+
+    A lane is a partition; if its files have more than ``split_bytes`` together and all are
+    of BGZF blocks, it is several.
+    """
+    sizes, large = {}, {}
+    for lane, files in lanes.items():
         if len(files) not in (2, 4):
             raise ValueError("a lane has two or four files")
+        blocks = True
+        for path in files:
+            system, name = open_uri(path)
+            sizes[path] = system.get_file_info(name).size or 0
+            if sizes[path]:
+                with system.open_input_stream(name, compression=None) as f:
+                    blocks &= bgzf.block_size(f.read(64)) is not None
+        if blocks and sum(sizes[p] for p in files) > split_bytes:
+            large[lane] = files
     spark.dataSource.register(FastqSource)
-    spec = ";".join("|".join([lane, *files]) for lane, files in lanes.items())
-    return spark.read.format("fastq_pairs").option("lanes", spec).option("strict_lengths", str(strict_lengths)).load()
+    ranged = _ranges(spark, large, sizes, split_bytes, strict_lengths) if large else {}
+    parts = [part for lane, files in lanes.items() for part in ranged.get(lane, [[lane, files]])]
+    return spark.read.format("fastq_pairs").option("lanes", json.dumps(parts)).option("strict_lengths", str(strict_lengths)).load()
 
 
-def write_striped(reads: DataFrame, root: str) -> list[str]:
+def write_striped(reads: DataFrame, root: str, level: int = 5, is_table: bool = False) -> list[str]:
     """Write ``stripe, lane_id, ordinal, header, seq, qual`` as ``root_001.fastq.gz`` and so on.
 
-    A stripe is one task, written under a name of its own and moved when whole.
+    All tasks write parts of BGZF blocks (which is gzip); one more a stripe joins their bytes.
+    ``is_table``: the reads are cheap to read twice.
     """
-    name = os.path.basename(root)
-
-    def write(batches):
-        import pandas as pd
+    target = F.concat(F.lit(f"{root}_"), F.lpad(F.col("stripe").cast("string"), 3, "0"), F.lit(".fastq.gz"))
+    wide = F.when(F.col("stripe") > 999, F.concat(F.lit(f"{root}_"), F.col("stripe").cast("string"), F.lit(".fastq.gz"))).otherwise(target)
 
-        stripe, out, system = None, None, None
+    def encode(batch: pa.RecordBatch) -> bytes:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("header", "seq", "qual")), strict=True)
+        return bgzf.packed("".join([f"{h}\n{s}\n+\n{q}\n" for h, s, q in rows]).encode("ascii"), level)
 
-        def done():
-            out.close()
-            system.move(part, path)
-            return pd.DataFrame({"path": [path]})
-
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                if row.stripe != stripe:
-                    if out is not None:
-                        yield done()
-                    stripe = row.stripe
-                    system, path = open_uri(f"{root}_{stripe:03d}.fastq.gz")
-                    system.create_dir(path.rpartition("/")[0] or ".", recursive=True)
-                    part = f"{path}.{uuid.uuid4().hex}.part"
-                    out = io.TextIOWrapper(gzip.GzipFile(fileobj=system.open_output_stream(part), mode="wb", mtime=0, filename=name), encoding="ascii")
-                out.write(f"{row.header}\n{row.seq}\n+\n{row.qual}\n")
-        if out is not None:
-            yield done()
-
-    dealt = reads.repartition("stripe").sortWithinPartitions("stripe", "lane_id", "ordinal")
-    return sorted(r.path for r in dealt.mapInPandas(write, "path string").collect())
+    dealt = reads.select(wide.alias("__target"), "lane_id", "ordinal", "header", "seq", "qual")
+    return assemble(reads.sparkSession, write_parts(dealt, ["lane_id", "ordinal"], encode, is_table), end=bgzf.EOF_BLOCK)

@@ -43,6 +43,15 @@ def test_lines_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
     assert sizes[0] > 1 and [x.name for x in tmp_path.iterdir()] == ["lines"]
 
 
+def test_a_stripe_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(fastq, "assemble", lambda s, found, end: sizes.append(len(found)) or parts.assemble(s, found, end=end))
+    rows = spark.range(1000).select(F.lit(1).alias("stripe"), F.lit("L").alias("lane_id"), F.col("id").alias("ordinal"), F.concat(F.lit("@"), "id").alias("header"), F.lit("A").alias("seq"), F.lit("I").alias("qual"))
+    (path,) = fastq.write_striped(rows, f"{tmp_path}/out")
+    assert gzip.open(path, "rt").read() == "".join(f"@{i}\nA\n+\nI\n" for i in range(1000))
+    assert sizes[0] > 1 and len(list(tmp_path.iterdir())) == 1
+
+
 def test_bam_pieces_as_before():
     tags = [("NM", "i", "3"), ("XB", "B", "s,1,-2"), ("XF", "f", "0.5"), ("XA", "A", "c"), ("XD", "Z", "AC_GT")]
     row = ("n1", 16, "chr2", 7, 30, "2S3M1D2M", "=", 9, -4, "ACGTNAC", "!I~5A?J", tags)
