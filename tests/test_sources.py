@@ -35,6 +35,27 @@ def test_fastq_lanes_are_read_in_lockstep(spark, tmp_path):
         fastq.read_pairs(spark, {"a": [f"{tmp_path}/bad.gz"] * 2}).collect()
 
 
+def test_large_lanes_are_read_in_ranges(spark, tmp_path):
+    rows = spark.range(9000).select(F.lit(1).alias("stripe"), F.lit("L").alias("lane_id"), F.col("id").alias("ordinal"), F.concat(F.lit("@h"), "id").alias("header"), F.repeat(F.lit("ACGT"), F.col("id").cast("int") % 20).alias("seq"))
+    rows = rows.withColumn("qual", F.translate("seq", "ACGT", "IIII"))
+    for name, n in (("r1", 9000), ("r2", 8000)):
+        fastq.write_striped(rows.where(F.col("ordinal") < n), f"{tmp_path}/{name}")
+    lanes = {"a": [f"{tmp_path}/r1_001.fastq.gz", f"{tmp_path}/r2_001.fastq.gz"]}
+    whole, ranged = fastq.read_pairs(spark, lanes), fastq.read_pairs(spark, lanes, split_bytes=40_000)
+    assert whole.rdd.getNumPartitions() == 1 and ranged.rdd.getNumPartitions() > 1
+    assert whole.count() == ranged.count() == 8000 and whole.exceptAll(ranged).isEmpty()
+    assert ranged.where("r1_header <> r2_header OR r1_header <> concat('@h', ordinal)").isEmpty()
+    with pytest.raises(Exception, match="zip"):
+        fastq.read_pairs(spark, lanes, strict_lengths=True, split_bytes=40_000).collect()
+    # Blank lines end a lane, which ranges don't tell; plain gzip has no blocks.
+    text = gzip.open(lanes["a"][0], "rb").read()
+    (tmp_path / "odd.gz").write_bytes(bgzf.packed(text + b"\n" * 4 + text))
+    odd = fastq.read_pairs(spark, {"a": [f"{tmp_path}/odd.gz"] * 2}, split_bytes=40_000)
+    write_fastq(tmp_path / "plain.gz", [("@x", "AC", "II")])
+    plain = fastq.read_pairs(spark, {"a": [f"{tmp_path}/plain.gz"] * 2}, split_bytes=1)
+    assert (odd.count(), plain.count()) == (9000, 1) and odd.rdd.getNumPartitions() == plain.rdd.getNumPartitions() == 1
+
+
 def test_lines_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
     sizes = []
     monkeypatch.setattr(text, "assemble", lambda s, found: sizes.append(len(found)) or parts.assemble(s, found))
