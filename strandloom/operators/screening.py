@@ -14,19 +14,25 @@ from .counts import count_labels
 from .sizes import sized
 
 
+def _alike(a: Column, b: Column) -> Column:
+    """Texts that differ in the read number at most, so that only one need be parsed; false says nothing."""
+    bare = lambda x: F.regexp_replace(x, " [0-9]+:", " :")
+    return F.coalesce((a == b) | (~a.contains("/") & (bare(a) == bare(b))), F.lit(False))
+
+
 def check_headers(pairs: DataFrame) -> DataFrame:
     """``pairs`` with ``h1`` parsed; headers that differ in more than the read number raise."""
     others = [c for c in ("r2_header", "i1_header", "i2_header") if c in pairs.columns]
-    parsed = F.struct(*[parse_header(c).alias(c) for c in ("r1_header", *others)])
+    h1 = parse_header("r1_header")
 
     def checked(x: Column) -> Column:
-        same = x["r1_header"].isNotNull()
+        same = x.isNotNull()
         for c in others:
-            same &= F.coalesce(same_but_read(x["r1_header"], x[c]), F.lit(False))
-        return F.when(same, x["r1_header"]).otherwise(F.raise_error(F.lit("headers of a pair differ")))
+            same &= F.when(_alike(F.col("r1_header"), F.col(c)), True).otherwise(F.coalesce(same_but_read(x, parse_header(c)), F.lit(False)))
+        return F.when(same, x).otherwise(F.raise_error(F.lit("headers of a pair differ")))
 
-    kind = pairs.select(parse_header("r1_header").alias("h")).schema["h"].dataType
-    return pairs.withColumn("h1", let(parsed, lambda x: checked(x).cast(kind)))
+    kind = pairs.select(h1.alias("h")).schema["h"].dataType
+    return pairs.withColumn("h1", let(h1, lambda x: checked(x).cast(kind)))
 
 
 def decide_lengths(keyed: DataFrame, sheet: DataFrame | None, prior: DataFrame | None) -> DataFrame:

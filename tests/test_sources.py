@@ -220,3 +220,17 @@ def test_headers_of_a_pair_must_agree(spark):
     pair = spark.createDataFrame([("@I:1:F:1:1:1:1 1:N:0:A", "@I:1:F:1:1:1:2 2:N:0:A")], "r1_header string, r2_header string")
     with pytest.raises(Exception, match="headers of a pair differ"):
         screening.check_headers(pair).collect()
+    # Texts that are alike are not parsed; unlike ones may still be equal headers, or not.
+    assert spark.range(1).select(screening._alike(F.lit("@I:1:F:1:1:1:1 1:N:0:A"), F.lit("@I:1:F:1:1:1:1 2:N:0:A"))).first()[0]
+    one = "@I:1:F:1:1:1:1 1:N:0:A"
+    others = [("@I:1:F:1:1:1:1 2:N:0:A", True), ("I:01:F:1:1:1:1 12:N:0:A", True), ("@I:1:F:1:1:1:1 x:N:0:A ", True), ("@I:1:F:1:1:1:1;k 2:N:0:A", True), ("@I:1:F:1:1:1:1 2:Y:0:A", False), ("2:N:0:A", False), (None, False)]
+    for other, same in others:
+        pair = spark.createDataFrame([(one, other)], "r1_header string, r2_header string")
+        if same:
+            assert screening.check_headers(pair).first().h1.read == 1
+        else:
+            with pytest.raises(Exception, match="headers of a pair differ"):
+                screening.check_headers(pair).collect()
+    short = spark.createDataFrame([("ab 12:3:4:5:6/1 1:", "ab 13:3:4:5:6/1 1:")], "r1_header string, r2_header string")
+    with pytest.raises(Exception, match="headers of a pair differ"):
+        screening.check_headers(short).collect()
