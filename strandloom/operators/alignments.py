@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.cigar import clip_both_ends, is_non_empty, sure_stretches
 from ..functions.dna import is_dna
 from ..functions.keys import flatten_key, parse_key
+from ..sources.places import written
 from .counts import combine, count_labels
 from .sizes import sized
 
@@ -331,27 +332,33 @@ def same_records(a: DataFrame, b: DataFrame, tags_checked: tuple[str, ...] = ())
     return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
 
 
-def verify_merge(check: DataFrame, inputs: DataFrame, check_sequences: DataFrame, input_sequences: DataFrame, tags_checked: tuple[str, ...] = ()) -> DataFrame:
+def verify_merge(check: DataFrame, inputs: DataFrame, check_sequences: DataFrame, input_sequences: DataFrame, tags_checked: tuple[str, ...] = (), stretch: int = 1 << 16) -> DataFrame:
     """One row ``matches, unmatched, disordered``: is ``check`` an interleaving of the ``inputs``?
 
     Both have ``file, ordinal`` (without gaps, as the sources number them); every record of the check file must be one of an input and
     the other way round, and along the check file the records of each input must keep their
     order. The k-th of equal records in the check file stands for the k-th in the inputs, in
     file and record order. Sequence dictionaries (``file, ordinal, name, length``) must agree.
+    The places of the records that met are written once, so no side is computed twice.
     """
     identity = _identity(tags_checked)
     names = ["digest_a", "digest_b"]
     whole = F.to_json(F.struct(*[c.alias(f"f{i}") for i, c in enumerate(identity)]), {"ignoreNullFields": "false"})
     digests = [F.xxhash64(whole).alias(names[0]), F.md5(whole).alias(names[1])]
-    copy = lambda order: F.row_number().over(Window.partitionBy(*names).orderBy(*order))
-    a = check.select(F.col("ordinal").alias("at"), *digests).withColumn("copy", copy(["at"]))
-    b = inputs.select("file", "ordinal", *digests).withColumn("copy", copy(["file", "ordinal"]))
-    met = a.join(b, [*names, "copy"], "full_outer")
-    placed = met.where("at IS NOT NULL AND file IS NOT NULL").select("file", "ordinal", "at")
-    following = placed.select("file", (F.col("ordinal") + 1).alias("ordinal"), F.col("at").alias("before"))
-    both = placed.join(following, ["file", "ordinal"]).select((F.col("before") > F.col("at")).alias("back"))
+    a = check.select(F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("ordinal"), F.col("ordinal").cast("long").alias("at"), *digests)
+    b = inputs.select("file", F.col("ordinal").cast("long").alias("ordinal"), F.lit(None).cast("long").alias("at"), *digests)
+    is_check = F.col("at").isNotNull()
+    copy = F.row_number().over(Window.partitionBy(*names, "side").orderBy("at", "file", "ordinal"))
+    both = a.unionByName(b).withColumn("side", is_check).repartition(*names).withColumn("copy", copy)
+    met = both.groupBy(*names, "copy").agg(F.max("file").alias("file"), F.max("ordinal").alias("ordinal"), F.max("at").alias("at"))
+    met = written(met.select("file", "ordinal", "at"), "merge")
+    # Each stretch of a file with the last record before it, which is compared with none itself.
+    placed = met.where("at IS NOT NULL AND file IS NOT NULL").withColumn("stretch", F.floor(F.col("ordinal") / stretch))
+    stretches = placed.unionByName(placed.where((F.col("ordinal") + 1) % stretch == 0).withColumn("stretch", F.col("stretch") + 1))
+    before = Window.partitionBy("file", "stretch").orderBy("ordinal")
+    back = (F.lag("ordinal").over(before) + 1 == F.col("ordinal")) & (F.lag("at").over(before) > F.col("at"))
     lost = met.agg(F.sum((F.col("at").isNull() | F.col("file").isNull()).cast("long")).alias("unmatched"))
-    turned = both.agg(F.sum(F.coalesce(F.col("back"), F.lit(False)).cast("long")).alias("disordered"))
+    turned = stretches.select(back.alias("back")).agg(F.sum(F.coalesce(F.col("back"), F.lit(False)).cast("long")).alias("disordered"))
     dictionary = lambda d: d.groupBy("file").agg(F.to_json(F.array_sort(F.collect_list(F.struct("ordinal", "name", "length")))).alias("d"))
     kinds = dictionary(check_sequences).unionByName(dictionary(input_sequences)).agg(F.countDistinct("d").alias("kinds"))
     out = lost.crossJoin(turned).crossJoin(kinds)  # three tables of one row

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom import cli
-from strandloom.operators import screening
+from strandloom.operators import alignments as al, screening
 from strandloom.plans import queries, views
 from strandloom.sources import bgzf, fastq, parts, sam, text
 from strandloom.streaming.counts import stream_counts, write_counts
@@ -234,3 +234,13 @@ def test_headers_of_a_pair_must_agree(spark):
     short = spark.createDataFrame([("ab 12:3:4:5:6/1 1:", "ab 13:3:4:5:6/1 1:")], "r1_header string, r2_header string")
     with pytest.raises(Exception, match="headers of a pair differ"):
         screening.check_headers(short).collect()
+
+
+def test_merge_order_over_stretches(spark):
+    rows = views.alignments(spark, SF).cache()
+    sequences = spark.createDataFrame([], "file string, ordinal int, name string, length int")
+    # Each input turned round: of n records n - 1 lie behind the one after them, wherever a stretch ends.
+    turned = rows.withColumn("ordinal", -F.col("ordinal") * 3 + F.substring("file", 3, 1).cast("long")).withColumn("file", F.lit("out.bam"))
+    for stretch in (1, 7, 1 << 16):
+        got = al.verify_merge(turned, rows, sequences, sequences, stretch=stretch).first()
+        assert (got.matches, got.unmatched, got.disordered) == (False, 0, rows.count() - 3)
