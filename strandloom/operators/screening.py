@@ -52,11 +52,11 @@ def decide_lengths(keyed: DataFrame, sheet: DataFrame | None, prior: DataFrame |
     return out.withColumn("length", F.coalesce("__sheet", "__prior", F.lit(-1))).drop("__sheet", "__prior")
 
 
-def screen_pairs(
+def keyed_pairs(
     pairs: DataFrame, i5: DataFrame, i7: DataFrame, barcodes: DataFrame, prior_lengths: DataFrame | None = None, sheet: DataFrame | None = None,
-    oligo: str | None = None, max_distance: int = 1, reverse_i5: bool = False, params: MergeParams | None = None,
+    max_distance: int = 1, reverse_i5: bool = False,
 ) -> DataFrame:
-    """One row a pair: ``key`` (flattened), ``merged_seq, merged_qual, oligo, read_group`` and the header.
+    """One row a pair: ``key`` (flattened), ``full_key, read_group`` and the header, nothing merged.
 
     Pairs whose labels are given (``i5_label, i7_label``) may have barcodes of any
     length; others only of the length decided for their index pair.
@@ -75,13 +75,21 @@ def screen_pairs(
         chosen = F.when(F.col("length") > 0, F.col("length")).otherwise(0)
         keyed = experiment_keys(decided, i5, i7, barcodes, max_distance, chosen).drop("length")
     keyed = keyed.withColumn("full_key", F.col("key")).withColumn("key", flatten_key("key"))
+    return keyed.withColumn("read_group", F.when(F.col("key").isNotNull(), read_group(F.col("h1"))))
+
+
+def screen_pairs(
+    pairs: DataFrame, i5: DataFrame, i7: DataFrame, barcodes: DataFrame, prior_lengths: DataFrame | None = None, sheet: DataFrame | None = None,
+    oligo: str | None = None, max_distance: int = 1, reverse_i5: bool = False, params: MergeParams | None = None,
+) -> DataFrame:
+    """``keyed_pairs`` with ``merged_seq, merged_qual, oligo``."""
+    keyed = keyed_pairs(pairs, i5, i7, barcodes, prior_lengths, sheet, max_distance, reverse_i5)
     parts = parse_key("key")
     keyed = keyed.withColumns({"__p5": parts["p5"], "__p7": parts["p7"]})
     keyed = label_length(label_length(keyed, "__p5", barcodes, "__n5"), "__p7", barcodes, "__n7")
-    has_key = F.col("key").isNotNull()
-    merged = merge_pairs(keyed, F.col("__n5"), F.col("__n7"), params, has_key)
+    merged = merge_pairs(keyed, F.col("__n5"), F.col("__n7"), params, F.col("key").isNotNull())
     hit = F.lit(False) if oligo is None else is_oligo(F.col("merged_seq"), F.col("merged_qual"), oligo, params)
-    return merged.withColumns({"oligo": hit, "read_group": F.when(has_key, read_group(F.col("h1")))}).drop("__p5", "__p7", "__n5", "__n7")
+    return merged.withColumn("oligo", hit).drop("__p5", "__p7", "__n5", "__n7")
 
 
 def screen_counts(screened: DataFrame) -> DataFrame:
@@ -98,9 +106,9 @@ def screen_counts(screened: DataFrame) -> DataFrame:
     return rows.select("key", "x.label", F.col("label_ordinal") + 1, "x.n").toDF("key", "label", "label_ordinal", "n").where("n > 0")
 
 
-def check_read_groups(screened: DataFrame) -> DataFrame:
+def check_read_groups(keyed: DataFrame) -> DataFrame:
     """One row ``read_group``: of the first keyed pair; raises if keyed pairs have several."""
-    found = screened.where(F.col("key").isNotNull()).agg(F.min_by("read_group", F.struct("lane_id", "ordinal")).alias("read_group"), F.min("read_group").alias("a"), F.max("read_group").alias("b"))
+    found = keyed.where(F.col("key").isNotNull()).agg(F.min_by("read_group", F.struct("lane_id", "ordinal")).alias("read_group"), F.min("read_group").alias("a"), F.max("read_group").alias("b"))
     return found.select(F.when(F.coalesce(F.col("a") == F.col("b"), F.lit(True)), F.coalesce("read_group", F.lit("null"))).otherwise(F.raise_error(F.lit("several read groups")).cast("string")).alias("read_group"))
 
 

@@ -233,12 +233,16 @@ merged AS (
 screened AS (SELECT m.k, {_FLAT.format('m.key')} AS key, m.key AS full_key, filtered, merged_seq, merged_qual FROM m LEFT JOIN merged ON m.k = merged.k)"""
 
 
-def _screened(s, d, oligo=None):
+def _screening(s, d):
     i5, i7, sets = _sets(s, d)
     every = bc.lengths_descending(sets)[0]  # the views' barcodes are of one length
     pairs = i5.select(F.col("label").alias("a")).join(i7.select(F.col("label").alias("b")), F.lit(True))
     prior = pairs.select(F.concat_ws("_", "a", "b", F.lit(""), F.lit("")).alias("key"), F.lit(every).alias("length"))
-    return screening.screen_pairs(view(s, d, views.PAIRS), i5, i7, sets, prior, oligo=oligo)
+    return view(s, d, views.PAIRS), i5, i7, sets, prior
+
+
+def _screened(s, d, oligo=None):
+    return screening.screen_pairs(*_screening(s, d), oligo=oligo)
 
 
 @query("c02_screen_pairs", f"WITH {_MERGED} SELECT k, key, merged_seq, merged_qual FROM screened")
@@ -275,7 +279,7 @@ def _(s, d):
 @query("k05_read_group", f"""WITH {_KEYED} SELECT DISTINCT 'PM:' || substr(string_split(r1_header, ':')[1], 2) || chr(9) || 'PU:' || string_split(r1_header, ':')[3] || '.' || string_split(r1_header, ':')[2] || '.'
   || string_split(r1_header, ':')[4] AS read_group FROM full_keys WHERE key IS NOT NULL""")
 def _(s, d):
-    return screening.check_read_groups(_screened(s, d))
+    return screening.check_read_groups(screening.keyed_pairs(*_screening(s, d)))
 
 
 # Counters

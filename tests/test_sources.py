@@ -236,6 +236,11 @@ def test_headers_of_a_pair_must_agree(spark):
         screening.check_headers(short).collect()
 
 
+def test_read_groups_look_no_lengths_up(spark):
+    plan = lambda name: queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("k05_read_group").count("Join LeftOuter") + 2 == plan("c02_screen_pairs").count("Join LeftOuter")
+
+
 def test_merge_order_over_stretches(spark):
     rows = views.alignments(spark, SF).cache()
     sequences = spark.createDataFrame([], "file string, ordinal int, name string, length int")
