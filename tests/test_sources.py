@@ -73,6 +73,16 @@ def test_a_stripe_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
     assert sizes[0] > 1 and len(list(tmp_path.iterdir())) == 1
 
 
+def test_many_large_files_are_counted_at_once(spark, tmp_path):
+    rows = views.alignments(spark, SF).withColumn("file_name", F.col("rname")).drop("md", "rg", "xd", "ds", "full_key", "nm")
+    paths = sam.write_by_key(rows, HEADER, str(tmp_path), bam=True)
+    spark.sparkContext.setJobGroup("ranges", "")
+    got = sam.read_alignments(spark, paths, split_bytes=3000)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("ranges")
+    spark.sparkContext.setJobGroup("none", "")
+    assert len(paths) == 8 and len(jobs) <= 2 and got.count() == rows.count()
+
+
 def test_bam_pieces_as_before():
     tags = [("NM", "i", "3"), ("XB", "B", "s,1,-2"), ("XF", "f", "0.5"), ("XA", "A", "c"), ("XD", "Z", "AC_GT")]
     row = ("n1", 16, "chr2", 7, 30, "2S3M1D2M", "=", 9, -4, "ACGTNAC", "!I~5A?J", tags)
