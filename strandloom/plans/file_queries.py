@@ -22,13 +22,12 @@ _PAIRS = duck(views.PAIRS)
 
 def _fastq_pairs(s: SparkSession, d: str) -> DataFrame:
     """The pairs written as four gzip files a lane and read back; lane L3 lacks the later half of its second reads."""
-    pairs, root = written(view(s, d, views.PAIRS), "pairs"), new_folder(s, "fastq")
+    pairs, root = written(view(s, d, views.PAIRS, "o_orderkey"), "pairs"), new_folder(s, "fastq")
     half = pairs.agg(F.max("ordinal") / 2).first()[0] or 0
-    for read in ("r1", "r2", "i1", "i2"):
-        own = pairs if read != "r2" else pairs.where((F.col("lane_id") != "L3") | (F.col("ordinal") <= half))
-        stripe = F.substring("lane_id", 2, 1).cast("int") + 1
-        fastq.write_striped(own.select(stripe.alias("stripe"), "lane_id", "ordinal", *[F.col(f"{read}_{c}").alias(c) for c in ("header", "seq", "qual")]), f"{root}/{read}", is_table=True)
-    return fastq.read_pairs(s, {f"L{k}": [f"{root}/{r}_{k + 1:03d}.fastq.gz" for r in ("r1", "r2", "i1", "i2")] for k in range(4)})
+    kept = (F.col("lane_id") != "L3") | (F.col("ordinal") <= half)
+    own = pairs.withColumns({"stripe": F.substring("lane_id", 2, 1).cast("int") + 1, **{f"r2_{c}": F.when(kept, F.col(f"r2_{c}")) for c in ("header", "seq", "qual")}})
+    made = fastq.write_pairs(own, root, is_table=True)
+    return fastq.read_pairs(s, {f"L{k}": paths for k in range(4) if (paths := [f"{root}/{r}_{k + 1:03d}.fastq.gz" for r in fastq.READS])[0] in made})
 
 
 _ZIPPED = f"""(SELECT *, row_number() OVER (PARTITION BY lane_id ORDER BY k) - 1 AS ordinal FROM (SELECT *, ordinal AS k FROM ({_PAIRS})) p

@@ -9,14 +9,15 @@ and by most sequencers' software), are read in ranges of records, whose lines ar
 from __future__ import annotations
 
 import gzip
-import io
 import json
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import RecordBatch, array, schema as arrow_schema, string, int64
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import bgzf
@@ -25,15 +26,43 @@ from .parts import assemble, open_uri, write_parts
 READS = ("r1", "r2", "i1", "i2")
 SCHEMA = "lane_id string, ordinal bigint, " + ", ".join(f"{r}_{c} string" for r in READS for c in ("header", "seq", "qual"))
 _BATCH = 4096
-
-
-def open_gzip(uri: str, start: int = 0) -> io.TextIOBase:
-    """The lines of a gzip file, from the member that begins at ``start`` on."""
-    system, path = open_uri(uri)
-    held = system.open_input_file(path) if start else system.open_input_stream(path, compression=None)
-    if start:
-        held.seek(start)
-    return io.TextIOWrapper(gzip.GzipFile(fileobj=held), encoding="ascii", newline="\n")
+#: Bytes of a file that are unpacked at a time.
+_CHUNK = 1 << 19
+
+
+class Lines:
+    """Whole lines of a gzip file as bytes, from the member that begins at ``start`` on."""
+
+    def __init__(self, uri: str, start: int = 0):
+        system, path = open_uri(uri)
+        held = system.open_input_file(path) if start else system.open_input_stream(path, compression=None)
+        if start:
+            held.seek(start)
+        self.f, self.held = gzip.GzipFile(fileobj=held), b""
+
+    def take(self, n: int) -> bytes:
+        """The next ``n`` lines, fewer at the end."""
+        parts, left = [], n
+        while left:
+            if not self.held and not (raw := self.f.read(_CHUNK)):
+                break
+            raw, self.held = self.held or raw, b""
+            if (m := raw.count(b"\n")) < left:
+                parts.append(raw)
+                left -= m
+                continue
+            ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+            cut = int(ends[left - 1]) + 1
+            parts.append(raw[:cut])
+            self.held, left = raw[cut:], 0
+        return b"".join(parts)
+
+    def skip(self, n: int) -> None:
+        for at in range(0, n, 4 * _BATCH):
+            self.take(min(n - at, 4 * _BATCH))
+
+    def close(self) -> None:
+        self.f.close()
 
 
 def records(lines: Iterator[str], name: str = "") -> Iterator[tuple[str, str, str]]:
@@ -47,13 +76,33 @@ def records(lines: Iterator[str], name: str = "") -> Iterator[tuple[str, str, st
         yield header, seq, qual
 
 
-def _clean(lines: list[str]) -> tuple[list[str], list[str], list[str]] | None:
+def _clean(raw: bytes) -> tuple[pa.Array, pa.Array, pa.Array] | None:
     """Headers, sequences and qualities of whole records; None if anything is odd."""
-    lines = [x.rstrip("\r\n") for x in lines]
-    header, seq, plus, qual = (lines[k::4] for k in range(4))
-    if len(lines) % 4 or {x[:1] for x in header} - {"@"} or {x[:1] for x in plus} - {"+"} or list(map(len, seq)) != list(map(len, qual)) or "".join(seq).strip("ACGTNacgtn"):
+    data = np.frombuffer(raw, np.uint8)
+    stops = np.flatnonzero(data == 10).astype(np.int32)
+    if len(stops) % 4 or not raw.endswith(b"\n") and raw or b"\r" in raw or not raw.isascii():
+        return None
+    starts = np.concatenate([[0], stops[:-1] + 1])[: len(stops)].astype(np.int32)
+    lengths = stops - starts
+    if (data[starts[::4]] != 64).any() or (data[starts[2::4]] != 43).any() or (lengths[1::4] != lengths[3::4]).any():
         return None
-    return header, seq, qual
+    # Texts of lines and their ends by turns, so that they take no copy; columns are every eighth of these.
+    edges = np.append(np.stack([starts, stops], 1).ravel(), np.int32(len(raw)))
+    held = pa.StringArray.from_buffers(2 * len(stops), pa.py_buffer(edges), pa.py_buffer(raw))
+    header, seq, qual = (held.take(array(np.arange(2 * k, 2 * len(stops), 8))) for k in (0, 1, 3))
+    return (header, seq, qual) if not _bytes_of(seq).translate(None, b"ACGTNacgtn") else None
+
+
+def _bytes_of(texts: pa.StringArray) -> bytes:
+    """The texts of an array that begins with its buffers, one after another."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1)
+    return texts.buffers()[2].slice(ends[0], ends[-1] - ends[0]).to_pybytes() if ends[-1] > ends[0] else b""
+
+
+def _split(raw: bytes) -> list[str]:
+    """Lines with their ends."""
+    *whole, last = raw.decode("ascii").split("\n")
+    return [f"{x}\n" for x in whole] + [last] * bool(last)
 
 
 class _Lane(InputPartition):
@@ -75,10 +124,10 @@ class FastqReader(DataSourceReader):
     def read(self, lane: _Lane) -> Iterator[RecordBatch]:
         names = [n for n in SCHEMA.replace(" string", "").replace(" bigint", "").split(", ")]
         kinds = arrow_schema([(n, int64() if n == "ordinal" else string()) for n in names])
-        files = [open_gzip(p, start) for p, (start, _) in zip(lane.paths, lane.places, strict=True)]
+        files = [Lines(p, start) for p, (start, _) in zip(lane.paths, lane.places, strict=True)]
         try:
             for f, (_, skipped) in zip(files, lane.places, strict=True):
-                next(islice(f, skipped, skipped), None)
+                f.skip(skipped)
             at, left = lane.ordinal, lane.n
             while n := _BATCH if left < 0 else min(left, _BATCH):
                 held = self._next(files, lane, n)
@@ -86,7 +135,7 @@ class FastqReader(DataSourceReader):
                 if m:
                     columns = [array([lane.lane_id] * m), array(range(at, at + m), int64())]
                     for k in range(len(READS)):
-                        columns += [array(c, string()) for c in (held[k] if k < len(files) else [[None] * m] * 3)]
+                        columns += held[k] if k < len(files) else [pa.nulls(m, string())] * 3
                     yield RecordBatch.from_arrays(columns, schema=kinds)
                 if m < n:
                     break
@@ -95,16 +144,16 @@ class FastqReader(DataSourceReader):
             for f in files:
                 f.close()
 
-    def _next(self, files: list, lane: _Lane, n: int) -> list[tuple]:
+    def _next(self, files: list[Lines], lane: _Lane, n: int) -> list[tuple]:
         """The next ``n`` records of each file, fewer at the end; columns by file."""
-        lines = [list(islice(f, 4 * n)) for f in files]
-        held = [_clean(x) for x in lines]
+        raws = [f.take(4 * n) for f in files]
+        held = [_clean(x) for x in raws]
         # The shortest file ends the lane; strict lanes must be of one length.
         if None not in held and (len({len(x[0]) for x in held}) == 1 or not lane.strict):
             m = min(len(x[0]) for x in held)
             return [tuple(c[:m] for c in x) for x in held]
-        rows = list(zip(*(records(iter(x), p) for x, p in zip(lines, lane.paths, strict=True)), strict=lane.strict))
-        return [tuple([x[k][c] for x in rows] for c in range(3)) for k in range(len(files))]
+        rows = list(zip(*(records(iter(_split(x)), p) for x, p in zip(raws, lane.paths, strict=True)), strict=lane.strict))
+        return [tuple(array([x[k][c] for x in rows], string()) for c in range(3)) for k in range(len(files))]
 
 
 class FastqSource(DataSource):
@@ -208,18 +257,39 @@ def read_pairs(spark: SparkSession, lanes: dict[str, list[str]], strict_lengths:
     return spark.read.format("fastq_pairs").option("lanes", json.dumps(parts)).option("strict_lengths", str(strict_lengths)).load()
 
 
+def _target(root: str) -> Column:
+    """``root_001.fastq.gz`` and so on, by ``stripe``."""
+    target = F.concat(F.lit(f"{root}_"), F.lpad(F.col("stripe").cast("string"), 3, "0"), F.lit(".fastq.gz"))
+    return F.when(F.col("stripe") > 999, F.concat(F.lit(f"{root}_"), F.col("stripe").cast("string"), F.lit(".fastq.gz"))).otherwise(target)
+
+
+def _encoded(header: pa.Array, seq: pa.Array, qual: pa.Array, level: int) -> bytes:
+    """The records as BGZF blocks; those without a header are left out."""
+    header, seq, qual = (x.filter(header.is_valid()).cast(string()) for x in (header, seq, qual))
+    texts = pc.binary_join_element_wise(header, seq, "+", qual, "", "\n")
+    if texts.null_count or not (raw := _bytes_of(texts)).isascii():
+        raise ValueError("a read to be written has no bases or scores, or letters beyond ASCII")
+    return bgzf.packed(raw, level)
+
+
 def write_striped(reads: DataFrame, root: str, level: int = 5, is_table: bool = False) -> list[str]:
     """Write ``stripe, lane_id, ordinal, header, seq, qual`` as ``root_001.fastq.gz`` and so on.
 
     All tasks write parts of BGZF blocks (which is gzip); one more a stripe joins their bytes.
     ``is_table``: the reads are cheap to read twice.
     """
-    target = F.concat(F.lit(f"{root}_"), F.lpad(F.col("stripe").cast("string"), 3, "0"), F.lit(".fastq.gz"))
-    wide = F.when(F.col("stripe") > 999, F.concat(F.lit(f"{root}_"), F.col("stripe").cast("string"), F.lit(".fastq.gz"))).otherwise(target)
+    encode = lambda batch: _encoded(*(batch.column(c) for c in ("header", "seq", "qual")), level)
+    dealt = reads.select(_target(root).alias("__target"), "lane_id", "ordinal", "header", "seq", "qual")
+    return assemble(reads.sparkSession, write_parts(dealt, ["lane_id", "ordinal"], encode, is_table), end=bgzf.EOF_BLOCK)
 
-    def encode(batch: pa.RecordBatch) -> bytes:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("header", "seq", "qual")), strict=True)
-        return bgzf.packed("".join([f"{h}\n{s}\n+\n{q}\n" for h, s, q in rows]).encode("ascii"), level)
 
-    dealt = reads.select(wide.alias("__target"), "lane_id", "ordinal", "header", "seq", "qual")
-    return assemble(reads.sparkSession, write_parts(dealt, ["lane_id", "ordinal"], encode, is_table), end=bgzf.EOF_BLOCK)
+def write_pairs(pairs: DataFrame, folder: str, level: int = 5, is_table: bool = False) -> list[str]:
+    """Write ``stripe, lane_id, ordinal`` and the reads' columns as ``folder/r1_001.fastq.gz`` to ``i2_001.fastq.gz`` and so on.
+
+    All reads of a pair are dealt out and sorted once; reads without a header are left out of their file.
+    """
+    def encode(batch: pa.RecordBatch) -> list[bytes]:
+        return [_encoded(*(batch.column(f"{r}_{c}") for c in ("header", "seq", "qual")), level) for r in READS]
+
+    dealt = pairs.select(_target(f"{folder}/*").alias("__target"), "lane_id", "ordinal", *[f"{r}_{c}" for r in READS for c in ("header", "seq", "qual")])
+    return assemble(pairs.sparkSession, write_parts(dealt, ["lane_id", "ordinal"], encode, is_table, READS), end=bgzf.EOF_BLOCK)

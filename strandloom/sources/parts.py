@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from .places import new_folder
+from .places import new_folder, staged
 
 _ROWS = 2000
 
@@ -32,40 +32,45 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
         low = high
 
 
-def write_parts(records: DataFrame, order: list[str], encode: Callable[[pa.RecordBatch], bytes], is_table: bool = False) -> list:
+def write_parts(records: DataFrame, order: list[str], encode: Callable[[pa.RecordBatch], bytes | list[bytes]], is_table: bool = False, kinds: tuple[str, ...] = ()) -> list:
     """Write runs of records (with ``__target``) in order beside their targets; ``target, at, part`` of each.
 
     Ranges are found by a sample, which computes the records once more: unless they are a
-    table already, they are written as one first.
+    table already, they are written as one first. With ``kinds`` records have bytes for each of them,
+    which go to the target with the kind as its last ``*``.
     """
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     folder = None if is_table else new_folder(records.sparkSession, "parts")
     if folder:
-        records.write.parquet(folder)
-        records = records.sparkSession.read.schema(records.schema).parquet(folder)
+        records = staged(records, folder)
     ranged = records.repartitionByRange(n, "__target", *order).sortWithinPartitions("__target", *order)
 
     def write(batches):
         from pyspark import TaskContext
 
-        target = out = part = None
+        target, outs = None, []
+
+        def opened(own: str) -> tuple:
+            system, place = open_uri(own)
+            system.create_dir(place.rpartition("/")[0] or ".", recursive=True)
+            part = f"{own}.{uuid.uuid4().hex}.part"
+            return own, part, system.open_output_stream(open_uri(part)[1])
 
         def done() -> pa.RecordBatch:
-            out.close()
-            return pa.RecordBatch.from_arrays([pa.array([target]), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([part])], ["target", "at", "part"])
+            for *_, out in outs:
+                out.close()
+            at = pa.array([TaskContext.get().partitionId()] * len(outs), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in outs]), at, pa.array([x[1] for x in outs])], ["target", "at", "part"])
 
         for batch in batches:
             for own, rows in _runs(batch):
                 if own != target:
-                    if out is not None:
+                    if outs:
                         yield done()
-                    target = own
-                    system, place = open_uri(target)
-                    system.create_dir(place.rpartition("/")[0] or ".", recursive=True)
-                    part = f"{target}.{uuid.uuid4().hex}.part"
-                    out = system.open_output_stream(open_uri(part)[1])
-                out.write(encode(rows))
-        if out is not None:
+                    target, outs = own, [opened(k.join(own.rsplit("*", 1))) for k in kinds] or [opened(own)]
+                for (*_, out), raw in zip(outs, encode(rows) if kinds else [encode(rows)], strict=True):
+                    out.write(raw)
+        if outs:
             yield done()
 
     parts = ranged.mapInArrow(write, "target string, at int, part string").collect()  # a row a task and target

@@ -15,8 +15,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{(root or '/tmp/strandloom-files').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a Parquet table at ``path``; without dictionaries, which texts that differ fill in vain."""
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: what lies before it is not computed again."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return staged(df, new_folder(df.sparkSession, name))

@@ -56,6 +56,45 @@ def test_large_lanes_are_read_in_ranges(spark, tmp_path):
     assert (odd.count(), plain.count()) == (9000, 1) and odd.rdd.getNumPartitions() == plain.rdd.getNumPartitions() == 1
 
 
+def test_pairs_are_derived_by_all_tasks_and_dealt_out_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(fastq, "write_parts", lambda rows, *a: calls.append(rows) or parts.write_parts(rows, *a))
+    got = queries.QUERIES["s02_positional_zip"](spark, SF)
+    assert len(calls) == 1  # not once a read
+    rows = views.view(spark, SF, views.PAIRS, "o_orderkey").groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) > 1  # the table has one row group
+    assert got.where("lane_id <> 'L3'").count() == spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey % 4 <> 3").count()
+
+
+def test_pairs_without_a_read_are_left_out_of_its_file(spark, tmp_path):
+    column = lambda r, c: f"CASE WHEN '{r}' <> 'r2' OR id < 7 THEN {c} END AS {r}_"
+    reads = [column(r, c) + n for r in fastq.READS for n, c in (("header", f"concat('@{r}', id)"), ("seq", "repeat('A', cast(id % 3 as int))"), ("qual", "repeat('I', cast(id % 3 as int))"))]
+    rows = spark.range(3000).selectExpr("1 + cast(id % 2 as int) AS stripe", "'L' AS lane_id", "id AS ordinal", *reads)
+    paths = fastq.write_pairs(rows, f"{tmp_path}/x")
+    assert sorted(p.rsplit("/", 1)[1] for p in paths) == sorted(f"{r}_00{k}.fastq.gz" for r in fastq.READS for k in (1, 2)) and len(list((tmp_path / "x").iterdir())) == 8
+    for r in fastq.READS:
+        held = "".join(f"@{r}{i}\n{'A' * (i % 3)}\n+\n{'I' * (i % 3)}\n" for i in range(1, 7 if r == "r2" else 3000, 2))
+        assert gzip.open(f"{tmp_path}/x/{r}_002.fastq.gz", "rt").read() == held
+    lacking = rows.withColumn("r1_seq", F.lit(None).cast("string"))
+    with pytest.raises(Exception, match="has no bases"):
+        fastq.write_pairs(lacking, f"{tmp_path}/y")
+
+
+def test_lines_of_gzip_files_as_bytes(tmp_path, monkeypatch):
+    plain = b"".join(b"@h%d\nAC\n+x\nI@\n" % i for i in range(50))
+    (tmp_path / "x.gz").write_bytes(gzip.compress(plain[:300]) + gzip.compress(plain[300:] + b"@last\nA\n+\nI"))
+    for size in (3, 64, 1 << 19):
+        monkeypatch.setattr(fastq, "_CHUNK", size)
+        f = fastq.Lines(f"{tmp_path}/x.gz")
+        f.skip(6)
+        taken = [f.take(n) for n in (1, 5, 0, 80, 1000, 4)]
+        assert b"".join(taken) == b"\n".join((plain + b"@last\nA\n+\nI").split(b"\n")[6:]) and [x.count(b"\n") for x in taken] == [1, 5, 0, 80, 111, 0]
+    assert [c.to_pylist() for c in fastq._clean(plain[:26])] == [["@h0", "@h1"], ["AC"] * 2, ["I@"] * 2] and [len(c) for c in fastq._clean(b"")] == [0, 0, 0]
+    for odd in (plain[:20], plain[:13] + b"\r\n", plain[:12], plain[:13].replace(b"A", b"X"), plain[:13].replace(b"+", b"-"), plain[:13].replace(b"I@", b"I"), plain[1:14], plain[:13].replace(b"h", b"\xe9")):
+        assert fastq._clean(odd) is None
+    assert fastq._split(plain[:13] + b"@\r\nA") == ["@h0\n", "AC\n", "+x\n", "I@\n", "@\r\n", "A"]
+
+
 def test_lines_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
     sizes = []
     monkeypatch.setattr(text, "assemble", lambda s, found: sizes.append(len(found)) or parts.assemble(s, found))
